@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once a context, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphmill_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), "graphmill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    sc.addPyFile(path)
+    sc._graphmill_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch may hold; long texts then reach Python a few at a time."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

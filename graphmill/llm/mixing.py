@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
         (F.col("source_size") * cap / F.col("weight")).alias("stops_at"),
         ((F.sum("source_size").over(everything) * share - F.coalesce(F.sum("source_size").over(done), F.lit(0)) * cap) / F.sum("weight").over(rest)).alias("level"),
     )
-    found = level.where("level <= stops_at").agg(F.min("level")).first()[0]  # one number
+    found = level.where("level <= stops_at").agg(F.min_by("level", "stops_at")).first()[0]  # one number
     target = F.col("source_size") * cap if found is None else F.least(F.col("source_size") * cap, F.col("weight") * found)
     return per.withColumn("target", F.coalesce(target.cast("double"), F.lit(0.0)))
 

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import column_bytes, small_batches
 
 _U = np.uint64
 
@@ -107,6 +108,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     Host: from after the first `://` to the next `/`, `?`, `#` or the end; path: on to the next `?`, `#` or the end. A null url or
     one without `://` has both empty and fits no rule. Equal lengths: the first rule listed. One narrow pass, no shuffle.
     """
+    small_batches(pages.sparkSession, 5000)
     after = F.expr(f"substr(`{url}`, instr(`{url}`, '://') + 3)")
     has = F.col(url).isNotNull() & (F.instr(F.col(url), "://") > 0)
     split = pages.select(F.col(key).alias("key"), F.when(has, after).otherwise("").alias("rest"))
@@ -123,6 +125,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
             best = pa.array(np.where(hit.any(axis=1), hit.argmax(axis=1), len(ordered)) if len(ordered) else np.zeros(len(b["host"]), np.int64))
             yield pa.RecordBatch.from_arrays([b["key"], b["host"], b["path"], texts.take(best), verdicts.take(best)], names=[key, "host", "path", "rule", "verdict"])
 
-    import pyarrow.compute  # noqa: F401
-
     return split.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string")
