@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, urlfilter
+from . import embeddings, mixing, packing, quality, sharding, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,20 @@ def op4_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, quality.fit_quality_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "positions")
@@ -50,7 +64,7 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op9_curriculum_mix, op10_local_search_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_automaton": r"""
