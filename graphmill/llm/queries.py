@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, quality, sharding, simhash, toxicity, urlfilter
+from . import embeddings, mixing, packing, quality, sharding, simhash, substring, suffixarray, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ URL_RULES = (
 )
 
 
+def op1_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"))
     out = sharding.hypergeometric_shards(docs, 24)
@@ -39,6 +43,10 @@ def op4_quality_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, quality.fit_quality_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_array_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.repeated_byte_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,7 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_automata, op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op5_suffix_array_grouping, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_automaton": r"""
