@@ -56,12 +56,13 @@ def demand_time(part: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, part).otherwise(2 * part / (1 + tilt + root))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 29, tilts: tuple[float, ...] = (0.5, 0.0, -0.5)) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 29, tilts: tuple[float, ...] = (0.5, 0.0, -0.5), whole: bool = False) -> DataFrame:
     """Rows of docs (which has doc_id, source and size long) with source_size, target, copies int, taken long and positions array<double>.
 
-    Documents of a source are passed through in a random order that a hash of doc_id fixes, as often as the target asks; the last
-    pass stops at the document boundary nearest to the target. So a document is taken whole, 0 to ceil(cap) times, and a source's
-    words miss its target by half a document at most. positions has the due time of each copy, in [0, 1].
+    Documents of a source are passed through in a random order that a hash of doc_id fixes, as often as the target asks. The last pass
+    stops at the target, rounded to a word, so that one document of a source may be taken in part; with whole, it stops at the
+    document boundary nearest to the target, and every document is taken whole, 0 to ceil(cap) times. positions has the due time of
+    each copy, in [0, 1].
 
     Null source: a source of its own, last in order. Size 0: taken 0 words (and as many copies as its neighbours). Equal doc_ids are
     kept apart by the size and then count as ties in any order. Empty table: no rows. Columns that begin with _ are this operator's.
@@ -80,9 +81,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     within = Window.partitionBy("source", "_piece").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_p")), "left").withColumn("_before", F.col("_before") + F.col("_start")).drop("_start", "_source", "_p", "_piece", "_order", "_pieces")
-    passes = F.floor((F.col("target") - F.col("_before") - F.col("size") / 2) / F.col("source_size")) + 1
-    rows = rows.withColumn("copies", F.when(F.col("source_size") > 0, F.greatest(F.lit(0), F.least(passes, F.lit(-int(-cap // 1))))).otherwise(0).cast("int"))
-    rows = rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    most = -int(-cap // 1)
+    goal = F.round("target") if not whole else F.col("target") + F.col("size") / 2
+    due = [F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), goal - F.col("_before") - k * F.col("source_size"))) for k in range(most)]
+    begun = sum((F.when((d >= F.col("size")) & (goal - F.col("_before") - k * F.col("source_size") > 0) if whole else d > 0, 1).otherwise(0) for k, d in enumerate(due)), F.lit(0))
+    rows = rows.withColumn("copies", begun.cast("int"))
+    rows = rows.withColumn("taken", F.col("copies") * F.col("size") if whole else sum(due, F.lit(0.0)).cast("long"))
     at = lambda k: demand_time(F.least(F.lit(1.0), (F.col("_before") + k * F.col("source_size")) / F.col("target")), F.col("_tilt"))
     rows = rows.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>")))
     return rows.drop("_before", "_tilt")
