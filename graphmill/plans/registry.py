@@ -1,6 +1,9 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine, each with the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import architecture_queries, graph_queries, retrieval_queries, telemetry_queries
+
+PARTS = (architecture_queries, graph_queries, retrieval_queries, telemetry_queries)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in PARTS for k, v in part.ORACLE_SQL.items()}
