@@ -7,10 +7,11 @@ Both passage operators use it, on windows of words or of bytes, with their own s
 2. Every window has an anchor, the gram of least hash inside it (leftmost if equal), so equal windows have equal anchors at the same
    place. A maximal run of windows with one anchor is a segment. Chunks send 30-bit hashes of their distinct anchors to buckets and get
    back which are repeated. Hash collisions only let a segment through that the exact step then clears.
-3. Chunks send each distinct repeated segment once, whole, to the bucket of its anchor. The bucket collapses equal segments and the
-   kernel judges every window exactly by content. An anchor with very many occurrences is sent window by window instead, keyed by the
-   window, so that no bucket gathers one passage with all its surroundings.
-4. The verdicts go back to the chunks, which mark the covered units.
+3. An anchor that stands in very many different segments (a passage with as many surroundings) is hot. Of hot segments the windows
+   themselves are asked for in the same way; only runs of repeated windows stay, which are the same wherever the passage is.
+4. Chunks send each distinct repeated segment once, whole, to the bucket of its anchor. The bucket collapses equal segments and the
+   kernel judges every window exactly by content.
+5. The verdicts go back to the chunks, which mark the covered units.
 
 So texts are shuffled once, and a bucket holds segments, never documents. Memory is bounded by the chunk (about 100 times its bytes
 while it is worked on; a text longer than CHUNK_BYTES is a chunk of its own).
@@ -18,6 +19,7 @@ while it is worked on; a text longer than CHUNK_BYTES is a chunk of its own).
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -34,8 +36,8 @@ from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, saved, shu
 
 _U = np.uint64
 CHUNK_BYTES = 1 << 20
-#: Occurrences in one chunk, or chunks, from which an anchor's windows are sent one by one.
-HOT_IN_CHUNK, HOT_CHUNKS = 16, 64
+#: Different segments in one chunk, or over all chunks (of 256 values of a short hash), from which an anchor is hot.
+HOT_IN_CHUNK, HOT_ANYWHERE = 8, 48
 
 
 @dataclass(frozen=True)
@@ -87,8 +89,17 @@ def _chunks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     spark = docs.sparkSession
-    packed = docs.mapInArrow(run, "chunk_id long, chunk_bytes long, chunk binary")
-    return saved(packed.repartition(shuffle_width(spark), "chunk_id"))
+    packed = docs.mapInArrow(run, "chunk_id long, chunk_bytes long, chunk binary").repartition(shuffle_width(spark), "chunk_id")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan's checkpoint forgets how its rows are dealt
+    try:
+        kept = saved(packed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    del packed
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the shuffle's files may go, as the checkpoint has the rows
+    return kept
 
 
 class Segments:
@@ -110,7 +121,7 @@ class Segments:
             self.bounds = self.offsets
             at = np.arange(max(0, len(self.data) - how.gram + 1))
             grams = span_hash(self.prefix, at, at + how.gram)
-        self.n = int(self.bounds[-1])
+        self.n, self._run = int(self.bounds[-1]), None
         self.doc = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
         anchor = sliding_argmin(grams, how.size - how.gram + 1)
         at = np.flatnonzero(self.doc[: len(anchor)] == self.doc[how.size - 1 : how.size - 1 + len(anchor)])
@@ -122,41 +133,70 @@ class Segments:
         self.hash = grams[self.place] if len(cut) else np.zeros(0, np.uint64)
         del grams, anchor
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors ascending, each segment's place among them, and how often they occur: 0, 1 for repeated, 2 for very often."""
-        distinct, of, times = np.unique(self.hash, return_inverse=True, return_counts=True)
-        level = (times > 1).astype(np.uint32)
-        if self.how.across and len(distinct):
-            doc = self.doc[self.first]
-            low, high = np.full(len(distinct), 2**31 - 1), np.full(len(distinct), -1)
-            np.minimum.at(low, of, doc)
-            np.maximum.at(high, of, doc)
-            level[low == high] = 0
-        level[(times >= HOT_IN_CHUNK) & (level > 0)] = 2
-        return distinct, of, level
+    def content(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the units [a, b)."""
+        if self.how.units == "bytes":
+            return span_hash(self.prefix, a, b)
+        power, inverse = _grow(self.n + 1)
+        with np.errstate(over="ignore"):
+            if self._run is None:
+                self._run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.unit * power[: self.n])])
+            return mix((self._run[b] - self._run[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+    def _wider(self, of: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+        """Which of n keys stand at more than one place, or in more than one document if that is what counts."""
+        if not self.how.across:
+            return np.bincount(of, minlength=n) > 1
+        doc = self.doc[at]
+        low, high = np.full(n, 2**31 - 1), np.full(n, -1)
+        np.minimum.at(low, of, doc)
+        np.maximum.at(high, of, doc)
+        return low != high
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors ascending and each segment's place among them."""
+        return np.unique(self.hash, return_inverse=True)
+
+    def levels(self, distinct: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each anchor: 0, 1 for repeated, 2 for hot in this chunk; and a short hash of one of its segments."""
+        whole = self.content(self.first, self.first + self.count + self.how.size - 1)
+        level = self._wider(of, len(distinct), self.first).astype(np.uint32)
+        many = np.flatnonzero(np.bincount(of, minlength=len(distinct)) >= HOT_IN_CHUNK)
+        if len(many):
+            mine = np.flatnonzero(np.isin(of, many))
+            pairs = np.unique(np.stack([of[mine].astype(np.uint64), whole[mine]], axis=1), axis=0)[:, 0].astype(np.int64)
+            level[(np.bincount(pairs, minlength=len(distinct)) >= HOT_IN_CHUNK) & (level > 0)] = 2
+        tag = np.zeros(len(distinct), np.uint8)
+        tag[of] = (whole & _U(255)).astype(np.uint8)
+        return level, tag
+
+    def hot_windows(self, codes: np.ndarray, of: np.ndarray) -> None:
+        """Sets the windows of hot segments: where they start, their segment, their distinct hashes and each one's place among them."""
+        self.hot_segments = np.flatnonzero(codes[of] == 2) if len(of) else np.zeros(0, np.int64)
+        n = self.count[self.hot_segments]
+        self.hot_at = np.repeat(self.first[self.hot_segments], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        self.hot_segment = np.repeat(self.hot_segments, n)
+        self.hot_hash, self.hot_of = np.unique(self.content(self.hot_at, self.hot_at + self.how.size), return_inverse=True)
+
+    def hot_levels(self) -> np.ndarray:
+        return self._wider(self.hot_of, len(self.hot_hash), self.hot_at).astype(np.uint32)
 
     def span(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte spans of the units under windows first .. first + count - 1."""
         last = first + count + self.how.size - 1
         return (self.starts[first], self.ends[last - 1]) if self.how.units == "words" else (first, last)
 
-    def pieces(self, codes: np.ndarray, of: np.ndarray) -> None:
+    def pieces(self, codes: np.ndarray, of: np.ndarray, hot_codes: np.ndarray) -> None:
         """Sets the segments to send (as `first`, `count`, `place`, `hash`), each one's class, and the classes' representatives."""
-        code = codes[of] if len(of) else np.zeros(0, np.uint8)
-        plain, hot = code == 1, code == 2
-        single = np.repeat(self.first[hot], self.count[hot])
-        n = self.count[hot]
-        single = single + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        if self.how.units == "words":
-            power, inverse = _grow(self.n + 1)
-            with np.errstate(over="ignore"):
-                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.unit * power[: self.n])])
-            content = lambda a, b: mix((run[b] - run[a]) * inverse[a] + (b - a).astype(np.uint64))
-        else:
-            content = lambda a, b: span_hash(self.prefix, a, b)
-        own = mix(content(single, single + self.how.size) ^ _U(0x5851F42D4C957F2D))
-        self.first, self.place, self.count, self.hash = (np.concatenate(x) for x in ((self.first[plain], single), (self.place[plain], single), (self.count[plain], np.ones(len(single), np.int64)), (self.hash[plain], own)))
-        whole = content(self.first, self.first + self.count + self.how.size - 1)
+        plain = np.flatnonzero(codes[of] == 1) if len(of) else np.zeros(0, np.int64)
+        stay = hot_codes[self.hot_of] > 0 if len(self.hot_of) else np.zeros(0, bool)
+        at, own = self.hot_at[stay], self.hot_segment[stay]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])])) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(at)))
+        source = np.concatenate([plain, own[new]])
+        self.first, self.count = np.concatenate([self.first[plain], at[new]]), np.concatenate([self.count[plain], size])
+        self.place, self.hash = self.place[source], self.hash[source]
+        whole = self.content(self.first, self.first + self.count + self.how.size - 1)
         with np.errstate(over="ignore"):
             key = mix(self.hash * _U(0x9FB21C651E98DF25) ^ whole) ^ (self.place - self.first).astype(np.uint64)
         _, self.lead, self.cls, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -199,46 +239,69 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
     chunks = _chunks(texts)
     width = max(shuffle_width(spark), math.ceil((chunks.agg(F.sum("chunk_bytes")).first()[0] or 0) / (16 << 20)))
 
+    def questions(cid: int, hashes: np.ndarray, level: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        low = ((hashes & _U((1 << 30) - 1)).astype(np.uint32) << 2) | level
+        return _rows([(k, cid, low[at].tobytes() + tag[at].tobytes()) for k, at in _by_bucket(((hashes >> _U(34)) % _U(width)).astype(np.int64))], ("bucket", "chunk_id", "asked"))
+
+    def answers(hashes: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
+        codes = np.zeros(len(hashes), np.uint8)
+        for k, at in _by_bucket(((hashes >> _U(34)) % _U(width)).astype(np.int64)):
+            codes[at] = np.frombuffer(_unpack(replies[k]), np.uint8)
+        return codes
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cid, chunk in zip(b["chunk_id"].to_pylist(), b["chunk"], strict=True):
-                distinct, _, level = Segments(chunk.as_buffer(), how).anchors()
-                low = ((distinct & _U((1 << 30) - 1)).astype(np.uint32) << 2) | level
-                yield _rows([(k, cid, low[at].tobytes()) for k, at in _by_bucket(((distinct >> _U(34)) % _U(width)).astype(np.int64))], ("bucket", "chunk_id", "asked"))
+                seg = Segments(chunk.as_buffer(), how)
+                distinct, of = seg.anchors()
+                yield questions(cid, distinct, *seg.levels(distinct, of))
+
+    def ask_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, chunk, mask in zip(b["chunk_id"].to_pylist(), b["chunk"], b["mask"], strict=True):
+                seg = Segments(chunk.as_buffer(), how)
+                distinct, of = seg.anchors()
+                seg.hot_windows(answers(distinct, _gathered(mask)), of)
+                yield questions(cid, seg.hot_hash, seg.hot_levels(), np.zeros(len(seg.hot_hash), np.uint8))
 
     def answer(group: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x.as_buffer(), np.uint32) for x in group["asked"]]
-        whole = np.concatenate(asked)
-        _, of, chunks_with = np.unique(whole >> 2, return_inverse=True, return_counts=True)
-        most = np.zeros(len(chunks_with), np.uint32)
+        """0 for unique, 1 for repeated, 2 for hot."""
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["asked"]]
+        sizes = [len(x) // 5 for x in raw]
+        whole, tag = np.concatenate([x[: 4 * n].view(np.uint32) for x, n in zip(raw, sizes, strict=True)]), np.concatenate([x[4 * n :] for x, n in zip(raw, sizes, strict=True)])
+        distinct, of, chunks_with = np.unique(whole >> 2, return_inverse=True, return_counts=True)
+        most = np.zeros(len(distinct), np.uint32)
         np.maximum.at(most, of, whole & 3)
         code = ((chunks_with > 1) | (most > 0)).astype(np.uint8)
-        code[(most > 1) | (chunks_with >= HOT_CHUNKS)] = 2
-        cuts = np.cumsum([len(x) for x in asked])
-        replies = [_pack(x.tobytes()) for x in np.split(code[of], cuts[:-1])]
+        wide = np.flatnonzero(chunks_with >= HOT_ANYWHERE)
+        mine = np.flatnonzero(np.isin(of, wide))
+        tags = np.bincount(np.unique((of[mine] << 8) | tag[mine]) >> 8, minlength=len(distinct))
+        code[(most > 1) | (tags >= HOT_ANYWHERE)] = 2
+        replies = [_pack(x.tobytes()) for x in np.split(code[of], np.cumsum(sizes)[:-1])]
         return pa.table({"chunk_id": group["chunk_id"], "bucket": group["bucket"], "reply": pa.array(replies, pa.binary())})
 
     reply_schema = "chunk_id long, bucket long, reply binary"
     gather = lambda df, name: df.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "reply")).alias(name))
-    asked = chunks.select("chunk_id", "chunk").mapInArrow(ask, "bucket long, chunk_id long, asked binary")
-    masks = saved(gather(asked.groupBy("bucket").applyInArrow(answer, reply_schema), "mask"))
-    masked = chunks.select("chunk_id", "chunk").join(masks, "chunk_id", "left")
-
-    def prepared(chunk: pa.Scalar, mask: pa.Scalar) -> Segments:
-        seg, replies = Segments(chunk.as_buffer(), how), _gathered(mask)
-        distinct, of, _ = seg.anchors()
-        codes = np.zeros(len(distinct), np.uint8)
-        for k, at in _by_bucket(((distinct >> _U(34)) % _U(width)).astype(np.int64)):
-            codes[at] = np.frombuffer(_unpack(replies[k]), np.uint8)
-        seg.pieces(codes, of)
+    ask_schema = "bucket long, chunk_id long, asked binary"
+    replied = lambda asked, name: saved(gather(asked.groupBy("bucket").applyInArrow(answer, reply_schema), name))
+    texts_only = chunks.select("chunk_id", "chunk")
+    masked = texts_only.join(replied(texts_only.mapInArrow(ask, ask_schema), "mask"), "chunk_id", "left")
+    masked = masked.join(replied(masked.mapInArrow(ask_hot, ask_schema), "hot"), "chunk_id", "left")
+
+    def prepared(chunk: pa.Scalar, mask: pa.Scalar, hot: pa.Scalar) -> Segments:
+        seg = Segments(chunk.as_buffer(), how)
+        distinct, of = seg.anchors()
+        codes = answers(distinct, _gathered(mask))
+        seg.hot_windows(codes, of)
+        seg.pieces(codes, of, answers(seg.hot_hash, _gathered(hot)))
         return seg
 
     bucket_of = lambda seg: ((mix(seg.hash[seg.lead]) >> _U(20)) % _U(width)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cid, chunk, mask in zip(b["chunk_id"].to_pylist(), b["chunk"], b["mask"], strict=True):
-                seg = prepared(chunk, mask)
+            for cid, chunk, mask, hot in zip(b["chunk_id"].to_pylist(), b["chunk"], b["mask"], b["hot"], strict=True):
+                seg = prepared(chunk, mask, hot)
                 text, out = seg.contents(), []
                 lead = seg.lead
                 for k, at in _by_bucket(bucket_of(seg)):
@@ -286,8 +349,8 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, mask, verdict in zip(b["chunk"], b["mask"], b["verdict"], strict=True):
-                seg, replies = prepared(chunk, mask), _gathered(verdict)
+            for chunk, mask, hot, verdict in zip(b["chunk"], b["mask"], b["hot"], b["verdict"], strict=True):
+                seg, replies = prepared(chunk, mask, hot), _gathered(verdict)
                 covered = np.zeros(seg.n, bool)
                 if len(seg.lead):
                     sizes = seg.count[seg.lead]
@@ -308,4 +371,4 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                     covered = np.cumsum(change[:-1]) > 0
                 yield finish(seg, covered)
 
-    return masked.join(verdicts, "chunk_id", "left").select("chunk", "mask", "verdict").mapInArrow(close, schema)
+    return masked.join(verdicts, "chunk_id", "left").select("chunk", "mask", "hot", "verdict").mapInArrow(close, schema)
