@@ -174,7 +174,7 @@ n AS (SELECT (SELECT count(DISTINCT node) FROM up WHERE node <> 0) AS callers, (
     "mutual_pairs": f"WITH {P.SQL_TOP_EDGES} SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst",
     "ego_net": f"WITH {P.SQL_TOP_EDGES} SELECT src, dst FROM edges WHERE src = 'FRANCE' OR dst = 'FRANCE'",
     "call_tree": f"WITH RECURSIVE {P.SQL_TOP_EDGES}, t(p, node, depth) AS (SELECT ['FRANCE'], 'FRANCE', 0 UNION ALL SELECT list_append(p, dst), dst, depth + 1 FROM t JOIN edges ON src = node WHERE depth < 4 AND NOT list_contains(p, dst)) SELECT array_to_string(p, '>') AS path, node, depth FROM t",
-    "url_link": f"WITH {_PATHS}, n AS (SELECT id, project, {_NORM.replace('x', 'path')} AS k FROM paths WHERE path <> '') SELECT a.id AS src, min(b.id) AS dst, 'HTTP' AS bridge_type FROM n a JOIN n b ON a.k = b.k AND a.project <> b.project WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id, b.project",
+    "url_link": f"WITH {_PATHS}, n AS (SELECT id, project, {_NORM.replace('lower(x)', 'lower(path)').replace('length(x)', 'length(path)')} AS k FROM paths WHERE path <> '') SELECT a.id AS src, min(b.id) AS dst, 'HTTP' AS bridge_type FROM n a JOIN n b ON a.k = b.k AND a.project <> b.project WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id, b.project",
     "topic_link": "WITH t AS (SELECT p_partkey AS id, p_type || '-' || p_size AS k, p_partkey % 3 AS g FROM part) SELECT a.id AS src, b.id AS dst, 'MQ' AS bridge_type FROM t a JOIN t b ON a.k = b.k AND a.g <> b.g WHERE a.id % 2 = 0 AND b.id % 2 = 1",
     "feign_bridge": "SELECT DISTINCT a.p_partkey AS src, b.p_partkey AS dst, 'FEIGN' AS bridge_type FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 4 = 0 AND b.p_partkey % 4 <> 0",
     "url_normalize": f"WITH u AS (SELECT page_id, regexp_replace(url, '^https?://[^/]+', '') AS x FROM pages) SELECT page_id, {_NORM} AS path, {_ROUTE} AS route FROM u",
