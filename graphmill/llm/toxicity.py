@@ -64,10 +64,10 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, bits: int = 20, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, bits: int = 20, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights that aren't zero (2^bits is the bias).
 
-    Learns from at most max_labelled rows with toxic 0 or 1 that aren't held out: those of the least hashes of doc_id. A doc_id that is
+    Features that only one sampled row has are left out, as L1 would never let them through. Learns from at most max_labelled rows with toxic 0 or 1 that aren't held out: those of the least hashes of doc_id. A doc_id that is
     labelled twice counts with its higher label. No labelled rows: no weights, every score is 1/2.
     """
     spark = docs.sparkSession
@@ -89,10 +89,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000,
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(d, y, m) for b in batches for d, y, m in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["marks"].to_pylist(), strict=True)]
         got.sort()
+        rows_with = np.zeros(1 << bits, np.int32)
+        for _, _, m in got:
+            rows_with[np.frombuffer(m, np.int32)] += 1
+        marks = [x[rows_with[x] > 1] for x in (np.frombuffer(m, np.int32).astype(np.int64) for _, _, m in got)]
         model, rng = Ftrl(bits, alpha, beta, l1, l2), np.random.default_rng(11)
         for _ in range(epochs):
             for k in rng.permutation(len(got)):
-                model.learn(np.frombuffer(got[k][2], np.int32).astype(np.int64), got[k][1])
+                model.learn(marks[k], got[k][1])
         w = model.weights(np.arange(len(model.z)))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
