@@ -114,7 +114,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, recall: float = 0.995,
                 rep, n, block, t = g["rep"].to_numpy(), g["n"].to_numpy(), g["block"].to_numpy(), int(code[order[s]]) >> 40
                 x = _matrix(g["vec"].combine_chunks())
                 c = column_bytes(g["codes"].combine_chunks())[0].view(np.int32).reshape(len(rep), -1)
-                crossing = block.min() != block.max()
+                crossing = bool(g["facing"][0].as_py() != block[0])  # a cell of two blocks, even if one is empty
                 for i, j in _linked(x, x, threshold):
                     keep = i < j
                     if crossing:
@@ -129,7 +129,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.93, recall: float = 0.995,
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([0] * len(forest.edges) + list(links.values()), pa.int64())], names=["u", "v", "links"])
 
     width = max(shuffle_width(spark), math.ceil(classes.count() * tables / 50_000))
-    found = saved(met.select("cell", "label", "rep", "n", "vec", "codes", "code", "block").repartition(width, "cell").mapInArrow(compared, "u long, v long, links long"))
+    found = saved(met.select("cell", "label", "rep", "n", "vec", "codes", "code", "block", "facing").repartition(width, "cell").mapInArrow(compared, "u long, v long, links long"))
     roots = components(found.where("v is not null").select("u", "v"))
     more = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     known = classes.join(more.withColumnRenamed("u", "rep"), "rep", "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left")
