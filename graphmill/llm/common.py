@@ -5,6 +5,8 @@ Text enters Python as the UTF-8 buffer of an Arrow column, so that no row become
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -69,6 +71,16 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, at the end of a task's work: workers live on with their peak otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its row offsets; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):

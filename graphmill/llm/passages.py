@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
+from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, release, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
 
 _U = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -237,7 +237,7 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     chunks = _chunks(texts)
-    width = max(shuffle_width(spark), math.ceil((chunks.agg(F.sum("chunk_bytes")).first()[0] or 0) / (16 << 20)))
+    width = max(shuffle_width(spark), math.ceil((chunks.agg(F.sum("chunk_bytes")).first()[0] or 0) / (8 << 20)))
 
     def questions(cid: int, hashes: np.ndarray, level: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
         low = ((hashes & _U((1 << 30) - 1)).astype(np.uint32) << 2) | level
@@ -255,6 +255,7 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                 seg = Segments(chunk.as_buffer(), how)
                 distinct, of = seg.anchors()
                 yield questions(cid, distinct, *seg.levels(distinct, of))
+        release()
 
     def ask_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,6 +264,7 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                 distinct, of = seg.anchors()
                 seg.hot_windows(answers(distinct, _gathered(mask)), of)
                 yield questions(cid, seg.hot_hash, seg.hot_levels(), np.zeros(len(seg.hot_hash), np.uint8))
+        release()
 
     def answer(group: pa.Table) -> pa.Table:
         """0 for unique, 1 for repeated, 2 for hot."""
@@ -308,6 +310,7 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                     at_lead = lead[at]
                     out.append((k, cid, _pack((seg.hash[at_lead], (seg.place - seg.first)[at_lead].astype(np.int32), seg.count[at_lead].astype(np.int32), seg.times[at].astype(np.int64), seg.least[at], [text[x] for x in at.tolist()]))))
                 yield _rows(out, ("bucket", "chunk_id", "sent"))
+        release()
 
     def judge(group: pa.Table) -> pa.Table:
         classes: dict[tuple[int, int, bytes], int] = {}
@@ -342,6 +345,8 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
         for k, v in zip(shared, kernel(*[[x[k] for k in shared] for x in (anchor, text, place, windows, times, least)]), strict=True):
             verdict[k] = v
         replies = [_pack(np.concatenate([verdict[k] for k in mine]).tobytes()) for mine in entries]
+        del classes, text, entries, verdict
+        release()
         return pa.table({"chunk_id": group["chunk_id"], "bucket": group["bucket"], "reply": pa.array(replies, pa.binary())})
 
     sent = masked.mapInArrow(send, "bucket long, chunk_id long, sent binary")
@@ -370,5 +375,6 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                     np.add.at(change, hit + how.size, -1)
                     covered = np.cumsum(change[:-1]) > 0
                 yield finish(seg, covered)
+        release()
 
     return masked.join(verdicts, "chunk_id", "left").select("chunk", "mask", "hot", "verdict").mapInArrow(close, schema)
