@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, saved
+from .common import WORD_CLASS, saved
 from .sharding import unit_range
 
 #: So many sources at most are broadcast; more are joined by a shuffle.
@@ -23,8 +23,7 @@ BROADCAST_SOURCES = 20_000
 
 def word_count(text: Column) -> Column:
     """Number of words of a text, JVM-side; null: 0."""
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " "))
-    return F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{WORD_CLASS}+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -67,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     Null source: a source of its own, last in order. Size 0: taken 0 words (and as many copies as its neighbours). Equal doc_ids are
     kept apart by the size and then count as ties in any order. Empty table: no rows. Columns that begin with _ are this operator's.
     """
-    spark = docs.sparkSession
+    docs = saved(docs)  # sizes are counted once
     targets = saved(source_targets(docs.select("source", "size"), weights, share, cap))
     turn = F.array(*[F.lit(float(x)) for x in tilts])
     plan = targets.select(F.col("source").alias("_source"), "source_size", "target", F.sqrt("n").cast("long").alias("_pieces"), F.element_at(turn, (F.pmod(F.xxhash64("source"), F.lit(len(tilts))) + 1).cast("int")).alias("_tilt"))
