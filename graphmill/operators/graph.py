@@ -171,7 +171,7 @@ def depth_histogram(reached: DataFrame) -> DataFrame:
 
 def span_tree(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, parent, depth): parents inside the trace; a span whose parent is missing is a root, at depth 0."""
-    s = spans.select("trace_id", "span_id", "parent_span_id")
+    s = saved(spans.select("trace_id", "span_id", "parent_span_id"))
     own = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("parent"))
     linked = saved(s.join(own, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", "parent"))
     now, depth = linked.where("parent is null").withColumn("depth", F.lit(0)), 0
