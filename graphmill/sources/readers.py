@@ -119,9 +119,11 @@ def scan_sources(spark: SparkSession, folder: str, endings: str = "*.{java,py,js
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
     """Lines of `git log --numstat --format=@%H|%ae|%cI` (one file a repository) to (repo, commit, author, at, file, lines)."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("repo"), F.explode(F.filter(F.split(F.concat(F.lit("\n"), "value"), "\n@"), lambda x: x != "")).alias("c"))
-    head = F.split(F.element_at(F.split("c", "\n"), 1), r"\|")
-    rows = raw.select("repo", head[0].alias("commit"), head[1].alias("author"), F.to_timestamp(head[2]).alias("at"), F.explode(F.filter(F.split("c", "\n"), lambda x: x.rlike(r"^\d+\t\d+\t"))).alias("f"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), "value")
+    commit = F.lit(r"(?s)(?<=^|\n)@([^|\n]*)\|([^|\n]*)\|([^\n]*)((?:\n(?!@)[^\n]*)*)")
+    parts = [F.regexp_extract_all("value", commit, F.lit(k)).alias(n) for k, n in enumerate(("commit", "author", "at", "files"), 1)]
+    raw = text.select("repo", F.explode(F.arrays_zip(*parts)).alias("c"))
+    rows = raw.select("repo", "c.commit", "c.author", F.to_timestamp("c.at").alias("at"), F.explode(F.filter(F.split("c.files", "\n"), lambda x: x.rlike(r"^\d+\t\d+\t"))).alias("f"))
     cells = F.split("f", "\t")
     return rows.select("repo", "commit", "author", "at", cells[2].alias("file"), (cells[0].cast("long") + cells[1].cast("long")).alias("lines"))
 
