@@ -4,7 +4,7 @@ import corpus_pipeline
 from graphmill.llm import mixing, quality, simhash
 from pyspark.sql import functions as F
 
-from test_operators import WORD
+from test_llm_operators import WORD
 
 
 def test_stages(spark, docs, sf_dir, tmp_path):
