@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import mixing, packing, quality, simhash, substring
+from graphmill.llm import mixing, nearcopies, packing, quality, substring
 from graphmill.llm.common import checkpoint_dir
 
 #: SQL can't tokenise, learn the rules or find components; tests compare each stage with brute force.
@@ -35,13 +35,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _restored(judged.where("kept"), docs)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each component; of rows that share that doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    one = docs.join(named.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(named.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(several).select(*docs.columns)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the rows that exact Jaccard >= 0.8 of five-word shingles connects, keeps the one of the least doc_id."""
+    return nearcopies.kept_rows(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +66,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
+    ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
     ("mix_to_weights", mix_to_weights),
     ("best_fit_packing", best_fit_packing),

@@ -1,0 +1,167 @@
+"""Near copies by the Jaccard similarity of five-word shingles: MinHash bands find candidates, whole shingle sets decide.
+
+A text's 160 least hashes form 32 bands of 5; a pair at similarity 0.8 shares no band with probability 3e-6, one above it less. Texts of
+equal words are one class. Classes that share a band hang on the least of them (a star, never all pairs), the stars' components gather
+everything that may be linked, and each such group is verified in one task by exact Jaccard on its texts, which travel once. A group is
+held by one task, about 10 bytes a shingle.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import column_bytes, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, word_bounds
+from .components import components
+
+SHINGLE, BANDS, WIDTH = 5, 32, 5
+_U = np.uint64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_RNG = np.random.default_rng(8)
+_TIMES = _RNG.integers(0, 2**63, BANDS * WIDTH, dtype=np.uint64) * _U(2) + _U(1)
+_PLUS = _RNG.integers(0, 2**63, BANDS * WIDTH, dtype=np.uint64)
+
+
+def shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each row the hashes of its word 5-grams, repeats included; all words if they are fewer; none without words. A-Z lower-cased."""
+    data, off = column_bytes(column)
+    for x, y in row_slices(off):
+        part = _LOWER[data[off[x] : off[y]]]
+        starts, ends, before = word_bounds(part, off[x : y + 1] - off[x])
+        words = span_hash(prefix_hash(part), starts, ends)
+        grams = gram_hash(words, SHINGLE)
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            yield grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else gram_hash(words[a:b], b - a) if b > a else grams[:0]
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """The 32 band keys of a shingle set that is not empty."""
+    least = np.full(BANDS * WIDTH, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(grams), 256):
+            least = np.minimum(least, (grams[k : k + 256, None] * _TIMES + _PLUS).min(axis=0))
+        out = np.arange(BANDS, dtype=np.uint64)
+        for h in least.reshape(BANDS, WIDTH).T:
+            out = mix(out * _U(0xD6E8FEB86659FD93) + h)
+    return out
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (of the text as it is), cls long (of its words), bands array<long>."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = column_bytes(b["text"])
+            raw, at = data.tobytes(), off.tolist()
+            cls = np.array([xxhash.xxh64_intdigest(b" ".join(raw[x:y].lower().split())) for x, y in zip(at, at[1:], strict=False)], np.uint64)
+            keys = [bands(g) if len(g) else g for g in shingles(b["text"])]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["mark"], pa.array(cls.view(np.int64)), lists], names=["doc_id", "mark", "cls", "bands"])
+        release()
+
+    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, bands array<long>")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("mark", F.coalesce(F.md5("text"), F.lit("")))
+
+
+def _stars(classes: DataFrame) -> DataFrame:
+    """u, v long: each class that shares a band with others, and the least of them."""
+    spark = classes.sparkSession
+    small_batches(spark, 50_000)
+    width = max(shuffle_width(spark), math.ceil(classes.count() * BANDS / 1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b["band"].to_numpy(), b["cls"].to_numpy()) for b in batches]
+        band, cls = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((cls, band))
+        band, cls = band[order], cls[order]
+        first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
+        least = np.repeat(cls[first], np.diff(np.append(first, len(band))))
+        pairs = np.unique(np.stack([cls, least], 1)[cls != least], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return classes.select("cls", F.explode("bands").alias("band")).repartition(width, "band").mapInArrow(run, "u long, v long")
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set (no repeats) the first one of its component under Jaccard >= 4/5. Each in turn takes its neighbours out of those not yet reached."""
+    sizes = np.array([len(s) for s in sets])
+    values, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    inside, out = np.zeros(len(values), bool), np.arange(len(sets))
+    rest, flat, todo, root = np.arange(len(sets)), dense, [], 0
+    while len(rest):
+        if not todo:
+            root = rest[0]
+            todo, flat, rest = [root], flat[sizes[root] :], rest[1:]
+            continue
+        x = todo.pop()
+        own = dense[cuts[x] : cuts[x + 1]]
+        inside[own] = True
+        lengths = sizes[rest]
+        shared = np.add.reduceat(inside[flat], np.cumsum(lengths) - lengths, dtype=np.int64)
+        inside[own] = False
+        near = 9 * shared >= 4 * (lengths + sizes[x])
+        if near.any():
+            out[rest[near]] = root
+            todo += rest[near].tolist()
+            rest, flat = rest[~near], flat[np.repeat(~near, lengths)]
+    return out
+
+
+def _verified(texts: DataFrame) -> DataFrame:
+    """cls, component long of rows (root, cls, text), all of a root in one task; the component is one of its classes."""
+    spark = texts.sparkSession
+    small_batches(spark)
+
+    def group(cls: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.array(cls, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[linked(sets)])], names=["cls", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cls, sets = None, [], []
+        for b in batches:
+            for root, c, grams in zip(b["root"].to_pylist(), b["cls"].to_pylist(), shingles(b["text"]), strict=True):
+                if root != now and cls:
+                    yield group(cls, sets)
+                    cls, sets = [], []
+                now = root
+                if not cls or cls[-1] != c:  # repeated rows
+                    cls.append(c)
+                    sets.append(np.unique(grams))
+        if cls:
+            yield group(cls, sets)
+        release()
+
+    return texts.repartition(shuffle_width(spark), "root").sortWithinPartitions("root", "cls").mapInArrow(run, "cls long, component long")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) less all but one of each component of near copies: that of the least doc_id (null last),
+    then of the least md5 of the text. A component is what exact Jaccard >= 0.8 of five-word shingles connects."""
+    rows = saved(_sketches(docs))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), F.first("bands").alias("bands")))
+    stars = saved(components(_stars(classes)))
+    member = stars.union(stars.select("root", "root").distinct())
+    wanted = classes.join(member, F.col("cls") == F.col("u")).select("cls", "root", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    found = saved(_verified(_marked(docs).select("doc_id", "mark", "text").join(wanted, same).select("root", "cls", "text")))
+    named = classes.select("cls", "first").join(found.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
+    best = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
+    best = saved(best.join(counts, same).select("_id", "_mark", "_n"))
+    one = _marked(docs).join(best.where("_n = 1"), same, "left_semi")
+    several = _marked(docs).join(best.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return one.unionByName(several).select(*docs.columns)
