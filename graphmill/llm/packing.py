@@ -2,8 +2,8 @@
 
 Lengths are whole numbers up to the sequence length, so the corpus is packed through its length histogram: at most `limit` numbers,
 whatever its size. Bins with the same contents are one entry with a multiplicity. Best fit (longest first) fills bins class by class;
-local search then takes underfull bins and exchanges one piece for one, two for one, or moves one, whenever the sum of squared fills
-rises, until bins empty. The finished plan says, for each length, which runs of pieces of that length go to which bin and offset; it
+local search then takes all underfull bins, class by class, and exchanges one piece for one, two for one, or moves one, whenever the sum
+of squared fills rises, until no step does or no bin can go. The finished plan says, for each length, which runs of pieces of that length go to which bin and offset; it
 is broadcast (its size depends on the number of lengths, not of documents) and every piece finds its place by its rank within its length.
 """
 
@@ -66,66 +66,117 @@ def best_fit(histogram: dict[int, int], limit: int) -> Bins:
 
 
 class LocalSearch:
-    """Steps that raise the sum of squared fills on single bins; only underfull bins take part."""
+    """Steps that raise the sum of squared fills, on classes of equal bins: a step is done at once in as many bins as both classes have.
 
-    def __init__(self, bins: list[list[int]], limit: int):
-        self.bins, self.limit = [sorted(b, reverse=True) for b in bins], limit
-        self.fill = [sum(b) for b in self.bins]
+    A step moves one piece, or exchanges one or two for one, from a bin to a fuller one. The pieces that fuller classes could give up
+    (or 0 for a move) are one table, so a class is tried on all of them by one search; what failed isn't tried again.
+    """
+
+    def __init__(self, bins: Bins | list[list[int]], limit: int):
+        self.limit, self.bins = limit, Counter()
+        self.number: dict[tuple[int, ...], int] = {}  # of the classes that have bins
+        self.names: list[tuple[int, ...]] = []
+        self.rows: list[tuple[int, int, int]] = []  # class number, piece, fill
+        self.count = self.total = 0
+        for contents, n in bins.items() if isinstance(bins, dict) else Counter(tuple(sorted(b, reverse=True)) for b in bins).items():
+            self._add(contents, n)
 
     def run(self, max_steps: int) -> list[list[int]]:
-        """Empties the least filled bin into the others again and again, by moves and exchanges."""
-        for _ in range(max_steps):
-            live = [k for k, f in enumerate(self.fill) if f]
-            if len(live) < 2 or sum(self.fill[k] for k in live) > (len(live) - 1) * self.limit:
-                break
-            if not any(self._improve(a, b) for a in sorted(live, key=lambda k: self.fill[k]) for b in sorted(live, key=lambda k: -self.fill[k]) if b != a and self.fill[b] >= self.fill[a]):
-                break
-        return [b for b in self.bins if b]
-
-    def _improve(self, a: int, b: int) -> bool:
-        """One step that shifts length from bin a to the fuller bin b: move, one for one, two for one."""
-        room, best = self.limit - self.fill[b], (0, (), ())
-        own, other = sorted(set(self.bins[a])), sorted(set(self.bins[b]))
-        if not room:
-            return False
-        k = bisect_left(own, room + 1)
-        if k:
-            best = (own[k - 1], (own[k - 1],), ())
-        for y in other:
-            k = bisect_left(own, y + room + 1)
-            if k and own[k - 1] - y > best[0]:
-                best = (own[k - 1] - y, (own[k - 1],), (y,))
-            for x in own:  # two of a for one of b
-                k = bisect_left(own, y + room - x + 1)
-                if k and (own[k - 1] != x or self.bins[a].count(x) > 1) and own[k - 1] + x - y > best[0]:
-                    best = (own[k - 1] + x - y, (x, own[k - 1]), (y,))
-        gain, give, take = best
-        if gain <= 0:
-            return False
-        for x in give:
-            self.bins[a].remove(x)
-            self.bins[b].append(x)
-        for y in take:
-            self.bins[b].remove(y)
-            self.bins[a].append(y)
-        self.fill[a] -= gain
-        self.fill[b] += gain
-        return True
-
-
-def pack_histogram(histogram: dict[int, int], limit: int, max_bins: int = 400, max_steps: int = 4000) -> Bins:
-    """Best fit, then local search over the least filled bins, at most max_bins at once and max_steps steps. All pieces are packed."""
+        return [list(c) for c, n in self.search(max_steps).items() for _ in range(n)]
+
+    def search(self, max_steps: int | None = None) -> Bins:
+        """Empties the least filled classes into the others again and again, until no bin can go or no step improves."""
+        seen: dict[int, int] = {}  # class number -> rows of the table that it has been tried on
+        steps, before = 0, -1
+        while steps != before:
+            before = steps
+            self._compact(seen)
+            table, alive = np.zeros((0, 3), np.int64), None
+            for a in sorted(self.number, key=lambda c: (sum(c), c)):
+                while a in self.number:
+                    if self.count < 2 or self.total > (self.count - 1) * self.limit or steps == max_steps:
+                        return dict(self.bins)
+                    if len(table) < len(self.rows):
+                        table = np.concatenate([table, np.array(self.rows[len(table) :], np.int64).reshape(-1, 3)])
+                    if alive is None:
+                        alive = np.zeros(len(self.names), bool)
+                        alive[list(self.number.values())] = True
+                    own = self.number[a]
+                    found = self._step(a, own, table, alive, seen.get(own, 0))
+                    if not found:
+                        seen[own] = len(table)
+                        break
+                    b, give, take = found
+                    n = min(self.bins[a], self.bins[b]) if a != b else self.bins[a] // 2
+                    self._add(a, -n)
+                    self._add(b, -n)
+                    for old, less, more in ((a, give, take), (b, take, give)):
+                        left = Counter(old)
+                        left.subtract(less)
+                        left.update(more)
+                        self._add(tuple(sorted(left.elements(), reverse=True)), n)
+                    alive, steps = None, steps + 1
+        return dict(self.bins)
+
+    def _add(self, contents: tuple[int, ...], n: int) -> None:
+        if not contents:
+            return
+        fill = sum(contents)
+        before = self.bins[contents]
+        self.bins[contents] += n
+        self.count, self.total = self.count + n, self.total + n * fill
+        if not self.bins[contents]:
+            del self.bins[contents], self.number[contents]
+        elif not before or before == 1:  # a class of one bin hasn't been tried on itself
+            self._enter(contents)
+
+    def _enter(self, contents: tuple[int, ...]) -> None:
+        self.number[contents] = len(self.names)
+        self.names.append(contents)
+        if sum(contents) < self.limit:
+            self.rows += [(self.number[contents], y, sum(contents)) for y in (0, *sorted(set(contents)))]
+
+    def _compact(self, seen: dict[int, int]) -> None:
+        """Leaves the rows of classes without bins out of the table."""
+        kept = [self.number.get(self.names[r[0]]) == r[0] for r in self.rows]
+        upto = [0, *np.cumsum(kept).tolist()]
+        self.rows = [r for r, k in zip(self.rows, kept, strict=True) if k]
+        for k in seen:
+            seen[k] = upto[seen[k]]
+
+    def _step(self, a: tuple[int, ...], own: int, table: np.ndarray, alive: np.ndarray, start: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]] | None:
+        """The fullest class that a step helps, and the pieces of a and of that class in the step that shifts most."""
+        fill = sum(a)
+        number, piece, fills = table[start:].T
+        ok = alive[number] & (fills >= fill)
+        if self.bins[a] < 2:
+            ok &= number != own
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return None
+        number, piece, fills = number[at], piece[at], fills[at]
+        values = sorted(set(a))
+        sums = {x + y: (x, y) for k, x in enumerate(values) for y in values[k:] if x != y or a.count(x) > 1} | {x: (x,) for x in values}
+        gain = np.zeros(len(at), np.int64)
+        for kind, gives in ((piece == 0, np.array(values)), (piece > 0, np.array(sorted(sums)))):
+            room = self.limit - fills[kind] + piece[kind]
+            k = np.searchsorted(gives, room, "right")
+            gain[kind] = np.where(k > 0, gives[k - 1] - piece[kind], 0)
+        good = np.flatnonzero(gain > 0)
+        if not len(good):
+            return None
+        best = good[np.lexsort((gain[good], fills[good]))[-1]]
+        y = int(piece[best])
+        return self.names[number[best]], sums[int(gain[best]) + y], (y,) if y else ()
+
+
+def pack_histogram(histogram: dict[int, int], limit: int) -> Bins:
+    """Best fit, then local search over all underfull bins until no step improves. All pieces are packed."""
     bins = best_fit({x: c for x, c in histogram.items() if c and x > 0}, limit)
-    loose: list[list[int]] = []
-    for contents in sorted(bins, key=lambda c: (sum(c), c)):
-        if sum(contents) == limit or len(loose) >= max_bins:
-            break
-        take = min(bins[contents], max_bins - len(loose))
-        loose += [list(contents)] * take
-        bins[contents] -= take
-    for contents in LocalSearch(loose, limit).run(max_steps):
-        bins[tuple(sorted(contents, reverse=True))] = bins.get(tuple(sorted(contents, reverse=True)), 0) + 1
-    return {c: n for c, n in bins.items() if n}
+    loose = {c: n for c, n in bins.items() if sum(c) < limit}
+    out = Counter({c: n for c, n in bins.items() if c not in loose})
+    out.update(LocalSearch(loose, limit).search())
+    return dict(out)
 
 
 def placement(bins: Bins) -> list[tuple[int, int, int, int, int]]:
