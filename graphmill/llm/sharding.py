@@ -19,10 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, without_clashes
 
 #: A rank is found among about so many rows.
 RANGE_ROWS = 4096
+#: Populations that numpy's own draw takes.
+NUMPY_BOUND = 10**9
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -37,7 +39,6 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
             if not left:
                 break
             rest -= int(lacking[s])
-            # exact one-column draws; numpy's own bound on populations is met by splitting at 10**9
             take = _hypergeometric(rng, int(lacking[s]), rest, left)
             out[p, s] = take
             left -= take
@@ -45,15 +46,38 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     return out
 
 
+def _log_factorial_step(a: int, b: int) -> float:
+    """log(b!) - log(a!), without the cancellation that the difference of two large values has (Stirling's series of both)."""
+    if min(a, b) < 1000:
+        return math.lgamma(b + 1) - math.lgamma(a + 1)
+    step, series = b - a, lambda n: 1 / (12 * n) - 1 / (360 * n**3)
+    return step * math.log(a) + (b + 0.5) * math.log1p(step / a) - step + series(b) - series(a)
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many good ones are among draws without replacement: an exact draw at every size.
+
+    numpy draws from populations below its bound; a larger one is drawn by ratio of uniforms (Stadlober, 1989), with the probability
+    relative to the mode's as an exact difference of log factorials.
+    """
+    n = good + bad
     if bad == 0:
         return draws
-    if good + bad < 10**9:
+    if good == 0 or draws == 0:
+        return 0
+    if n < NUMPY_BOUND:
         return int(rng.hypergeometric(good, bad, draws))
-    # of a huge population the count of one kind is normal to within one row in the tails that matter; clipped to what is possible
-    n = good + bad
-    mean, var = draws * good / n, draws * (good / n) * (bad / n) * ((n - draws) / (n - 1))
-    return int(np.clip(round(rng.normal(mean, math.sqrt(var))), max(0, draws - bad), min(good, draws)))
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (n + 2)))
+    parts = lambda k: (k, good - k, draws - k, bad - draws + k)
+    mean = draws * (good / n)
+    spread = math.sqrt(max(0.0, (n - draws) / (n - 1) * mean * (bad / n)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= -sum(_log_factorial_step(x, y) for x, y in zip(parts(mode), parts(k), strict=True)):
+            return k
 
 
 def unit_range(h: Column, n: Column | int) -> Column:
@@ -64,10 +88,12 @@ def unit_range(h: Column, n: Column | int) -> Column:
 def hypergeometric_shards(rows: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
     """rows with shard int and slot long, gapless from 0 in each shard; shard sizes differ by one row at most.
 
-    Rows may have any columns (but _pid, _row, _at, _draw, _range) with nulls; repeated rows are rows of their own; an empty table
-    gives no rows; with fewer rows than shards some shards stay empty. Only the columns that are given travel: join texts later.
+    Rows may have any columns with nulls; columns called shard, slot, _pid, _row, _at, _draw, _range, _upto, _n, _start or _k come back
+    with _in added to their name. Repeated rows are rows of their own; an empty table gives no rows; with fewer rows than shards some
+    shards stay empty. Only the columns that are given travel: join texts later.
     """
     spark = rows.sparkSession
+    rows = without_clashes(rows, ("shard", "slot", "_pid", "_row", "_at", "_draw", "_range", "_upto", "_n", "_start", "_k"))
     keyed = saved(rows.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     counts = {r["_pid"]: r["n"] for r in keyed.groupBy("_pid").agg(F.count("*").alias("n")).collect()}  # one row a partition
     if not counts:
