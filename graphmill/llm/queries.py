@@ -63,7 +63,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "positions")
+    return mixing.in_first_order(mixing.mix_sources(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "positions")
 
 
 def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
