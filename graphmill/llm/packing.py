@@ -3,8 +3,8 @@
 Lengths are whole numbers up to the sequence length, so the corpus is packed through its length histogram: at most `limit` numbers,
 whatever its size. Bins with the same contents are one entry with a multiplicity. Best fit (longest first) fills bins class by class;
 local search then takes all underfull bins, class by class, and exchanges one piece for one, two for one, or moves one, whenever the sum
-of squared fills rises, until no step does or no bin can go. The finished plan says, for each length, which runs of pieces of that length go to which bin and offset; it
-is broadcast (its size depends on the number of lengths, not of documents) and every piece finds its place by its rank within its length.
+of squared fills rises, until no step does or no bin can go. The finished plan says, for each length, which runs of pieces of that
+length go to which bin and offset; every piece finds its place in it by its rank within its length.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, release, saved, small_batches
+from .common import column_bytes, release, saved, small_batches, without_clashes
 from .sharding import unit_range
 
 Bins = dict[tuple[int, ...], int]
+#: Ranks of one length that the join with the plan takes together.
+RANK_BLOCK = 4096
 
 
 def best_fit(histogram: dict[int, int], limit: int) -> Bins:
@@ -196,16 +198,16 @@ def pack_pieces(pieces: DataFrame, limit: int = 2048, key: str = "doc_id") -> Da
     """pieces (with key, piece and length long, 1 to limit) with sequence_id and offset long.
 
     Pieces of one length are ranked in hash ranges of about sqrt(n) rows, so a length that most pieces share is ranked by many tasks.
-    Repeated keys are pieces of their own. Empty table: no rows. Columns that begin with _ are this operator's.
+    Repeated keys are pieces of their own. Empty table: no rows. Columns of pieces called sequence_id or offset, or like this
+    operator's own that begin with _, come back with _in added to their name.
     """
     spark = pieces.sparkSession
+    pieces = without_clashes(pieces, ("sequence_id", "offset", "_tie", "_len", "_pieces", "_order", "_piece", "_n", "_p", "_start", "_k", "_rank", "_f", "_e", "_b", "_block"))
+    columns = pieces.columns
     rows = saved(pieces.withColumn("_tie", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limit rows
     plan = placement(pack_histogram(histogram, limit))
     split = {x: max(1, int(n**0.5)) for x, n in histogram.items()}
-    table = np.zeros(limit + 1, np.int64)
-    for x, n in split.items():
-        table[x] = n
     widths = spark.createDataFrame([(int(x), int(n)) for x, n in split.items()], "_len long, _pieces long")
     rows = rows.join(F.broadcast(widths), F.col("length") == F.col("_len")).drop("_len")  # at most limit rows
     rows = rows.withColumn("_order", F.xxhash64(F.col(key), "piece", "_tie")).withColumn("_piece", unit_range(F.col("_order"), F.col("_pieces"))).drop("_pieces")
@@ -215,14 +217,12 @@ def pack_pieces(pieces: DataFrame, limit: int = 2048, key: str = "doc_id") -> Da
     within = Window.partitionBy("length", "_piece").orderBy("_order", "_tie")
     rows = rows.withColumn("_k", F.row_number().over(within) - 1)
     rows = rows.join(starts, (F.col("length") == F.col("_len")) & (F.col("_piece") == F.col("_p"))).withColumn("_rank", F.col("_start") + F.col("_k")).drop("_len", "_p", "_start", "_k", "_order", "_piece", "_tie")
-    # for each length the sorted ends of its runs and what they map to
-    runs: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, first, end, first_bin, offset in plan:
-        runs.setdefault(length, []).append((first, end, first_bin, offset))
-    lookup = spark.createDataFrame([(x, [(f, e, b, o) for f, e, b, o in sorted(r)]) for x, r in runs.items()], "_len long, _runs array<struct<f:long,e:long,b:long,o:long>>")
-    rows = rows.join(F.broadcast(lookup), F.col("length") == F.col("_len"))
-    run = F.element_at(F.filter("_runs", lambda r: (r["f"] <= F.col("_rank")) & (F.col("_rank") < r["e"])), 1)
-    return rows.withColumn("_run", run).withColumn("sequence_id", F.col("_run.b") + F.col("_rank") - F.col("_run.f")).withColumn("offset", F.col("_run.o")).drop("_run", "_runs", "_rank", "_len")
+    # a run of ranks is met in each block of RANK_BLOCK ranks that it touches: an equality join that no length makes hot
+    runs = spark.createDataFrame(plan, "_len long, _f long, _e long, _b long, offset long")
+    block = lambda rank: F.floor(rank / RANK_BLOCK)
+    runs = runs.withColumn("_block", F.explode(F.sequence(block(F.col("_f")), block(F.col("_e") - 1))))
+    inside = (F.col("length") == F.col("_len")) & (block(F.col("_rank")) == F.col("_block")) & (F.col("_f") <= F.col("_rank")) & (F.col("_rank") < F.col("_e"))
+    return rows.join(runs, inside).withColumn("sequence_id", F.col("_b") + F.col("_rank") - F.col("_f")).drop("_len", "_f", "_e", "_b", "_block", "_rank").select(*columns, "sequence_id", "offset")
 
 
 #: A full stop or comma between an ASCII letter and white space is a token of its own in any case.
@@ -316,5 +316,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 2048, en
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenises, cuts and packs docs: key, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenises, cuts and packs docs: key, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Very long texts become as many pieces as they need; null and empty ones a piece of the end_id; repeated rows are packed each.
+    """
     return pack_pieces(tokenized_pieces(docs, tokenizer_path, limit, end_id, key, text), limit, key)
