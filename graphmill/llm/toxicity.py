@@ -67,14 +67,16 @@ def held_out(key: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, bits: int = 20, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights that aren't zero (2^bits is the bias).
 
-    Features that only one sampled row has are left out, as L1 would never let them through. Learns from at most max_labelled rows with toxic 0 or 1 that aren't held out: those of the least hashes of doc_id. A doc_id that is
-    labelled twice counts with its higher label. No labelled rows: no weights, every score is 1/2.
+    Features that only one sampled row has are left out, as L1 would never let them through. Learns from at most max_labelled rows with
+    toxic 0 or 1 that aren't held out: those of the least hashes of doc_id. A doc_id that is labelled twice counts with its higher
+    label, one that several rows of docs share with its least text. No labelled rows: no weights, every score is 1/2.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")  # at most max_labelled rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # sample: at most max_labelled rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # and so are these
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,7 +109,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000,
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; null and empty texts score by the bias alone."""
+    """doc_id and score (0 to 1) of every whole text; null and empty texts score by the bias alone. Repeated rows and doc_ids are scored
+    row by row; an empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
