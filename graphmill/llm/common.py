@@ -10,12 +10,13 @@ import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words, space and \x09 to \x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -33,10 +34,12 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that spark.checkpoint.dir names; only where it is unset, a folder of our own (tests, one machine)."""
+    """Uses the shared folder that spark.checkpoint.dir names. Where it is unset, a folder of our own on one machine, an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphmill-checkpoints"))
 
 
@@ -46,6 +49,47 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of saved frames that nothing will read again."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without_clashes(df: DataFrame, own: Iterable[str]) -> DataFrame:
+    """df with columns that an operator's own names would clash with (in any case of letters) called name_in, name_in_in and so on."""
+    taken = {c.lower() for c in own}
+    names, out = {c.lower() for c in df.columns}, df
+    for c in df.columns:
+        new = c
+        while new.lower() in taken or (new != c and new.lower() in names):
+            new += "_in"
+        out = out if new == c else out.withColumnRenamed(c, new)
+        names.add(new.lower())
+    return out
+
+
+def carried(docs: DataFrame, keep: Iterable[str], own: Iterable[str]) -> tuple[DataFrame, tuple[str, ...]]:
+    """doc_id, text and the columns keep of docs, and what keep is called here: a name among own, doc_id or text gets _in."""
+    keep = list(keep)
+    names = without_clashes(docs.select(*[F.col(f"`{c}`") for c in keep]), ["doc_id", "text", *own]).columns
+    return docs.select("doc_id", "text", *[F.col(f"`{a}`").alias(b) for a, b in zip(keep, names, strict=True)]), tuple(names)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name long, gapless from 0 in the order, without one task that sees all rows: a range sort, then each range's start."""
+    rows = saved(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    starts, upto = [], 0
+    for k in sorted(counts):
+        starts.append((k, upto))
+        upto += counts[k]
+    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    return rows.join(F.broadcast(table), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

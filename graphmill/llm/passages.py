@@ -9,8 +9,8 @@ Both passage operators use it, on windows of words or of bytes, with their own s
    back which are repeated. Hash collisions only let a segment through that the exact step then clears.
 3. An anchor that stands in very many different segments (a passage with as many surroundings) is hot. Of hot segments the windows
    themselves are asked for in the same way; only runs of repeated windows stay, which are the same wherever the passage is.
-4. Chunks send each distinct repeated segment once, whole, to the bucket of its anchor. The bucket collapses equal segments and the
-   kernel judges every window exactly by content.
+4. Chunks send each distinct repeated segment once, whole, to the bucket of its anchor; equal hashes of segments are settled by their
+   content. The bucket collapses equal segments and the kernel judges every window of every segment exactly by content.
 5. The verdicts go back to the chunks, which mark the covered units.
 
 So texts are shuffled once, and a bucket holds segments, never documents. Memory is bounded by the chunk (about 100 times its bytes
@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, release, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
+from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, ranges, release, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
 
 _U = np.uint64
 CHUNK_BYTES = 1 << 20
 #: Different segments in one chunk, or over all chunks (of 256 values of a short hash), from which an anchor is hot.
 HOT_IN_CHUNK, HOT_ANYWHERE = 8, 48
+#: Units of equal segments that are compared at once.
+COMPARED_UNITS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -200,17 +202,51 @@ class Segments:
         with np.errstate(over="ignore"):
             key = mix(self.hash * _U(0x9FB21C651E98DF25) ^ whole) ^ (self.place - self.first).astype(np.uint64)
         _, self.lead, self.cls, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        unlike = np.flatnonzero(~self._alike(self.lead[self.cls], np.arange(len(self.cls))))
+        if len(unlike):  # equal hashes of unequal content: those classes go by the content itself
+            names: dict[tuple, int] = {}
+            for k in np.flatnonzero(np.isin(self.cls, self.cls[unlike])).tolist():
+                at = np.array([k])
+                self.cls[k] = len(key) + names.setdefault((int(self.hash[k]), int(self.place[k] - self.first[k]), self._content(at)[0]), len(names))
+            _, self.lead, self.cls, self.times = np.unique(self.cls, return_index=True, return_inverse=True, return_counts=True)
         self.least = np.full(len(self.lead), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.cls, self.ids[self.doc[self.first]] if len(self.first) else np.zeros(0, np.int64))
 
-    def contents(self) -> list[bytes]:
-        """Of the classes, words joined by one space."""
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether segments a[k] and b[k] are the same, unit by unit, with the same anchor."""
+        ok = (self.count[a] == self.count[b]) & (self.hash[a] == self.hash[b]) & (self.place[a] - self.first[a] == self.place[b] - self.first[b])
+        todo = np.flatnonzero(ok & (a != b))
+        size = self.count[a[todo]] + self.how.size - 1
+        step = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + COMPARED_UNITS, COMPARED_UNITS))
+        for s, e in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):
+            at, n = todo[s:e], size[s:e]
+            if not len(at):
+                continue
+            x, y = ranges(self.first[a[at]], n), ranges(self.first[b[at]], n)
+            if self.how.units == "words":
+                long, other = self.ends[x] - self.starts[x], self.ends[y] - self.starts[y]
+                same = np.logical_and.reduceat(long == other, np.cumsum(n) - n)
+                ok[at[~same]] = False
+                keep = np.repeat(same, n)
+                at, n, x, y, long = at[same], n[same], x[keep], y[keep], long[keep]
+                if not len(at):
+                    continue
+                n = np.add.reduceat(long, np.cumsum(n) - n)
+                x, y = ranges(self.starts[x], long), ranges(self.starts[y], long)
+            ok[at[~np.logical_and.reduceat(self.data[x] == self.data[y], np.cumsum(n) - n)]] = False
+        return ok
+
+    def _content(self, segments: np.ndarray) -> list[bytes]:
+        """Of segments, words joined by one space."""
         raw = self.data.tobytes()
-        a, b = self.span(self.first[self.lead], self.count[self.lead])
+        a, b = self.span(self.first[segments], self.count[segments])
         if self.how.units == "words":
             return [b" ".join(raw[x:y].split()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
+    def contents(self) -> list[bytes]:
+        return self._content(self.lead)
+
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
@@ -332,17 +368,9 @@ def repeated_units(docs: DataFrame, how: Window, kernel: Kernel, finish: Callabl
                     times[k] += ck
                     least[k] = min(least[k], lk)
             entries.append(mine)
-        # a class that is alone with its anchor needs no suffix structure: its windows occur where it does
         order = sorted(range(len(text)), key=anchor.__getitem__)
-        lone = lambda k: np.full(windows[k], least[k], np.int64) if how.across else np.full(windows[k], times[k] > 1)
         verdict: list[np.ndarray | None] = [None] * len(text)
-        shared: list[int] = []
-        for s, k in enumerate(order):
-            if (s and anchor[order[s - 1]] == anchor[k]) or (s + 1 < len(order) and anchor[order[s + 1]] == anchor[k]):
-                shared.append(k)
-            else:
-                verdict[k] = lone(k)
-        for k, v in zip(shared, kernel(*[[x[k] for k in shared] for x in (anchor, text, place, windows, times, least)]), strict=True):
+        for k, v in zip(order, kernel(*[[x[k] for k in order] for x in (anchor, text, place, windows, times, least)]), strict=True):
             verdict[k] = v
         replies = [_pack(np.concatenate([verdict[k] for k in mine]).tobytes()) for mine in entries]
         del classes, text, entries, verdict

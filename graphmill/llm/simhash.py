@@ -1,29 +1,44 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Two 64-bit fingerprints that differ in at most 3 bits, cut into only two segments of 32 bits, have one segment that differs in at most
-one bit. So every distinct fingerprint is indexed under its one-wildcard variants: 2 segments x 32 positions, each the segment with
-that bit blanked. Fingerprints that link share a variant (equality), candidates are verified on all 64 bits, and linked fingerprints
-form connected components. Exact copies are one fingerprint from the start. A task that holds a variant's fingerprints reports a
-spanning forest of their links, never all pairs; a variant shared by very many is cut again, by the other segment's own variants.
+Two fingerprints that differ in at most 2 s - 1 bits, cut into only s segments, have one segment that differs in at most one bit. So
+every distinct fingerprint is indexed under its one-wildcard variants: each segment with each of its bits blanked. Fingerprints that
+link share a variant (equality), candidates are verified, and what is linked forms connected components.
+
+`near_duplicates` takes 64 bits in two segments and links at up to 3 bits; exact copies are one fingerprint from the start. A variant's
+fingerprints are streamed in order, and a task reports a spanning tree of what they link, never all pairs. A variant that more than
+WIDE_RUN fingerprints share is dealt again over all tasks, by the other segment's own variants; those groups hold at most 2^18.
+
+`near_copies` links texts by the exact Jaccard similarity of their shingle sets. Similarity 0.8 moves 15 % of a fingerprint's bits, so its
+fingerprints are longer: segments of about log2 n bits, as many as make a pair at the threshold meet with the stated recall. A variant's
+texts are compared by 128 bits within a sliding window of WINDOW neighbours, and candidates by their whole shingle sets.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import column_bytes, saved, shuffle_width, small_batches
+from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, word_bounds
 from .components import components
 
 _U = np.uint64
-#: Above so many fingerprints a shared variant is cut again.
-WIDE_RUN = 2048
+#: Above so many fingerprints a shared variant is dealt again.
+WIDE_RUN = 4096
+#: Neighbours of one variant that a text is compared with on each side.
+WINDOW = 16
+#: Variants of a text that are shuffled at once, and what one task sorts.
+ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -58,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, key: str = "
 
 
 class Forest:
-    """Union-find that keeps the edges that joined two trees."""
+    """Union-find that keeps edges that connect what was linked: few at every node, so no hub arises."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -78,76 +93,108 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
             self.edges.append((x, y))
 
+    def join(self, members: list[int]) -> None:
+        """All of members are connected: a binary tree of edges."""
+        for k in range(1, len(members)):
+            self.link(members[(k - 1) // 2], members[k])
 
-def _walk(fps: np.ndarray, bits: int, out: Forest) -> None:
-    """Links of a small set: each fingerprint in turn takes its neighbours out of those not yet reached."""
-    rest = fps
-    todo: list = []
+
+def reached(n: int, near) -> Iterator[list[int]]:
+    """Components of 0 .. n - 1 with two members or more; near(k, rest) says which of rest link with k. Each takes its neighbours out of those not yet reached."""
+    rest = np.arange(n)
     while len(rest):
-        if not todo:
-            todo, rest = [rest[0]], rest[1:]
-        x = todo.pop()
-        near = np.bitwise_count(rest ^ x) <= bits
-        if near.any():
-            for y in rest[near]:
-                out.link(int(x), int(y))
-                todo.append(y)
-            rest = rest[~near]
-
-
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of equal sorted keys that are longer than one."""
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    for k in np.flatnonzero(np.diff(cuts) > 1):
-        yield int(cuts[k]), int(cuts[k + 1])
-
-
-def link_run(fps: np.ndarray, low: bool, bits: int, out: Forest) -> None:
-    """Links among fingerprints that share a variant of the low (or high) segment."""
-    fps = np.unique(fps)
-    if len(fps) <= WIDE_RUN:
-        _walk(fps, bits, out)
-        return
-    other = (fps >> _U(32)) if low else (fps & _U(0xFFFFFFFF))
-    for half in (0, 16):  # of the other segment's two halves one differs in at most one bit
-        part = (other >> _U(half)) & _U(0xFFFF)
-        for k in range(16):
-            key = part & _U(0xFFFF ^ (1 << k))
-            order = np.argsort(key, kind="stable")
-            for a, b in _runs(key[order]):
-                _walk(fps[order[a:b]], bits, out)
-
-
-def variants(classes: DataFrame) -> DataFrame:
-    """variant long, fp long: the 64 one-wildcard variants of each fingerprint. A variant's number is in its upper half."""
-    v = F.col("v")
-    part = F.when(v < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    blanked = part.bitwiseAND(F.expr("~shiftleft(1L, v % 32)"))
-    return classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select((F.shiftleft(v.cast("long"), 32).bitwiseOR(blanked)).alias("variant"), "fp")
+        todo, rest = [int(rest[0])], rest[1:]
+        for k in todo:  # grows
+            if not len(rest):
+                break
+            hit = near(k, rest)
+            todo += rest[hit].tolist()
+            rest = rest[~hit]
+        if len(todo) > 1:
+            yield todo
 
 
-def fingerprint_links(classes: DataFrame, bits: int = 3) -> DataFrame:
-    """u, v long: edges between distinct fingerprints that differ in 1 to bits (at most 3) bits, enough to connect all that are linked."""
-    if not 0 < bits <= 3:
-        raise ValueError("two segments with one wildcard find at most 3 differing bits")
-    spark = classes.sparkSession
-    small_batches(spark, 50_000)
-    width = max(shuffle_width(spark), math.ceil(classes.count() * 64 / 1_000_000))
+def _walk(fps: np.ndarray, bits: int, out: Forest) -> None:
+    """What a small set of distinct fingerprints links."""
+    for group in reached(len(fps), lambda k, rest: np.bitwise_count(fps[rest] ^ fps[k]) <= bits):
+        out.join(fps[group].tolist())
+
+
+def variants(classes: DataFrame, length: int, *carried: str) -> DataFrame:
+    """variant long and carried: the one-wildcard variants of classes.segments (an array of numbers of length bits)."""
+    parts = classes.select(*carried, F.posexplode("segments").alias("s", "part"))
+    blanked = parts.select(*carried, "s", "part", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("w"))
+    kept = F.col("part").bitwiseAND(F.expr("~shiftleft(1L, w)"))
+    return blanked.select(F.shiftleft((F.col("s") * length + F.col("w")).cast("long"), length).bitwiseOR(kept).alias("variant"), *carried)
+
+
+def _dealt(rows: DataFrame, n: int, key: str, *order: str) -> DataFrame:
+    """rows dealt by key to tasks that sort about TASK_ROWS each (and spill what they can't hold)."""
+    return rows.repartition(max(shuffle_width(rows.sparkSession), math.ceil(n / TASK_ROWS)), key).sortWithinPartitions(key, *order)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray | None]]:
+    """key and the fps of each stretch of equal keys that is longer than one; None for fps if they are more than most."""
+    key, held, dropping = None, np.zeros(0, np.uint64), False
+    for b in batches:
+        keys, fps = b["variant"].to_numpy(), b["fp"].to_numpy().view(np.uint64)
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        lone = np.diff(cuts) == 1
+        for k in range(len(cuts) - 1):
+            if lone[k] and 0 < k < len(cuts) - 2:
+                continue
+            mine, part = int(keys[cuts[k]]), fps[cuts[k] : cuts[k + 1]]
+            if mine != key:
+                if dropping or len(held) > 1:
+                    yield key, None if dropping else held
+                key, held, dropping = mine, part, False
+            elif not dropping:
+                held = np.concatenate([held, part])
+            if len(held) > most:
+                held, dropping = held[:0], True
+    if dropping or len(held) > 1:
+        yield key, None if dropping else held
+
+
+def _linked_runs(rows: DataFrame, n: int, bits: int, most: int) -> DataFrame:
+    """u, v: edges among the fps of a variant; u alone: a variant of more than most fps, which are left out."""
+    small_batches(rows.sparkSession, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b["variant"].to_numpy(), b["fp"].to_numpy()) for b in batches]
-        out = Forest()
-        if parts:
-            key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            fp = fp.view(np.uint64)
-            order = np.argsort(key, kind="stable")
-            key, fp = key[order], fp[order]
-            for a, b in _runs(key):
-                link_run(fp[a:b], int(key[a]) >> 32 < 32, bits, out)
+        out, wide = Forest(), []
+        for key, fps in _runs(batches, most):
+            if fps is None:
+                wide.append(key)
+            else:
+                _walk(fps, bits, out)
         pairs = np.array(out.edges, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], np.array(wide, np.int64)])), pa.array([*pairs[:, 1].tolist(), *[None] * len(wide)], pa.int64())], names=["u", "v"])
+
+    return _dealt(rows, n, "variant").mapInArrow(run, "u long, v long")
+
 
-    return variants(classes).repartition(width, "variant").mapInArrow(run, "u long, v long")
+def _other_variants(rows: DataFrame) -> DataFrame:
+    """variant, fp of rows (variant, fp): a variant of the other segment's halves is added, of which one differs in at most one bit."""
+    other = F.when(F.col("variant") < F.shiftleft(F.lit(32).cast("long"), 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    cut = rows.select("variant", "fp", F.posexplode(F.array(other.bitwiseAND(0xFFFF), F.shiftrightunsigned(other, 16))).alias("half", "part"))
+    cut = cut.select("variant", "fp", "half", "part", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("w"))
+    mark = F.shiftleft((F.col("half") * 16 + F.col("w")).cast("long"), 16).bitwiseOR(F.col("part").bitwiseAND(F.expr("~shiftleft(1L, w)")))
+    return cut.select(F.shiftleft("variant", 21).bitwiseOR(mark).alias("variant"), "fp")
+
+
+def fingerprint_links(classes: DataFrame, bits: int = 3) -> DataFrame:
+    """u, v long: edges between distinct fingerprints (classes.fp) that connect all that differ in 1 to bits (at most 3) bits."""
+    if not 0 < bits <= 3:
+        raise ValueError("two segments with one wildcard find at most 3 differing bits")
+    n = classes.count() * 64
+    all_variants = variants(classes.select("fp", F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)).alias("segments")), 32, "fp")
+    found = saved(_linked_runs(all_variants, n, bits, WIDE_RUN))
+    wide = found.where("v is null and u is not null").select(F.col("u").alias("variant"))
+    edges = found.where("v is not null")
+    if wide.isEmpty():
+        return edges
+    again = saved(_other_variants(all_variants.join(wide, "variant", "left_semi")))
+    return edges.union(_linked_runs(again, again.count(), bits, 1 << 18))  # 16 free bits and two wildcards: no more than 2^18
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,3 +210,176 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, key: str =
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(ids, F.col("fp") == F.col("_fp")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_sets(column: pa.Array, shingle: int = 5) -> Iterator[np.ndarray]:
+    """For each row the distinct hashes of its word shingles; of all words if they are fewer; none without words. A-Z lower-cased."""
+    data, off = column_bytes(column)
+    for x, y in row_slices(off):
+        part = _LOWER[data[off[x] : off[y]]]
+        starts, ends, before = word_bounds(part, off[x : y + 1] - off[x])
+        words = span_hash(prefix_hash(part), starts, ends)
+        grams = gram_hash(words, shingle)
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            yield np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else gram_hash(words[a:b], b - a) if b > a else grams[:0]
+
+
+def long_fingerprint(grams: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits (as 0 and 1): of a shingle set, the majority of each bit of its hashes."""
+    times = mix(np.arange(1, words + 1, dtype=np.uint64)) | _U(1)
+    ones = np.zeros(64 * words, np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(grams), 255):  # a byte holds the sums of 255 rows
+            ones += np.unpackbits(mix(grams[k : k + 255, None] * times).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * ones > len(grams)).astype(np.uint8)
+
+
+def segment_shape(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Length and number of segments for n texts: a pair at the similarity differs in at most one bit of some segment with probability recall."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of bits in which two sets of one size differ
+    length = min(40, max(16, math.ceil(math.log2(max(2, n))) + 1))
+    meet = min(0.999999, (1 - apart) ** length + length * apart * (1 - apart) ** (length - 1))
+    return length, max(math.ceil(128 / length), math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
+def _sketches(docs: DataFrame, shingle: int, length: int, segments: int) -> DataFrame:
+    """doc_id, mark (of the text as it is), cls long (of its words), segments array<long> (null without words), a and b long: 128 bits."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, words = 1 << np.arange(length, dtype=np.int64), math.ceil(length * segments / 64)
+        for batch in batches:
+            data, off = column_bytes(batch["text"])
+            raw, at = data.tobytes(), off.tolist()
+            cls = np.array([xxhash.xxh64_intdigest(b" ".join(raw[x:y].lower().split())) for x, y in zip(at, at[1:], strict=False)], np.uint64)
+            sets = list(shingle_sets(batch["text"], shingle))
+            bits = np.stack([long_fingerprint(s, words) for s in sets]) if sets else np.zeros((0, 64 * words), np.uint8)
+            parts = bits[:, : length * segments].reshape(len(sets), segments, length) @ powers
+            check = np.packbits(bits[:, :128], axis=1).view(np.int64)
+            none = np.array([not len(s) for s in sets], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * segments), pa.array(parts.ravel()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(cls.view(np.int64)), lists, pa.array(check[:, 0]), pa.array(check[:, 1])], names=["doc_id", "mark", "cls", "segments", "a", "b"])
+        release()
+
+    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, segments array<long>, a long, b long")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("mark", F.coalesce(F.md5("text"), F.lit("")))
+
+
+def window_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """u, v, differing bits: pairs of equal variant, at most WINDOW rows apart, whose 128 bits differ in at most most."""
+    names = ("variant", "cls", "a", "b")
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        old = len(held[0])
+        key, cls, a, b = (np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, names, strict=True))
+        at = np.arange(len(key))
+        for d in range(1, WINDOW + 1):
+            at = at[at + d < len(key)]
+            at = at[key[at + d] == key[at]]  # keys are sorted: what fails here fails farther on
+            if not len(at):
+                break
+            x = at[at + d >= old]
+            apart = np.bitwise_count((a[x] ^ a[x + d]).view(np.uint64)).astype(np.int32) + np.bitwise_count((b[x] ^ b[x + d]).view(np.uint64))
+            x, apart = x[apart <= most], apart[apart <= most]
+            if len(x):
+                yield cls[x], cls[x + d], apart
+        held = [h[-WINDOW:] for h in (key, cls, a, b)]
+
+
+def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> DataFrame:
+    """u, v, apart: distinct pairs of classes that share a variant and whose 128 bits are as near as similarity makes them but once in a thousand."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(128 * share + 3.1 * math.sqrt(128 * share * (1 - share)))
+    spark, n = classes.sparkSession, classes.count()
+    each = max(1, ROUND_VARIANTS // length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for u, v, apart in window_pairs(batches, most):
+            found.update(zip(zip(u.tolist(), v.tolist(), strict=True), apart.tolist(), strict=True))
+            if len(found) > 200_000:
+                yield batch_of(found)
+                found = {}
+        yield batch_of(found)
+
+    def batch_of(found: dict[tuple[int, int], int]) -> pa.RecordBatch:
+        pairs = np.array(list(found), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(found.values()), pa.int32())], names=["u", "v", "apart"])
+
+    rounds = []
+    for first in range(0, segments, each):  # a few segments at a time bound what is shuffled at once
+        small_batches(spark, 50_000)
+        part = classes.where("segments is not null").select("cls", "a", "b", F.slice("segments", first + 1, each).alias("segments"))
+        rows = _dealt(variants(part, length, "cls", "a", "b"), n * length * min(each, segments - first), "variant", "cls")
+        rounds.append(saved(rows.mapInArrow(run, "u long, v long, apart int")))
+        del rows, part
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # the round's shuffle files may go
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.union(r)
+    out = saved(out.groupBy("u", "v").agg(F.min("apart").alias("apart")))
+    dropped(*rounds)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u, v of pairs whose texts (cls, text) have shingle sets of the similarity or more."""
+    small_batches(pairs.sparkSession, 500)
+    least = Fraction(similarity).limit_denominator(1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(shingle_sets(b["tu"], shingle), shingle_sets(b["tv"], shingle), strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([b["u"], b["v"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        release()
+
+    both = pairs.select("u", "v").join(texts.select(F.col("cls").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("tv")), "v")
+    return saved(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("mark") == F.col(b))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """The rows of docs (doc_id, text and others) less all but one of each component of near copies: that of the least doc_id (null
+    last), then of the least md5 of the text.
+
+    Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
+    are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
+    candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
+    in different components. More than WINDOW texts that share a variant are compared with WINDOW neighbours in the order of their
+    hashes, in every variant that they share. Rows that share a doc_id are decided by their texts. Empty table: no rows.
+    """
+    length, segments = segment_shape(docs.count(), similarity, recall)
+    rows = saved(_sketches(docs, shingle, length, segments))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("segments", "a", "b")]))
+    pairs = _candidates(classes, length, segments, similarity)
+    nodes = pairs.select(F.col("u").alias("_cls")).union(pairs.select("v")).distinct()
+    wanted = classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")).join(nodes, F.col("cls") == F.col("_cls"), "left_semi")
+    texts = saved(_marked(docs).select("doc_id", "mark", "text").join(wanted, _same("_id", "_mark")).groupBy("cls").agg(F.first("text").alias("text")))
+    nearest = SqlWindow.partitionBy("v").orderBy("apart", "u")
+    ranked = saved(pairs.withColumn("k", F.row_number().over(nearest)))
+    links = _verified(ranked.where("k <= 2"), texts, shingle, similarity)
+    roots = saved(components(links))
+    home = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = ranked.where("k > 2").join(home("u"), "u", "left").join(home("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)")
+    more = _verified(apart, texts, shingle, similarity)
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    named = classes.select("cls", "first").join(roots, F.col("cls") == F.col("u"), "left")
+    best = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
+    best = saved(best.join(counts, _same("_id", "_mark")).select("_id", "_mark", "_n"))
+    dropped(pairs, ranked, texts, links, more)
+    one = _marked(docs).join(best.where("_n = 1"), _same("_id", "_mark"), "left_semi")
+    several = _marked(docs).join(best.where("_n > 1"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
+    return one.unionByName(several).select(*docs.columns)

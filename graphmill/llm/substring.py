@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, small_batches
+from .common import carried, column_bytes, small_batches
 from .passages import Segments, Window, repeated_units
 
 #: Words of one automaton.
@@ -159,7 +159,10 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ())
     """doc_id, n_words, n_removed, kept (the text without the removed words and the space after them) and keep of every document.
 
     A word goes if a window of size words that covers it also starts in a document with a smaller id. Windows are judged on the input.
+    Null texts are empty; null doc_ids rank last; rows that share a doc_id have the same id. A column of keep that is called like one of
+    this result's comes back with _in added to its name.
     """
+    docs, keep = carried(docs, keep, ("n_words", "n_removed", "kept"))
     return repeated_units(docs, Window("words", size, 4, True), _kernel(size), _finish(False, keep), _schema(docs, keep), keep)
 
 
@@ -168,11 +171,12 @@ def repeat_digests(docs: DataFrame, size: int = 13) -> DataFrame:
     return repeated_units(docs, Window("words", size, 4, True), _kernel(size), _finish(True, ()), _schema(docs, ())).withColumnRenamed("kept", "kept_sha256")
 
 
-def remove_reference(docs: DataFrame, reference: DataFrame, size: int = 13, max_shard_words: int = 200_000, max_reference_words: int = 5_000_000) -> DataFrame:
+def remove_reference(docs: DataFrame, reference: DataFrame, size: int = 13, max_shard_words: int = 100_000, max_reference_words: int = 400_000) -> DataFrame:
     """doc_id, n_words, n_removed: words of docs covered by a window that reference.text holds.
 
     The reference is read in shards of max_shard_words; each shard's automaton is broadcast and all documents are streamed through all
-    of them. Its size is counted first: beyond max_reference_words use remove_repeats on the union, which needs no broadcast.
+    of them. Its size is counted first (an automaton takes about 600 bytes a word, so 240 MB at most): beyond max_reference_words use
+    remove_repeats on the union, which needs no broadcast. Null texts are empty; repeated rows give repeated results.
     """
     from .mixing import word_count
 

@@ -6,9 +6,9 @@ falling count, to new groups just above their own. Phase 2 emits the order: each
 previous-smaller pointers, at the front of their groups.
 
 For dedup a task gets segments of text that share an anchor (see `passages`), lined up at it. Equal windows lie at equal distances from
-their anchor, so the suffixes that begin at every BLOCK-th byte from the anchor are sorted, on an alphabet of whole blocks, and one
-stable sort by (the bytes up to the next block, that block's suffix rank) puts all windows in order. Equal windows are then neighbours;
-neighbours are compared byte by byte.
+their anchor, so the suffixes that begin at every BLOCK-th byte from the anchor are sorted, on an alphabet of whole blocks. That order
+induces all others, one byte at a time: suffixes a byte farther from their block are ordered by (that byte, the order of what follows).
+Equal windows are then neighbours, as in a suffix array; neighbours are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prefix_hash, span_hash
+from .common import carried, prefix_hash, span_hash
 from .passages import Segments, Window, repeated_units
 
 BLOCK = 32
@@ -117,16 +117,29 @@ def repeated_windows(texts: list[bytes], places: list[int], windows: list[int],
     position = np.empty(len(order), np.int64)
     position[order] = np.arange(len(order))
 
+    # offsets up to the last window, and on to the next block's start
     n = np.array(windows)
-    text = np.repeat(np.arange(len(texts)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    reach = np.minimum(n + BLOCK, lengths)
+    base = np.cumsum(reach) - reach
+    text = np.repeat(np.arange(len(texts)), reach)
+    offset = np.arange(reach.sum()) - np.repeat(base, reach)
     ahead = (head[text] - offset) % BLOCK
-    block = (offset + ahead - head[text]) // BLOCK
-    suffix = position[first[text] + text + np.minimum(block, blocks[text])]
     start = begin[text] + offset
+    rank, order = np.zeros(len(text), np.int64), []
+    for distance in range(BLOCK):
+        at = np.flatnonzero(ahead == distance)
+        if distance:
+            at = at[at + 1 < base[text[at]] + reach[text[at]]]  # the others are no windows
+            rank[at] = rank[at + 1] | (data[start[at]].astype(np.int64) << 40)
+            sort = np.argsort(rank[at], kind="stable")
+            rank[at[sort]] = np.arange(len(at))
+        else:
+            rank[at] = position[first[text[at]] + text[at] + (offset[at] - head[text[at]]) // BLOCK]
+            sort = np.argsort(rank[at], kind="stable")
+        order.append(at[sort][offset[at[sort]] < n[text[at[sort]]]])
+    by = np.concatenate(order)
     prefix = prefix_hash(data)
-    by = np.lexsort((suffix, span_hash(prefix, start, start + ahead), ahead))
-    window = span_hash(prefix, start, start + size)[by]
+    window = span_hash(prefix, start[by], start[by] + size)  # equal windows have equal hashes, so only such neighbours are compared
     near = np.flatnonzero(window[1:] == window[:-1])
     hit = np.zeros(len(text), bool)
     for k in range(0, len(near), 4096):
@@ -134,7 +147,7 @@ def repeated_windows(texts: list[bytes], places: list[int], windows: list[int],
         same = (data[start[x][:, None] + np.arange(size)] == data[start[y][:, None] + np.arange(size)]).all(axis=1)
         hit[x[same]] = True
         hit[y[same]] = True
-    return np.split(hit, np.cumsum(n)[:-1])
+    return [hit[s : s + k] for s, k in zip(base.tolist(), n.tolist(), strict=True)]
 
 
 def _kernel(size: int):
@@ -173,8 +186,11 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 200, keep: tuple[str, ...
     """doc_id, n_bytes, n_removed, n_spans, kept binary and keep of every document.
 
     A byte goes if a string of size bytes that covers it also starts anywhere else, in the same document or another; all copies go.
-    Strings never cross documents and are judged on the input. What is kept may end inside a character, hence binary.
+    Strings never cross documents and are judged on the input. What is kept may end inside a character, hence binary. Null texts are
+    empty; null and repeated doc_ids are documents of their own; an empty table gives no rows. A column of keep that is called like one
+    of this result's comes back with _in added to its name.
     """
+    docs, keep = carried(docs, keep, ("n_bytes", "n_removed", "n_spans", "kept"))
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return repeated_units(docs, Window("bytes", size, 32, False), _kernel(size), _finish(False, keep), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{more}", keep)
 

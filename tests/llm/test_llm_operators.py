@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -124,6 +125,25 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_large_draws_have_the_law_of_small_ones(monkeypatch):
+    """The ratio of uniforms, forced on small populations, against exact probabilities."""
+    monkeypatch.setattr(sharding, "NUMPY_BOUND", 0)
+    for good, bad, draws in ((30, 50, 20), (4000, 9000, 2500), (3, 10**6, 4000)):
+        rng, n = np.random.default_rng(7), 20_000
+        got = np.bincount([sharding._hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=draws + 1)
+        logs = lambda k: math.lgamma(k + 1)
+        choose = lambda a, b: logs(a) - logs(b) - logs(a - b)
+        want = np.array([n * math.exp(choose(good, k) + choose(bad, draws - k) - choose(good + bad, draws)) if max(0, draws - bad) <= k <= good else 0.0 for k in range(draws + 1)])
+        big = want > 5
+        assert ((got - want)[big] ** 2 / want[big]).sum() < big.sum() + 5 * math.sqrt(2 * big.sum()) and got[want == 0].sum() == 0
+    assert sharding._log_factorial_step(10**6, 10**6 + 999) == pytest.approx(sum(math.log(10**6 + k) for k in range(1, 1000)), rel=1e-12)
+
+
+def test_matrix_beyond_a_billion_rows():
+    m = sharding.communication_matrix([3 * 10**9, 10**9, 7], 5, 1)
+    assert m.sum(axis=1).tolist() == [3 * 10**9, 10**9, 7] and np.ptp(m.sum(axis=0)) <= 1 and (m >= 0).all()
+
+
 @pytest.mark.parametrize("wide", [2048, 3])
 def test_links_of_close_fingerprints(spark, monkeypatch, wide):
     rng = np.random.default_rng(5)
@@ -144,6 +164,12 @@ def test_links_of_close_fingerprints(spark, monkeypatch, wide):
     assert [got.get(i, i) for i in ids] == want
 
 
+def test_components_of_a_hub(spark):
+    edges = spark.range(1, 3000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(5000).alias("u"), F.when(F.col("id") % 2 == 0, 5000).otherwise(F.col("id")).alias("v")).union(spark.range(9000, 9001).selectExpr("id", "id + 1"))
+    got = {r["u"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {k: 1 for k in (*range(2, 3000), 5000)} | {9001: 9000}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(((F.col("id") * 7919) % 200).alias("u"), (((F.col("id") + 1) * 7919) % 200).alias("v")).where("id < 199")
     assert {r["root"] for r in components.components(edges).collect()} == {0}
@@ -200,6 +226,20 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_by_default(spark):
+    """Planted pairs just above the threshold among unlike vectors, with the default tables."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(1500):
+        a = rng.standard_normal(64)
+        b = rng.standard_normal(64)
+        a, b = a / np.linalg.norm(a), b - (b @ a) / (a @ a) * a
+        b = 0.932 * a + math.sqrt(1 - 0.932**2) * b / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist(), 1), (2 * k + 1, b.tolist(), 1)]
+    got = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links = 1 and component_id = vec_id - vec_id % 2").count() >= 0.98 * 2 * 1500
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -237,6 +277,37 @@ def test_mixing(docs, rows, empty, whole):
     assert mixing.mix_sources(empty.select("doc_id", "source", F.lit(0).cast("long").alias("size"))).count() == 0
 
 
+def test_schedules_of_sources(spark):
+    """All demand of one source falls into the first tenth, of another into the last."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(5).cast("long").alias("size"), F.lit("x").alias("target"))
+    early, late = ((0, 1.0), (0.1, 1.0), (0.1001, 0.0), (1, 0.0)), ((0, 0.0), (0.9, 0.0), (0.9001, 1.0), (1, 1.0))
+    out = mixing.mix_sources(df, weights=(1.0,), share=1.0, own={"a": early, "b": late})
+    assert "target_in" in out.columns
+    got = mixing.in_training_order(out).collect()
+    assert [r["source"] for r in got] == ["a"] * 2000 + ["b"] * 2000 and max(r["position"] for r in got if r["source"] == "a") <= 0.1001
+    for points in (((0, 1), (0.5, 2)), ((0, 0), (1, 0)), ((0, 1), (0.7, -1), (1, 1))):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, schedules=(points,))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b " * 30, "s", "k", 1.5)], "doc_id long, text string, shard string, kept string, n_words double")
+    out = sharding.hypergeometric_shards(df, 2).collect()[0]
+    assert (out["shard_in"], out["slot"]) == ("s", 0)
+    row = quality.judge_quality(df, [], keep=("kept", "n_words", "text")).collect()[0]
+    assert (row["kept_in"], row["n_words_in"], row["n_words"], row["text_in"]) == ("k", 1.5, 60, "a b " * 30)
+    pieces = spark.createDataFrame([(1, 0, 5, "x", "y")], "doc_id long, piece int, length long, offset string, _rank string")
+    assert packing.pack_pieces(pieces, 10).select("doc_id", "offset_in", "_rank_in", "offset", "sequence_id").collect()[0][:4] == (1, "x", "y", 0)
+
+
+def test_repeated_ids_in_training(spark):
+    """A doc_id that very many rows share is one training row."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("bad words here").alias("text")).union(spark.range(2, 400).select("id", F.concat(F.lit("word"), F.col("id") % 7).alias("text")))
+    labels = spark.range(1, 400).select(F.col("id").alias("doc_id"), (F.col("id") == 1).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    assert len(toxicity.fit_toxicity(docs, labels)[0]) > 0
+    assert quality.fit_quality_rules(docs, labels) == []
+
+
 def test_mixing_of_empty_texts(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")
     assert [tuple(r) for r in mixing.mix_sources(df).select("target", "taken", "copies").collect()] == [(0.0, 0, 0)] * 2
@@ -285,3 +356,18 @@ def test_local_search_empties_bins():
         bins = packing.pack_histogram(dict(zip(values.tolist(), counts.tolist())), 100)
         assert sorted(x for b, n in bins.items() for x in b * n) == sorted(lengths.tolist())
         assert all(sum(b) <= 100 for b in bins) and sum(bins.values()) <= lengths.sum() / 100 * 1.1 + 2
+
+
+def test_queries(spark, docs, rows, sf_dir):
+    """The registered queries themselves, on the made-up documents."""
+    got = {n: queries.QUERIES[n](spark, sf_dir).collect() for n in ("op2_hypergeometric_sharding", "op4_quality_list", "op7_toxicity_ftrl", "op9_curriculum_mix")}
+    crc = lambda t: zlib.crc32((t or "").encode())
+    want = Counter((r[0], len((r[1] or "").encode()) + 8, crc(r[1]), "rows", None) for r in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got["op2_hypergeometric_sharding"]) == want
+    per = Counter(r["shard"] for r in got["op2_hypergeometric_sharding"])
+    assert set(per) <= set(range(24)) and max(per.values()) - min(per[s] for s in range(24)) <= 1
+    assert Counter(tuple(r)[:6] for r in got["op4_quality_list"]) == Counter((r[0], *brute_stats(r[1])) for r in rows)
+    for r in got["op7_toxicity_ftrl"]:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+    first = [r["positions"][0] for r in got["op9_curriculum_mix"] if r["positions"]]
+    assert first == sorted(first) and all(r["positions"] for r in got["op9_curriculum_mix"][: len(first)]) and len(got["op9_curriculum_mix"]) == len(rows)

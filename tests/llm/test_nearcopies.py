@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from conftest import SCHEMA
-from graphmill.llm import nearcopies
+from graphmill.llm import simhash
 from test_llm_operators import closure
 
 
@@ -17,7 +18,7 @@ def near(a, b):
 
 
 def test_stage_keeps_one_of_each_component(spark, docs, rows, empty, sf_dir):
-    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     got = stage(spark, docs, sf_dir)
     sets = [shingles(r[1]) for r in rows]
     comp = closure([r[0] for r in rows], lambda i, j: near(sets[i], sets[j]))
@@ -31,10 +32,55 @@ def test_null_and_repeated_ids(spark):
     near_copy = [*words[:60], "other", *words[61:]]
     texts = [(5, words), (None, near_copy), (5, words[::-1]), (None, ["alone", *words[::2]]), (7, None), (8, [])]
     docs = spark.createDataFrame([(i, None if w is None else " ".join(w), None, None, 0) for i, w in texts], SCHEMA)
-    got = {(r["doc_id"], r["text"]) for r in nearcopies.kept_rows(docs).collect()}
+    got = {(r["doc_id"], r["text"]) for r in simhash.near_copies(docs).collect()}
     assert got == {(5, " ".join(words)), (5, " ".join(words[::-1])), (None, " ".join(["alone", *words[::2]])), (7, None)}
 
 
-def test_linked_connects_through_others():
-    a = np.arange(100, dtype=np.uint64)
-    assert nearcopies.linked([a, a + np.uint64(20), a + np.uint64(10), a + np.uint64(500)]).tolist() == [0, 0, 0, 3]
+def test_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(90)) for x in "abc")
+    near_a = a.replace("a50 ", "changed ")
+    docs = spark.createDataFrame([(1, a, None, None, 0), (1, b, None, None, 0), (2, c, None, None, 0), (3, near_a, None, None, 0)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.near_copies(docs).collect()) == [(1, a), (1, b), (2, c)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs just above similarity 0.8, and pairs below it."""
+    rng = np.random.default_rng(3)
+    rows, linked = [], set()
+    for k in range(400):
+        w = [f"v{x}" for x in rng.integers(0, 50_000, 200)]
+        other = list(w)
+        at = int(rng.integers(0, 150))
+        n = 17 if k % 2 else 40
+        other[at : at + n] = [f"u{x}" for x in rng.integers(0, 50_000, n)]
+        if near(shingles(" ".join(w)), shingles(" ".join(other))):
+            linked.add(2 * k + 1)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    assert len(linked) == 200
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {i for i, _ in rows} - linked
+    assert len(linked - got) >= 0.93 * len(linked)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """More texts than the window share every variant; one group, and another beside it."""
+    monkeypatch.setattr(simhash, "WINDOW", 4)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(300):
+        w = [*words] if k % 2 else words[::-1]
+        w[k] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got = sorted(r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    assert got == [0, 1]
+
+
+def test_window_pairs_across_batches():
+    rng = np.random.default_rng(0)
+    key = np.sort(rng.integers(0, 60, 400))
+    cls, a, b = np.arange(400), rng.integers(0, 4, 400) + np.iinfo(np.int64).min, rng.integers(-(2**62), 2**62, 400) & ~0xFFFFFFFFFFFFFF8
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[s : s + 7].astype(np.int64)) for x in (key, cls, a, b)], names=["variant", "cls", "a", "b"]) for s in range(0, 400, 7)]
+    got = sorted((u, v, d) for us, vs, ds in simhash.window_pairs(iter(batches), 2) for u, v, d in zip(us.tolist(), vs.tolist(), ds.tolist()))
+    bits = lambda i, j: sum(((int(x[i]) ^ int(x[j])) % 2**64).bit_count() for x in (a, b))
+    want = sorted((i, j, bits(i, j)) for i in range(400) for j in range(i + 1, min(400, i + 17)) if key[i] == key[j] and bits(i, j) <= 2)
+    assert got == want

@@ -63,10 +63,77 @@ def test_null_ids_and_empty(spark, empty):
 
 def test_kept_text_and_columns(spark):
     shared = " ".join(f"x{k}" for k in range(15))
-    df = spark.createDataFrame([(1, f"a\n{shared} b", "k1"), (2, f"c  d\n{shared}\ne", None)], "doc_id long, text string, n_words string")
-    out = {r["doc_id"]: r for r in substring.remove_repeats(df.withColumnRenamed("n_words", "extra"), keep=("extra",)).collect()}
-    assert out[1]["kept"] == f"a\n{shared} b" and out[1]["extra"] == "k1"
-    assert out[2]["kept"] == "c  d\ne" and out[2]["extra"] is None
+    df = spark.createDataFrame([(1, f"a\n{shared} b", "k1", 7), (2, f"c  d\n{shared}\ne", None, 8)], "doc_id long, text string, n_words string, kept int")
+    out = {r["doc_id"]: r for r in substring.remove_repeats(df, keep=("n_words", "kept")).collect()}
+    assert out[1]["kept"] == f"a\n{shared} b" and out[1]["n_words_in"] == "k1" and out[1]["kept_in"] == 7
+    assert out[2]["kept"] == "c  d\ne" and out[2]["n_words_in"] is None and out[2]["n_words"] == 18
+
+
+def test_kept_bytes(spark, empty):
+    shared = "".join(f"y{k} " for k in range(90))
+    df = spark.createDataFrame([(1, f"é{shared}a", 1), (2, f"b{shared}", 2), (3, None, 3), (None, "z", 4)], "doc_id long, text string, kept int")
+    out = {r["kept_in"]: r for r in suffixarray.remove_repeated_bytes(df, keep=("kept",)).collect()}
+    assert [bytes(out[k]["kept"]) for k in (1, 2, 3, 4)] == ["éa".encode(), b"b", b"", b"z"]
+    assert suffixarray.remove_repeated_bytes(empty).count() == 0
+
+
+def thue_morse(k):
+    s = "a"
+    for _ in range(k):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_equal_hashes_of_unequal_content(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the base."""
+    word = thue_morse(11)
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(f"x{k}" for k in range(12))
+    rows = [(1, f"{lead} {word}"), (2, f"{lead} {other}"), (3, f"{lead} {other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, substring.repeat_digests(df).collect())) == brute_words(rows)
+    assert sorted(map(tuple, suffixarray.repeated_byte_digests(df).collect())) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("limit", [3000])
+def test_across_chunks_and_shards(docs, rows, monkeypatch, limit):
+    """Small chunks and shards, so that documents, segments and structures are cut at every limit."""
+    monkeypatch.setattr(passages, "CHUNK_BYTES", limit)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 200)
+    monkeypatch.setattr(suffixarray, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(passages, "COMPARED_UNITS", 500)
+    assert sorted(map(tuple, substring.repeat_digests(docs).collect()), key=str) == brute_words(rows)
+    assert sorted(map(tuple, suffixarray.repeated_byte_digests(docs).collect()), key=str) == brute_bytes(rows)
+
+
+def test_windows_of_one_anchor():
+    """repeated_windows on texts of few letters, where nearly everything repeats."""
+    rng = random.Random(4)
+    for _ in range(60):
+        base = "".join(rng.choice("ab") for _ in range(rng.randint(60, 160))).encode()
+        texts, places, windows = [], [], []
+        for _ in range(rng.randint(1, 6)):
+            cut = rng.randint(0, 12)
+            text = base[cut : len(base) - rng.randint(0, 12)] if rng.random() < 0.7 else bytes(base[cut:20]) + bytes([rng.choice(b"ab")]) + base[21:]
+            if len(text) < 41 or 20 < cut:
+                continue
+            texts.append(text)
+            places.append(20 - cut)
+            windows.append(min(len(text) - 40, 20 - cut) + 1)
+        if not texts:
+            continue
+        seen = {}
+        for t, n in zip(texts, windows):
+            for k in range(n):
+                seen[t[k : k + 40]] = seen.get(t[k : k + 40], 0) + 1
+        aligned = {}
+        for t, p, n in zip(texts, places, windows):
+            for k in range(n):
+                aligned[(p - k, t[k : k + 40])] = aligned.get((p - k, t[k : k + 40]), 0) + 1
+        got = suffixarray.repeated_windows(texts, places, windows, 40)
+        for t, p, n, g in zip(texts, places, windows, got):
+            for k in range(n):
+                assert g[k] >= (aligned[(p - k, t[k : k + 40])] > 1) and (not g[k] or seen[t[k : k + 40]] > 1)
 
 
 def test_reference_broadcast(spark):

@@ -1,10 +1,11 @@
 """The pipeline's stages on made-up documents."""
 
 import corpus_pipeline
-from graphmill.llm import mixing, quality, simhash
+from graphmill.llm import mixing, quality
 from pyspark.sql import functions as F
 
-from test_llm_operators import WORD
+from test_llm_operators import WORD, closure
+from test_nearcopies import near, shingles
 
 
 def test_stages(spark, docs, sf_dir, tmp_path):
@@ -22,8 +23,10 @@ def test_stages(spark, docs, sf_dir, tmp_path):
     ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
     rules = quality.fit_quality_rules(docs, labels)
     assert ids(held[0][1]) == ids(quality.judge_quality(docs, rules).where("kept"))
-    want = {r["component_id"] for r in simhash.near_duplicates(held[1][0]).collect()}
-    assert ids(held[1][1]) == sorted(want)
+    before = [tuple(r) for r in held[1][0].select("doc_id", "text").collect()]
+    sets = [shingles(t) for _, t in before]
+    assert ids(held[1][1]) == sorted(set(closure([i for i, _ in before], lambda i, j: near(sets[i], sets[j]))))
+    assert held[1][1].where("kept = 1 and row = 'clash'").count() == held[1][1].count()
     assert ids(held[2][1]) == ids(held[2][0])
     size = lambda df: sum(len(WORD.findall(r[0] or "")) for r in df.select("text").collect())
     before, mixed = size(held[3][0]), size(held[3][1])
