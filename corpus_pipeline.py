@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import mixing, nearcopies, packing, quality, substring
+from graphmill.llm import mixing, packing, quality, simhash, substring
 from graphmill.llm.common import checkpoint_dir
 
 #: SQL can't tokenise, learn the rules or find components; tests compare each stage with brute force.
@@ -36,8 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rows that exact Jaccard >= 0.8 of five-word shingles connects, keeps the one of the least doc_id."""
-    return nearcopies.kept_rows(docs)
+    """SimHash deletion variants find candidates, exact Jaccard >= 0.8 of five-word shingles decides; of each group the row of the least doc_id stays."""
+    return _restored(simhash.near_copies(_carried(docs)), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
     ("mix_to_weights", mix_to_weights),
     ("best_fit_packing", best_fit_packing),
@@ -81,5 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         out = f"{top}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
+        if k:  # nothing reads the stage before again
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{k - 1}-{STAGES[k - 1][0]}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         docs = spark.read.parquet(out)
     return docs
