@@ -2,7 +2,8 @@
 
 Each step is a minimum per node (partial aggregation, so a hub combines before the shuffle) and an equality join. A node with more than
 a thousandth of the edges is hot; there are 2000 such nodes at most, so their names are broadcast and their rows dealt over SALTS keys.
-The number of rounds is logarithmic in the longest chain. Every round ends in a checkpoint, and the one before it is deleted.
+The number of rounds is logarithmic in the longest chain. Every step ends in a checkpoint, so that plans stay small, and the one before
+it is deleted.
 """
 
 from __future__ import annotations
@@ -15,25 +16,36 @@ from .common import dropped, saved
 SALTS = 64
 
 
-def _met(rows: DataFrame, edges: DataFrame, hot_from: int) -> DataFrame:
-    """rows (u, v) with m, the least v of u among edges."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hot = least.where(F.col("n") >= hot_from).select(F.col("u").alias("hot"))  # at most 2 * edges / hot_from rows
-    salted = rows.join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")
+def _met(rows: DataFrame, least: DataFrame, hot_from: int) -> DataFrame:
+    """rows (u, v) with m, the least v of u, from least (u, m, n)."""
+    hot = least.where(F.col("n") >= hot_from).select(F.col("u").alias("hot"))
+    if hot.isEmpty():
+        return rows.join(least.select("u", "m"), "u")
+    salted = rows.join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")  # at most 2 * edges / hot_from rows
     salted = salted.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int")).drop("hot")
     many = F.when(F.col("n") >= hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(least.withColumn("salt", F.explode(many)).drop("n"), ["u", "salt"]).drop("salt")
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    return saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+
+
 def _large_star(edges: DataFrame, hot_from: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _met(both.where("v > u"), both, hot_from).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = _least(both)
+    out = saved(_met(both.where("v > u"), least, hot_from).select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+    dropped(edges, least)
+    return out
 
 
 def _small_star(edges: DataFrame, hot_from: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _met(down, down, hot_from).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-    return moved.select("e.u", "e.v").where("u > v").distinct()
+    """edges has u > v, as a large star gives them."""
+    least = _least(edges)
+    moved = _met(edges, least, hot_from).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    out = saved(moved.select("e.u", "e.v").where("u > v").distinct())
+    dropped(edges, least)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -50,9 +62,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = tuple(after)
         if not state[0]:
             break
-        before, hot_from = now, max(100, state[0] // 1000)
-        now = saved(_small_star(_large_star(now, hot_from), hot_from))
-        dropped(before)
+        hot_from = max(100, state[0] // 1000)
+        now = _small_star(_large_star(now, hot_from), hot_from)
     else:
         raise RuntimeError("components did not settle")
     return now.select("u", F.col("v").alias("root"))

@@ -304,6 +304,7 @@ def _candidates(classes: DataFrame, length: int, segments: int, similarity: floa
                 yield batch_of(found)
                 found = {}
         yield batch_of(found)
+        release()
 
     def batch_of(found: dict[tuple[int, int], int]) -> pa.RecordBatch:
         pairs = np.array(list(found), np.int64).reshape(-1, 2)
@@ -311,7 +312,7 @@ def _candidates(classes: DataFrame, length: int, segments: int, similarity: floa
 
     rounds = []
     for first in range(0, segments, each):  # a few segments at a time bound what is shuffled at once
-        small_batches(spark, 50_000)
+        small_batches(spark, 20_000)
         part = classes.where("segments is not null").select("cls", "a", "b", F.slice("segments", first + 1, each).alias("segments"))
         rows = _dealt(variants(part, length, "cls", "a", "b"), n * length * min(each, segments - first), "variant", "cls")
         rounds.append(saved(rows.mapInArrow(run, "u long, v long, apart int")))
