@@ -164,7 +164,9 @@ def test_links_of_close_fingerprints(spark, monkeypatch, wide):
     assert [got.get(i, i) for i in ids] == want
 
 
-def test_components_of_a_hub(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_components_of_a_hub(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(components, "BROADCAST_NODES", broadcast)
     edges = spark.range(1, 3000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(5000).alias("u"), F.when(F.col("id") % 2 == 0, 5000).otherwise(F.col("id")).alias("v")).union(spark.range(9000, 9001).selectExpr("id", "id + 1"))
     got = {r["u"]: r["root"] for r in components.components(edges).collect()}
     assert got == {k: 1 for k in (*range(2, 3000), 5000)} | {9001: 9000}
