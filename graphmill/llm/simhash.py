@@ -10,7 +10,8 @@ WIDE_RUN fingerprints share is dealt again over all tasks, by the other segment'
 
 `near_copies` links texts by the exact Jaccard similarity of their shingle sets. Similarity 0.8 moves 15 % of a fingerprint's bits, so its
 fingerprints are longer: segments of about log2 n bits, as many as make a pair at the threshold meet with the stated recall. A variant's
-texts are compared by 128 bits within a sliding window of WINDOW neighbours, and candidates by their whole shingle sets.
+texts are compared by 128 bits in a sliding window, so that a large group never gives all its pairs, and candidates by their whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .components import components
 _U = np.uint64
 #: Above so many fingerprints a shared variant is dealt again.
 WIDE_RUN = 4096
-#: Neighbours of one variant that a text is compared with on each side.
-WINDOW = 16
+#: So many texts that share a variant, and one, are compared with each other; a later one with this many neighbours before it.
+WINDOW, NEIGHBOURS = 16, 2
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -269,24 +270,32 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def window_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """u, v, differing bits: pairs of equal variant, at most WINDOW rows apart, whose 128 bits differ in at most most."""
+    """u, v, differing bits: pairs of equal variant whose 128 bits differ in at most most. All pairs among the first WINDOW + 1 rows of a
+    variant, and each later row with the NEIGHBOURS before it."""
     names = ("variant", "cls", "a", "b")
-    held = [np.zeros(0, np.int64)] * 4
+    held = [np.zeros(0, np.int64)] * 5
     for batch in batches:
-        old = len(held[0])
-        key, cls, a, b = (np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, names, strict=True))
+        new = [batch[c].to_numpy() for c in names]
+        n, old = len(new[0]), len(held[0])
+        if not n:
+            continue
+        begins = np.concatenate([[True], new[0][1:] != new[0][:-1]])
+        place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        if old and held[0][-1] == new[0][0]:
+            place[np.cumsum(begins) == 1] += held[4][-1] + 1
+        key, cls, a, b, place = (np.concatenate([h, x]) for h, x in zip(held, (*new, place), strict=True))
         at = np.arange(len(key))
         for d in range(1, WINDOW + 1):
             at = at[at + d < len(key)]
             at = at[key[at + d] == key[at]]  # keys are sorted: what fails here fails farther on
             if not len(at):
                 break
-            x = at[at + d >= old]
+            x = at[(at + d >= old) & ((d <= NEIGHBOURS) | (place[at + d] <= WINDOW))]
             apart = np.bitwise_count((a[x] ^ a[x + d]).view(np.uint64)).astype(np.int32) + np.bitwise_count((b[x] ^ b[x + d]).view(np.uint64))
             x, apart = x[apart <= most], apart[apart <= most]
             if len(x):
                 yield cls[x], cls[x + d], apart
-        held = [h[-WINDOW:] for h in (key, cls, a, b)]
+        held = [h[-WINDOW:] for h in (key, cls, a, b, place)]
 
 
 def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> DataFrame:
@@ -356,8 +365,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
     are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
     candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
-    in different components. More than WINDOW texts that share a variant are compared with WINDOW neighbours in the order of their
-    hashes, in every variant that they share. Rows that share a doc_id are decided by their texts. Empty table: no rows.
+    in different components. Where more than WINDOW texts share a variant, later ones are compared with NEIGHBOURS before them in the
+    order of their hashes, in every variant that they share: a large group is connected by many such links. Rows that share a doc_id are decided by their texts. Empty table: no rows.
     """
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))

@@ -75,12 +75,13 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == [0, 1]
 
 
-def test_window_pairs_across_batches():
+def test_window_pairs_across_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "WINDOW", 5)
     rng = np.random.default_rng(0)
     key = np.sort(rng.integers(0, 60, 400))
     cls, a, b = np.arange(400), rng.integers(0, 4, 400) + np.iinfo(np.int64).min, rng.integers(-(2**62), 2**62, 400) & ~0xFFFFFFFFFFFFFF8
     batches = [pa.RecordBatch.from_arrays([pa.array(x[s : s + 7].astype(np.int64)) for x in (key, cls, a, b)], names=["variant", "cls", "a", "b"]) for s in range(0, 400, 7)]
     got = sorted((u, v, d) for us, vs, ds in simhash.window_pairs(iter(batches), 2) for u, v, d in zip(us.tolist(), vs.tolist(), ds.tolist()))
     bits = lambda i, j: sum(((int(x[i]) ^ int(x[j])) % 2**64).bit_count() for x in (a, b))
-    want = sorted((i, j, bits(i, j)) for i in range(400) for j in range(i + 1, min(400, i + 17)) if key[i] == key[j] and bits(i, j) <= 2)
+    want = sorted((i, j, bits(i, j)) for i in range(400) for j in range(i + 1, min(400, i + 6)) if key[i] == key[j] and bits(i, j) <= 2 and (j - i <= 2 or j - int(np.searchsorted(key, key[j])) <= 5))
     assert got == want
