@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefixes of framework classes, whose frames don't count.
+# Prefixes of framework classes, whose frames don't count. Two prefixes of a vendor's own libraries are left out.
 FRAMEWORK_PREFIXES = (
     "java.", "javax.", "sun.", "com.sun.",
     "jakarta.",
@@ -31,17 +31,21 @@ def last_cause(text: Column) -> Column:
     return F.element_at(F.regexp_extract_all(text, F.lit(r"Caused by:\s*([\w.$]+)"), F.lit(1)), -1)
 
 
-def own_frames(text: Column, most: int = 3) -> Column:
-    """class.method of the first frames that are no framework's."""
-    frames = F.zip_with(F.regexp_extract_all(text, F.lit(FRAME), F.lit(1)), F.regexp_extract_all(text, F.lit(FRAME), F.lit(2)), lambda c, m: F.concat_ws(".", c, m))
-    framework = lambda f: F.exists(F.array(*[F.lit(p) for p in FRAMEWORK_PREFIXES]), lambda p: F.startswith(f, p))
+def own_frames(text: Column, most: int = 3, prefixes: tuple[str, ...] = FRAMEWORK_PREFIXES) -> Column:
+    """class.method of the first frames whose class doesn't begin with one of the prefixes (a caller may give its own list)."""
+    whole = F.regexp_extract_all(text, F.lit(FRAME), F.lit(0))
+    frames = F.transform(whole, lambda f: F.regexp_replace(F.regexp_replace(f, r"^at\s+", ""), r"\([^()]*\)$", ""))
+    framework = lambda f: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(f, p))
     return F.slice(F.filter(frames, lambda f: ~framework(f)), 1, most)
 
 
 def fingerprint(text: Column) -> Column:
     """md5 of the error type and the first own frames. A text with neither is its own md5, so that unlike logs stay apart; empty: zeros."""
-    parts = F.concat(F.coalesce(F.concat(error_type(text), F.lit("|")), F.lit("")), F.concat_ws("", F.transform(own_frames(text), lambda f: F.concat(f, F.lit("|")))))
-    return F.when(text.isNull() | (text == ""), "0" * 32).when(parts == "", F.md5(text)).otherwise(F.md5(parts))
+    kind = F.coalesce(F.concat(error_type(text), F.lit("|")), F.lit(""))
+    frames = F.concat_ws("", F.transform(own_frames(text), lambda f: F.concat(f, F.lit("|"))))
+    # a lambda's variable holds the extracts, so that they are made once a row
+    named = F.get(F.transform(F.array(F.concat(kind, frames)), lambda parts: F.when(parts == "", F.md5(text)).otherwise(F.md5(parts))), F.lit(0))
+    return F.when(text.isNull() | (text == ""), "0" * 32).otherwise(named)
 
 
 def parsed_line(line: Column) -> Column:

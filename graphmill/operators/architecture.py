@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.strings import simple_name
+from .lineage import running, saved
 
 # The two orders of layers. In the first a lower number stands above; in the second a higher one.
 PACKAGE_ORDER = {"CONTROLLER": 0, "SERVICE": 1, "REPOSITORY": 2, "MODEL": 3, "UTILITY": 4}
@@ -73,9 +74,10 @@ def module_stats(nodes: DataFrame) -> DataFrame:
 
 
 def dependency_cells(edges: DataFrame, others_only: bool = True) -> DataFrame:
-    """edges (src_module, dst_module, bridge_type) to cells with weight and the sorted flags."""
+    """edges (src_module, dst_module, bridge_type), and n if a row stands for n edges, to cells with weight and the sorted flags."""
     e = edges.where("src_module <> dst_module") if others_only else edges
-    return e.groupBy("src_module", "dst_module").agg(F.count("*").alias("weight"), F.concat_ws(",", F.array_sort(F.collect_set("bridge_type"))).alias("flags"))
+    weight = F.sum("n") if "n" in edges.columns else F.count("*")
+    return e.groupBy("src_module", "dst_module").agg(weight.alias("weight"), F.concat_ws(",", F.array_sort(F.collect_set("bridge_type"))).alias("flags"))
 
 
 def dependency_matrix(cells: DataFrame, labels: list[str]) -> DataFrame:
@@ -97,10 +99,24 @@ def bridge_stats(edges: DataFrame, types: list[str]) -> DataFrame:
 
 
 def hotspots(files: DataFrame) -> DataFrame:
-    """files (file, complexity, churn, in_degree, in_cycle) with ranks and hotspot_score. Ranks need one global order of each metric."""
-    everything = Window.partitionBy(F.lit(1))
-    rank = lambda c: scores.percentile_or_half(F.percent_rank().over(Window.orderBy(c)), F.count("*").over(everything))
-    return files.withColumns({"churn_rank": rank("churn"), "in_degree_rank": rank("in_degree")}).withColumn("hotspot_score", F.round(scores.hotspot_score(F.col("complexity"), F.col("churn_rank"), F.col("in_degree_rank"), F.col("in_cycle")), 6))
+    """files (file, complexity, churn, in_degree, in_cycle) with ranks and hotspot_score.
+
+    A rank is the share of the other files with a smaller value: files are counted by value, and the counts of smaller values are summed
+    over ranges of values, so that no task orders all files.
+    """
+    files = saved(files)
+    n = files.count()
+    for c in ("churn", "in_degree"):
+        per_value = running(files.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")), [F.col("_v")], F.col("_n"), "_less")
+        share = F.lit(0.5) if n == 1 else F.col("_less") / F.lit(max(1, n - 1))
+        files = files.join(per_value.select("_v", share.alias(f"{c}_rank")), F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
+    return files.withColumn("hotspot_score", F.round(scores.hotspot_score(F.col("complexity"), F.col("churn_rank"), F.col("in_degree_rank"), F.col("in_cycle")), 6))
+
+
+def dependency_labels(cells: DataFrame) -> DataFrame:
+    """(label, place): the modules of cells (src_module, dst_module) in the order in which the sorted cells first name them, from 0."""
+    both = cells.select(F.struct("src_module", "dst_module", F.lit(0)).alias("at"), F.col("src_module").alias("label")).union(cells.select(F.struct("src_module", "dst_module", F.lit(1)), "dst_module"))
+    return running(both.groupBy("label").agg(F.min("at").alias("_at")), [F.col("_at")], F.lit(1), "place").drop("_at")
 
 
 def churn(commits: DataFrame, days: int = 90) -> DataFrame:
@@ -140,6 +156,12 @@ def module_violations(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return known.union(odd)
 
 
+def mean_metrics(metrics: DataFrame, least_recall: float = 0.8) -> DataFrame:
+    """(n, recall, precision, jaccard, pass_rate): means over the rows of set_metrics, and the share with at least least_recall."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return metrics.agg(F.count("*").alias("n"), *[mean(c).alias(c) for c in ("recall", "precision", "jaccard")], mean((F.col("recall") >= least_recall).cast("double")).alias("pass_rate"))
+
+
 def set_metrics(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     """(grp, hits, recall, precision, jaccard) of (grp, item) sets; a ratio over an empty set is 0."""
     p, a = predicted.select("grp", "item").distinct().withColumn("p", F.lit(1)), actual.select("grp", "item").distinct().withColumn("a", F.lit(1))

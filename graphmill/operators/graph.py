@@ -10,7 +10,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import saved
+from .lineage import dropped, saved
+
+#: Rounds of a loop whose results are read one by one before they are written as one.
+COMPACTED = 8
+
+
+class Rounds:
+    """What a loop has found: a checkpoint a round, made one every COMPACTED rounds, so that early rounds aren't rewritten each time."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > COMPACTED:
+            whole = saved(self.all())
+            dropped(*self.parts[:-1])  # the last one is the frontier, which is read once more
+            self.parts = [whole]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.union(p)
+        return out
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -25,30 +48,30 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     """(seed, node, depth) of every node within max_depth steps of a seed, its own at depth 0; depth is the least. seeds: (seed)."""
     hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     frontier = saved(seeds.select("seed").where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    known, depth = frontier, 0
+    known, depth = Rounds(frontier), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(hops, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = saved(step.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(step.join(known.all(), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = saved(known.union(frontier))
-    return known
+        known.add(frontier)
+    return known.all()
 
 
 def reach_once(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): as reach from all seeds at once, so that a node counts once whatever the number of seeds."""
     hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     frontier = saved(seeds.select(F.col("seed").alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    known, depth = frontier, 0
+    known, depth = Rounds(frontier), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = saved(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(step.join(known.all(), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = saved(known.union(frontier))
-    return known
+        known.add(frontier)
+    return known.all()
 
 
 def chain_edges(edges: DataFrame, reached: DataFrame, max_depth: int) -> DataFrame:
@@ -64,21 +87,22 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> Dat
     return both.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("callers"), F.coalesce(F.sum("down"), F.lit(0)).alias("callees")).withColumn("total", F.col("callers") + F.col("callees"))
 
 
-def shortest_path(edges: DataFrame, source: object, target: object, max_depth: int = 20) -> DataFrame:
-    """(path, length): one shortest directed path, the least by node order; no row if there is none."""
+def shortest_path(edges: DataFrame, source: object, target: object, max_depth: int | None = None) -> DataFrame:
+    """(path, length): one shortest directed path, the least by node order; no row if there is none, or none of max_depth steps or fewer."""
     hops = edges.select("src", "dst").distinct()
     kind = edges.schema["src"].dataType
     now = saved(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path")))
-    known = now.select("node")
-    for _ in range(max_depth + 1):
+    known, depth = Rounds(now.select("node")), 0
+    while max_depth is None or depth <= max_depth:
+        depth += 1
         found = now.where(F.col("node") == F.lit(target).cast(kind))
         if not found.isEmpty():
             return found.select("path", (F.size("path") - 1).alias("length"))
         step = now.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        now = saved(step.join(known, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
+        now = saved(step.join(known.all(), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         if now.isEmpty():
             break
-        known = saved(known.union(now.select("node")))
+        known.add(saved(now.select("node")))
     return now.where("false").select("path", (F.size("path") - 1).alias("length"))
 
 
@@ -118,14 +142,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
                 break
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "a")
         inside = saved(inside)
-        reached = saved(colour.where("node = colour"))
-        edge_of = reached
+        edge_of = saved(colour.where("node = colour"))
+        back = Rounds(edge_of)
         while True:  # back from each namesake, inside its colour
             step = inside.join(edge_of, (F.col("dst") == F.col("node")) & (F.col("a") == F.col("colour"))).select(F.col("src").alias("node"), "colour").distinct()
-            edge_of = saved(step.join(reached, ["node", "colour"], "left_anti"))
+            edge_of = saved(step.join(back.all(), ["node", "colour"], "left_anti"))
             if edge_of.isEmpty():
                 break
-            reached = saved(reached.union(edge_of))
+            back.add(edge_of)
+        reached = saved(back.all())
         sized = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
         part = reached.join(sized, "colour").select("node", F.col("colour").alias("component"))
         found = part if found is None else found.union(part)
@@ -197,6 +222,7 @@ def _louvain(pdf: pd.DataFrame, resolution: float, most: int, least: int) -> pd.
     total = sum(sum(x.values()) for x in level.values()) or 1.0
     while True:
         names = sorted(level)
+        rank = {v: k for k, v in enumerate(names)}
         degree = {v: sum(level[v].values()) for v in names}
         home, load, moved = {v: v for v in names}, dict(degree), False
         for _ in range(50):
@@ -208,7 +234,7 @@ def _louvain(pdf: pd.DataFrame, resolution: float, most: int, least: int) -> pd.
                     if u != v:
                         near[home[u]] = near.get(home[u], 0.0) + w
                 near.setdefault(home[v], 0.0)
-                best = max(near, key=lambda c: (near[c] - resolution * degree[v] * load.get(c, 0.0) / total, c == home[v], -names.index(c) if len(names) < 500 else 0))
+                best = max(near, key=lambda c: (near[c] - resolution * degree[v] * load.get(c, 0.0) / total, c == home[v], -rank[c]))
                 load[best] = load.get(best, 0.0) + degree[v]
                 if best != home[v]:
                     home[v], changed, moved = best, True, True
@@ -244,8 +270,9 @@ def _louvain(pdf: pd.DataFrame, resolution: float, most: int, least: int) -> pd.
 
 
 def louvain(edges: DataFrame, resolution: float = 0.5, most: int = 20, least: int = 5) -> DataFrame:
-    """(project, node, community) of weighted edges (project, src, dst, weight): modularity by local moves in a fixed order, communities
-    under `least` nodes merged, at most `most` of them. A project's graph is one group, so it must fit a task."""
+    """(project, node, community) of weighted edges (project, src, dst, weight): modularity by local moves in a fixed order, at most 50
+    passes a level, ties to the present community, then to the least name; communities under `least` nodes merged, at most `most` of
+    them. A project's graph is one group, so it must fit a task."""
     kind = edges.schema["src"].dataType.simpleString()
     project = edges.schema["project"].dataType.simpleString()
     run = lambda pdf: _louvain(pdf.sort_values(["src", "dst"]), resolution, most, least)

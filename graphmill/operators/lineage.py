@@ -5,14 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Only where spark.checkpoint.dir is unset (tests, one machine), a folder of our own is used."""
+    """Uses the shared folder that spark.checkpoint.dir names. Where it is unset, a folder of our own on one machine, an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphmill-checkpoints"))
 
 
@@ -20,3 +23,26 @@ def saved(df: DataFrame) -> DataFrame:
     """df computed once and kept: a lost executor loses nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of saved frames that nothing will read again."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(df: DataFrame, order: list[Column], value: Column, before: str) -> DataFrame:
+    """df with `before`: the sum of value over all rows ahead in the order (a unique one). A range sort gives each task one range, and
+    the ranges' sums (a number a task) give its start, so no task sees all rows."""
+    rows = saved(df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_value": value}))
+    starts, upto = [], 0
+    for r in sorted(rows.groupBy("_range").agg(F.sum("_value").alias("s")).collect()):  # a row a task
+        starts.append((r["_range"], upto))
+        upto += r["s"]
+    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    ahead = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(table), "_range").withColumn(before, (F.col("_start") + F.coalesce(F.sum("_value").over(ahead), F.lit(0))).cast("long")).drop("_range", "_start", "_value")

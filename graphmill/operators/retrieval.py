@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .lineage import running
 
 RRF_K = 60
 
@@ -36,9 +37,10 @@ def fuse(lists: DataFrame, weight: Column | None = None) -> DataFrame:
 
 def fuse_tokens(hits: DataFrame) -> DataFrame:
     """(id, score) of (token, kind, id, raw): raw weighs 1.0 for descriptions and 0.7 for code, one order over all rows, and each row
-    adds sqrt(hits of its id) / (60 + rank). The order is global: meant for the top rows of each token."""
+    adds sqrt(hits of its id) / (60 + rank). (id, token) is unique."""
     weighed = hits.withColumn("_w", F.col("raw") * F.when(F.col("kind") == "description", 1.0).otherwise(0.7))
-    ranked = weighed.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_w"), "id", "token"))).withColumn("_hits", F.count("*").over(Window.partitionBy("id")))
+    ranked = running(weighed, [F.desc("_w"), F.col("id"), F.col("token")], F.lit(1), "_rank").withColumn("_rank", F.col("_rank") + 1)
+    ranked = ranked.withColumn("_hits", F.count("*").over(Window.partitionBy("id")))
     return ranked.groupBy("id").agg(F.round(F.sum(F.sqrt("_hits") / (RRF_K + F.col("_rank"))), 6).alias("score"))
 
 
@@ -65,29 +67,35 @@ def propagate(scored: DataFrame, edges: DataFrame, nodes: DataFrame, sources: in
     return scored.select("id", "score").union(known).groupBy("id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def reranked(scored: DataFrame, external: DataFrame) -> DataFrame:
-    """External scores (id, score); those without one go last with 0."""
-    return scored.select("id").join(external.select("id", "score"), "id", "left").withColumn("missing", F.col("score").isNull()).fillna(0.0, ["score"])
+def reranked(scored: DataFrame, external: DataFrame, k: int | None = None) -> DataFrame:
+    """External scores (id, score), best first; those without one go last with 0. With k, only the first k."""
+    out = scored.select("id").join(external.select("id", "score"), "id", "left").withColumn("missing", F.col("score").isNull()).fillna(0.0, ["score"])
+    out = out.orderBy("missing", F.desc("score"), "id")
+    return out if k is None else out.limit(k)
 
 
-def keyword_supplement(items: DataFrame, covered: DataFrame, keywords: list[str], text: str, most: int = 5, score: float = 0.1) -> DataFrame:
-    """(id, score) of items whose text has one of the first `most` keywords of 2 to 30 characters and whose id isn't covered."""
-    words = [w for w in dict.fromkeys(keywords) if 2 <= len(w) <= 30][:most]
+def keyword_supplement(items: DataFrame, covered: DataFrame, keywords: list[str], text: str, most: int = 5, score: float = 0.1, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score) of items whose text has one of the first `most` keywords of 2 to 30 characters, stop words aside, and whose id isn't covered."""
+    words = [w for w in dict.fromkeys(keywords) if 2 <= len(w) <= 30 and w not in stop_words][:most]
     if not words:
         return items.select("id").where("false").withColumn("score", F.lit(score))
     any_of = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col(text), w))
     return items.where(any_of).select("id").join(covered.select("id"), "id", "left_anti").withColumn("score", F.lit(score))
 
 
-def enriched(ids: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    """ids with the first callers and callees by id. Neighbours are cut by rank before they are gathered."""
+def enriched(ids: DataFrame, edges: DataFrame, most: int = 3, entries: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
+    """ids with the first callers and callees by id, and of entries (src: id, dst: entry) and statements (src: id, dst: statement) the
+    first entries and sql_ids. Neighbours are cut by rank before they are gathered."""
 
-    def side(own: str, other: str, name: str) -> DataFrame:
+    def side(own: str, other: str, name: str, edges: DataFrame = edges) -> DataFrame:
         e = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias(own)).distinct(), own, "left_semi")
         first = e.withColumn("_k", F.row_number().over(Window.partitionBy(own).orderBy(other))).where(F.col("_k") <= most)
         return first.groupBy(F.col(own).alias("id")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.col(other).cast("string")))).alias(name))
 
-    return ids.join(side("dst", "src", "callers"), "id", "left").join(side("src", "dst", "callees"), "id", "left")
+    out = ids.join(side("dst", "src", "callers"), "id", "left").join(side("src", "dst", "callees"), "id", "left")
+    for more, name in ((entries, "entries"), (statements, "sql_ids")):
+        out = out if more is None else out.join(side("src", "dst", name, more), "id", "left")
+    return out
 
 
 def similar_cases(cases: DataFrame, kind: str, keywords: list[str]) -> DataFrame:

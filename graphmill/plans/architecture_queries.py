@@ -40,12 +40,14 @@ def bridge_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.module_calls(spark, sf_dir, "service").where("src_module <> dst_module").groupBy("src_module", "dst_module", "bridge_type").agg(F.count("*").alias("n"))
+    return P.module_calls(spark, sf_dir, "service").where("src_module <> dst_module").groupBy("src_module", "dst_module", "bridge_type").agg(F.sum("n").alias("n"))
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.dependency_cells(P.module_calls(spark, sf_dir))
-    return cells.agg(F.countDistinct("src_module").alias("modules"), F.count("*").alias("dependencies"), F.sum("weight").alias("calls"), F.round(F.avg("weight"), 1).alias("avg_coupling"))
+    top = F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "src_module", "dst_module"))), 1, 5), lambda x: F.concat_ws(">", x["src_module"], x["dst_module"])))
+    best = cells.orderBy(F.desc("weight"), "src_module", "dst_module").limit(5).agg(top.alias("top"))  # one row
+    return cells.agg(F.countDistinct("src_module").alias("modules"), F.count("*").alias("dependencies"), F.sum("weight").alias("calls"), F.round(F.avg("weight"), 1).alias("avg_coupling")).join(F.broadcast(best))
 
 
 def hotspot_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,17 +76,17 @@ def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.package_violations(_roles(spark, sf_dir), P.top_nation_edges(spark, sf_dir))
+    return A.package_violations(_roles(spark, sf_dir), P.nation_edges(spark, sf_dir))
 
 
 def class_layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = _roles(spark, sf_dir).select(F.col("module").alias("node"), F.col("layer").alias("role"))
-    return A.class_violations(roles, P.top_nation_edges(spark, sf_dir))
+    return A.class_violations(roles, P.nation_edges(spark, sf_dir))
 
 
 def module_layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = P.table(spark, sf_dir, "nation").select(F.col("n_name").alias("module"), F.when(F.col("n_nationkey") % 4 > 0, (F.col("n_nationkey") % 4).cast("int")).alias("layer"))
-    return A.module_violations(layers, P.top_nation_edges(spark, sf_dir))
+    return A.module_violations(layers, P.nation_edges(spark, sf_dir))
 
 
 def class_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def hash_reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return I.orphans(c, P.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    return I.orphans(c, P.table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id")))
 
 
 def domain_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +151,13 @@ SELECT *, round(CASE WHEN in_degree + out_degree > 0 THEN out_degree / (in_degre
     "bridge_stats": f"WITH {P.SQL_CALLS} SELECT count(*) FILTER (bridge_type = 'A') AS n_a, count(*) FILTER (bridge_type = 'N') AS n_n, count(*) FILTER (bridge_type = 'R') AS n_r, count(*) AS total, round(count(*) FILTER (dst IS NOT NULL AND bridge_type IN ('A', 'N', 'R')) / count(*), 6) AS jumpable_rate FROM calls",
     "bridge_by_type": f"WITH {P.SQL_CALLS} SELECT bridge_type, call_type, count(*) AS n, count(DISTINCT dst) AS targets FROM calls GROUP BY 1, 2",
     "topology": f"WITH {P.SQL_MODULE_CALLS} SELECT src_service AS src_module, dst_service AS dst_module, bridge_type, count(*) AS n FROM mcalls WHERE src_service <> dst_service GROUP BY 1, 2, 3",
-    "dashboard": f"WITH {P.SQL_MODULE_CALLS}, cells AS (SELECT src_module, dst_module, count(*) AS w FROM mcalls WHERE src_module <> dst_module GROUP BY 1, 2) SELECT count(DISTINCT src_module) AS modules, count(*) AS dependencies, sum(w)::BIGINT AS calls, round(avg(w), 1) AS avg_coupling FROM cells",
+    "dashboard": f"WITH {P.SQL_MODULE_CALLS}, cells AS (SELECT src_module, dst_module, count(*) AS w FROM mcalls WHERE src_module <> dst_module GROUP BY 1, 2) SELECT count(DISTINCT src_module) AS modules, count(*) AS dependencies, sum(w)::BIGINT AS calls, round(avg(w), 1) AS avg_coupling, (SELECT string_agg(src_module || '>' || dst_module, ',' ORDER BY w DESC, src_module, dst_module) FROM (SELECT * FROM cells ORDER BY w DESC, src_module, dst_module LIMIT 5)) AS top FROM cells",
     "hotspot_score": f"{_HOT} SELECT * FROM scored",
     "hotspot_top": f"{_HOT} SELECT file, hotspot_score FROM scored ORDER BY hotspot_score DESC, file LIMIT 20",
     "churn_90d": "WITH newest AS (SELECT max(l_shipdate) AS d FROM lineitem) SELECT l_partkey AS file, count(*) AS n_commits, sum(l_quantity) AS lines_changed, count(DISTINCT l_suppkey) AS n_authors, max(l_shipdate) AS last_commit FROM lineitem, newest WHERE l_shipdate >= d - INTERVAL 90 DAY GROUP BY 1",
-    "layer_violations": f"WITH {P.SQL_TOP_EDGES}, {_ROLE_SQL} SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM edges JOIN roles a ON a.module = src JOIN roles b ON b.module = dst WHERE a.o > b.o AND b.layer <> 'UTILITY' AND (SELECT avg(CASE WHEN o IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM roles) >= 0.3",
-    "class_layer_violations": f"WITH {P.SQL_TOP_EDGES}, {_ROLE_SQL} SELECT src, dst, a.layer AS src_role, b.layer AS dst_role FROM edges JOIN roles a ON a.module = src JOIN roles b ON b.module = dst WHERE b.h > a.h",
-    "module_layer_violations": f"""WITH {P.SQL_TOP_EDGES}, lay AS (SELECT n_name AS module, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 4 END AS l FROM nation),
+    "layer_violations": f"WITH {P.SQL_NATION_EDGES}, {_ROLE_SQL} SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM edges JOIN roles a ON a.module = src JOIN roles b ON b.module = dst WHERE a.o > b.o AND b.layer <> 'UTILITY' AND (SELECT avg(CASE WHEN o IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM roles) >= 0.3",
+    "class_layer_violations": f"WITH {P.SQL_NATION_EDGES}, {_ROLE_SQL} SELECT src, dst, a.layer AS src_role, b.layer AS dst_role FROM edges JOIN roles a ON a.module = src JOIN roles b ON b.module = dst WHERE b.h > a.h",
+    "module_layer_violations": f"""WITH {P.SQL_NATION_EDGES}, lay AS (SELECT n_name AS module, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 4 END AS l FROM nation),
 e AS (SELECT src, dst, a.l AS a, b.l AS b FROM edges JOIN lay a ON a.module = src JOIN lay b ON b.module = dst),
 low AS (SELECT src AS m, max(b) AS v FROM e WHERE a IS NULL AND b IS NOT NULL GROUP BY 1), high AS (SELECT dst AS m, min(a) AS v FROM e WHERE b IS NULL AND a IS NOT NULL GROUP BY 1)
 SELECT src, dst, CASE WHEN b > a + 1 THEN 'CROSS_LAYER' ELSE 'REVERSE' END AS kind FROM e WHERE b > a UNION ALL SELECT low.m, low.m, 'CONTRADICTION' FROM low JOIN high ON low.m = high.m WHERE low.v > high.v""",
@@ -171,6 +173,6 @@ n AS (SELECT grp, count(*) FILTER (p AND a) AS hits, count(*) FILTER (p) AS np,
 SELECT grp, hits, round(coalesce(hits / nullif(na, 0), 0), 6) AS recall, round(coalesce(hits / nullif(np, 0), 0), 6) AS precision, round(coalesce(hits / nullif(u, 0), 0), 6) AS jaccard FROM n""",
     "hash_reuse_split": """WITH o AS (SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL), n AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' WHEN o.h = n.h THEN 'REUSE' ELSE 'OVERWRITE' END AS action FROM o FULL JOIN n ON o.id = n.id""",
-    "orphans": "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "orphans": "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "domain_confidence": f"WITH {P.SQL_METHODS}, n AS (SELECT service, class_name, count(*) AS n FROM methods GROUP BY 1, 2) SELECT service AS domain, round(max(n) / sum(n), 6) AS confidence FROM n GROUP BY 1",
 }

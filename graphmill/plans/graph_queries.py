@@ -51,11 +51,11 @@ def undirected_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shortest_path(P.user_edges(spark, sf_dir), 0, 1).select("length")
+    return G.shortest_path(P.user_edges(spark, sf_dir), 0, 1).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "length")
 
 
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = G.blast_radius(P.user_edges(spark, sf_dir), _seed(spark), 2)
+    out = G.blast_radius(P.user_edges(spark, sf_dir), _seed(spark), 10)
     return out.withColumn("level", scores.blast_level(F.col("total")))
 
 
@@ -65,7 +65,7 @@ def reachable_from_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries_affecting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = G.reach_once(G.reversed_edges(P.user_edges(spark, sf_dir)), _seed(spark), 3).where("depth > 0")
+    up = G.reach_once(G.reversed_edges(P.user_edges(spark, sf_dir)), _seed(spark), 10).where("depth > 0")
     return up.join(_entries(spark, sf_dir), F.col("node") == F.col("seed")).select("node", "depth")
 
 
@@ -84,19 +84,19 @@ def cycle_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.mutual_pairs(P.top_nation_edges(spark, sf_dir))
+    return G.mutual_pairs(P.nation_edges(spark, sf_dir))
 
 
 def ego_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ego_net(P.top_nation_edges(spark, sf_dir), P.table(spark, sf_dir, "nation").where("n_name = 'FRANCE'").select(F.col("n_name").alias("node")))
+    return G.ego_net(P.nation_edges(spark, sf_dir), P.table(spark, sf_dir, "nation").where("n_name = 'NATION_3'").select(F.col("n_name").alias("node")))
 
 
 def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.call_tree(P.top_nation_edges(spark, sf_dir), "FRANCE", 4).select(F.concat_ws(">", "path").alias("path"), "node", "depth")
+    return G.call_tree(P.top_nation_edges(spark, sf_dir), "NATION_3", 4).select(F.concat_ws(">", "path").alias("path"), "node", "depth")
 
 
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.module_calls(spark, sf_dir).where("src_module <> dst_module").groupBy("src_module", "dst_module").agg(F.count("*").alias("weight"))
+    cells = P.module_calls(spark, sf_dir).where("src_module <> dst_module").groupBy("src_module", "dst_module").agg(F.sum("n").alias("weight"))
     return G.louvain(cells.select(F.lit("p").alias("project"), F.col("src_module").alias("src"), F.col("dst_module").alias("dst"), "weight"))
 
 
@@ -163,17 +163,19 @@ ORACLE_SQL = {
     "chain_edges": f"WITH {P.SQL_USER_EDGES} SELECT src, dst FROM edges WHERE src = 0 OR src IN (SELECT dst FROM edges WHERE src = 0)",
     "depth_histogram": _walk(P.SQL_USER_EDGES, "SELECT 0::BIGINT, 0", 12) + " SELECT depth, count(*) AS n FROM (SELECT node, min(d) AS depth FROM walk GROUP BY 1) GROUP BY 1",
     "undirected_distance": _walk(P.SQL_PART_EDGES.replace("edges AS", "one AS") + ", edges AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one)", "SELECT min(src), 0 FROM one", 6) + " SELECT node, min(d) AS depth FROM walk GROUP BY 1",
-    "shortest_path": _walk(P.SQL_USER_EDGES, "SELECT 0::BIGINT, 0", 12) + " SELECT min(d) AS length FROM walk WHERE node = 1 HAVING count(*) > 0",
-    "blast_radius": f"""WITH RECURSIVE {P.SQL_USER_EDGES}, up(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT src, d + 1 FROM up JOIN edges ON dst = node WHERE d < 2), down(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, d + 1 FROM down JOIN edges ON src = node WHERE d < 2),
+    "shortest_path": _walk(P.SQL_USER_EDGES, "SELECT 0::BIGINT, 0", 12).replace("WITH RECURSIVE", "WITH RECURSIVE near AS (SELECT 1),", 1) + """, shortest AS (SELECT min(d) AS k FROM walk WHERE node = 1), back(node, d) AS (SELECT 1::BIGINT, k FROM shortest UNION SELECT e.src, d - 1 FROM back JOIN edges e ON e.dst = back.node WHERE d > 0 AND (e.src, d - 1) IN (SELECT (node, d) FROM walk)),
+way(p, node, d) AS (SELECT [0::BIGINT], 0::BIGINT, 0 UNION SELECT list_append(p, e.dst), e.dst, way.d + 1 FROM way JOIN edges e ON e.src = way.node JOIN back ON back.node = e.dst AND back.d = way.d + 1)
+SELECT array_to_string(min(p), '>') AS path, max(d) AS length FROM way WHERE node = 1 AND d = (SELECT k FROM shortest) HAVING count(*) > 0""",
+    "blast_radius": f"""WITH RECURSIVE {P.SQL_USER_EDGES}, up(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT src, d + 1 FROM up JOIN edges ON dst = node WHERE d < 10), down(node, d) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, d + 1 FROM down JOIN edges ON src = node WHERE d < 10),
 n AS (SELECT (SELECT count(DISTINCT node) FROM up WHERE node <> 0) AS callers, (SELECT count(DISTINCT node) FROM down WHERE node <> 0) AS callees) SELECT callers, callees, callers + callees AS total, CASE WHEN callers + callees > 100 THEN 'HIGH' WHEN callers + callees > 30 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM n""",
     "reachable_from_entries": f"WITH RECURSIVE {P.SQL_PART_EDGES}, walk(node) AS (SELECT src FROM edges WHERE src % 10 = 0 UNION SELECT dst FROM walk JOIN edges ON src = node) SELECT count(*) AS reachable FROM walk",
-    "entries_affecting": _walk(P.SQL_USER_EDGES, "SELECT 0::BIGINT, 0", 3, True) + " SELECT node, min(d) AS depth FROM walk WHERE node <> 0 AND node % 10 = 0 AND node IN (SELECT user_id FROM events) GROUP BY 1",
+    "entries_affecting": _walk(P.SQL_USER_EDGES, "SELECT 0::BIGINT, 0", 10, True) + " SELECT node, min(d) AS depth FROM walk WHERE node <> 0 AND node % 10 = 0 AND node IN (SELECT user_id FROM events) GROUP BY 1",
     "scc": _PAIRS.format(edges=P.SQL_PART_EDGES) + " SELECT node, component FROM members",
     "scc_small": _PAIRS.format(edges=P.SQL_TOP_EDGES) + " SELECT node, component FROM members",
     "cycle_class": _PAIRS.format(edges=P.SQL_TOP_EDGES) + " SELECT component, count(*) AS size, CASE WHEN count(DISTINCT l) > 1 THEN 'CROSS_LAYER' WHEN count(DISTINCT l) = 1 THEN 'SAME_LAYER' ELSE 'MODULE' END AS kind FROM members JOIN (SELECT n_name, CASE WHEN n_regionkey < 4 THEN n_regionkey END AS l FROM nation) ON n_name = node GROUP BY 1",
-    "mutual_pairs": f"WITH {P.SQL_TOP_EDGES} SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst",
-    "ego_net": f"WITH {P.SQL_TOP_EDGES} SELECT src, dst FROM edges WHERE src = 'FRANCE' OR dst = 'FRANCE'",
-    "call_tree": f"WITH RECURSIVE {P.SQL_TOP_EDGES}, t(p, node, depth) AS (SELECT ['FRANCE'], 'FRANCE', 0 UNION ALL SELECT list_append(p, dst), dst, depth + 1 FROM t JOIN edges ON src = node WHERE depth < 4 AND NOT list_contains(p, dst)) SELECT array_to_string(p, '>') AS path, node, depth FROM t",
+    "mutual_pairs": f"WITH {P.SQL_NATION_EDGES} SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst",
+    "ego_net": f"WITH {P.SQL_NATION_EDGES} SELECT src, dst FROM edges WHERE src = 'NATION_3' OR dst = 'NATION_3'",
+    "call_tree": f"WITH RECURSIVE {P.SQL_TOP_EDGES}, t(p, node, depth) AS (SELECT ['NATION_3'], 'NATION_3', 0 UNION ALL SELECT list_append(p, dst), dst, depth + 1 FROM t JOIN edges ON src = node WHERE depth < 4 AND NOT list_contains(p, dst)) SELECT array_to_string(p, '>') AS path, node, depth FROM t",
     "url_link": f"WITH {_PATHS}, n AS (SELECT id, project, {_NORM.replace('lower(x)', 'lower(path)').replace('length(x)', 'length(path)')} AS k FROM paths WHERE path <> '') SELECT a.id AS src, min(b.id) AS dst, 'HTTP' AS bridge_type FROM n a JOIN n b ON a.k = b.k AND a.project <> b.project WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id, b.project",
     "topic_link": "WITH t AS (SELECT p_partkey AS id, p_type || '-' || p_size AS k, p_partkey % 3 AS g FROM part) SELECT a.id AS src, b.id AS dst, 'MQ' AS bridge_type FROM t a JOIN t b ON a.k = b.k AND a.g <> b.g WHERE a.id % 2 = 0 AND b.id % 2 = 1",
     "feign_bridge": "SELECT DISTINCT a.p_partkey AS src, b.p_partkey AS dst, 'FEIGN' AS bridge_type FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 4 = 0 AND b.p_partkey % 4 <> 0",

@@ -20,8 +20,9 @@ def label_scan(spark: SparkSession, path: str, projects: list[str] | None = None
 
 
 def write_nodes(nodes: DataFrame, path: str, key: str = "id") -> None:
-    """Upserts by key: partitions (projects) that occur in nodes are rewritten, others stay."""
+    """Upserts by key: partitions (projects) that occur in nodes are rewritten, others stay. Of rows of nodes that share a key the greatest counts."""
     spark = nodes.sparkSession
+    nodes = nodes.groupBy(key).agg(F.max(F.struct(*[c for c in nodes.columns if c != key])).alias("_x")).select(key, "_x.*").select(*nodes.columns)
     try:
         old = spark.read.parquet(path).join(nodes.select("project").distinct(), "project", "left_semi")
     except Exception as e:  # noqa: BLE001  no table yet
@@ -36,8 +37,14 @@ def write_nodes(nodes: DataFrame, path: str, key: str = "id") -> None:
 
 
 def write_edges(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    """Adds edges whose two ends exist, once."""
-    incremental.connected_edges(edges, nodes).write.mode("append").parquet(path)
+    """Adds edges (src, dst, ...) whose two ends exist and that the table at path lacks, once."""
+    fresh = incremental.connected_edges(edges, nodes)
+    try:
+        fresh = fresh.join(edges.sparkSession.read.parquet(path).select("src", "dst"), ["src", "dst"], "left_anti")
+    except Exception as e:  # noqa: BLE001  no table yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    fresh.write.mode("append").parquet(path)
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -118,14 +125,30 @@ def scan_sources(spark: SparkSession, folder: str, endings: str = "*.{java,py,js
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of `git log --numstat --format=@%H|%ae|%cI` (one file a repository) to (repo, commit, author, at, file, lines)."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("repo"), "value")
-    commit = F.lit(r"(?s)(?<=^|\n)@([^|\n]*)\|([^|\n]*)\|([^\n]*)((?:\n(?!@)[^\n]*)*)")
-    parts = [F.regexp_extract_all("value", commit, F.lit(k)).alias(n) for k, n in enumerate(("commit", "author", "at", "files"), 1)]
-    raw = text.select("repo", F.explode(F.arrays_zip(*parts)).alias("c"))
-    rows = raw.select("repo", "c.commit", "c.author", F.to_timestamp("c.at").alias("at"), F.explode(F.filter(F.split("c.files", "\n"), lambda x: x.rlike(r"^\d+\t\d+\t"))).alias("f"))
+    """Lines of `git log --numstat --format=@%H|%ae|%cI` (one file a repository) to (repo, commit, author, at, file, lines).
+
+    A commit is one record (the separator is a line's end and @), so a log is read by many tasks. A binary file counts 0 lines.
+    """
+    text = spark.read.text(path, lineSep="\n@").select(F.input_file_name().alias("repo"), F.split("value", "\n").alias("x"))
+    head = F.split(F.ltrim(F.lit("@"), F.col("x")[0]), r"\|")
+    rows = text.select("repo", head[0].alias("commit"), head[1].alias("author"), F.to_timestamp(head[2]).alias("at"), F.explode("x").alias("f"))
     cells = F.split("f", "\t")
-    return rows.select("repo", "commit", "author", "at", cells[2].alias("file"), (cells[0].cast("long") + cells[1].cast("long")).alias("lines"))
+    return rows.where(F.col("f").rlike(r"^(\d+|-)\t(\d+|-)\t")).select("repo", "commit", "author", "at", cells[2].alias("file"), (F.coalesce(cells[0].try_cast("long"), F.lit(0)) + F.coalesce(cells[1].try_cast("long"), F.lit(0))).alias("lines"))
+
+
+def read_diff(spark: SparkSession, path: str) -> DataFrame:
+    """Unified diffs (`git diff`, one file a comparison) to (diff, file, status, additions, deletions), a row a changed file.
+
+    A file's part is one record (the separator is the line that begins with `diff --git`).
+    """
+    text = spark.read.text(path, lineSep="\ndiff --git ").select(F.input_file_name().alias("diff"), F.split("value", "\n").alias("x"))
+    name = F.regexp_extract(F.col("x")[0], r" b/(.*)$", 1)
+    begins = lambda p: F.exists("x", lambda l: F.startswith(l, F.lit(p)))
+    status = F.when(begins("new file mode"), "ADDED").when(begins("deleted file mode"), "DELETED").when(begins("rename to"), "RENAMED").otherwise("MODIFIED")
+    body = F.slice("x", F.greatest(F.lit(1), F.array_position(F.transform("x", lambda l: F.startswith(l, F.lit("@@"))), True).cast("int")), F.size("x"))
+    has = F.exists("x", lambda l: F.startswith(l, F.lit("@@")))
+    lines = lambda p: F.when(has, F.size(F.filter(body, lambda l: F.startswith(l, F.lit(p))))).otherwise(0)
+    return text.where(name != "").select("diff", name.alias("file"), status.alias("status"), lines("+").alias("additions"), lines("-").alias("deletions"))
 
 
 def export_reports(reports: DataFrame, folder: str) -> None:
