@@ -86,6 +86,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms), F.lit(0.0))
 
 
+def impact_scope(callers: Column) -> Column:
+    return steps(callers, [(0, 10), (3, 25), (5, 40), (10, 60), (20, 80)], 100)
+
+
+def entry_criticality(kinds: Column) -> Column:
+    """Points of the entry points' kinds, at most 100; none: 20."""
+    points = lambda k: F.when(k == "HTTP_ENDPOINT", 30).when(k == "MQ_CONSUMER", 25).when(k == "SCHEDULED_TASK", 20).otherwise(10)
+    return F.when(F.size(kinds) == 0, 20).otherwise(F.least(F.lit(100), F.aggregate(kinds, F.lit(0), lambda s, k: s + points(k))))
+
+
+def change_complexity(change: Column, characters: Column) -> Column:
+    """By the kind of change, and five points for each fifty characters more or less, up to twenty."""
+    kind = F.when(change == "DELETE", 40).when(change == "REFACTOR", 30).when(change == "MODIFY", 20).when(change == "ADD", 10).otherwise(0)
+    return F.least(F.lit(100), F.lit(30) + kind + F.least(F.lit(20), F.floor(F.abs(characters) / 50).cast("int") * 5))
+
+
+def snowflake(millis: Column, centre: Column, worker: Column, sequence: Column) -> Column:
+    """The id of a time, data centre, worker and sequence; the inverse of snowflake_parts."""
+    return F.shiftleft(millis - 1704067200000, 22).bitwiseOR(F.shiftleft(centre.cast("long"), 17)).bitwiseOR(F.shiftleft(worker.cast("long"), 12)).bitwiseOR(sequence.cast("long"))
+
+
 def snowflake_parts(x: Column) -> dict[str, Column]:
     """Milliseconds since 1970, data centre, worker and sequence of an id (5 + 5 + 12 bits after 1704067200000)."""
     return {"millis": F.shiftright(x, 22) + 1704067200000, "centre": F.shiftright(x, 17).bitwiseAND(31), "worker": F.shiftright(x, 12).bitwiseAND(31), "sequence": x.bitwiseAND(4095)}

@@ -72,6 +72,13 @@ def package_of(name: Column) -> Column:
     return F.regexp_replace(name, r"\.?[^.]*$", "")
 
 
+def java_hash(text: Column) -> Column:
+    """31-based hash of a text's code units in 32-bit arithmetic, as int; null: null. Characters beyond the basic plane count by their code point."""
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    wrapped = lambda x: F.when(x.bitwiseAND(0xFFFFFFFF) > 0x7FFFFFFF, x.bitwiseAND(0xFFFFFFFF) - 0x100000000).otherwise(x.bitwiseAND(0xFFFFFFFF))
+    return F.when(text == "", 0).otherwise(F.aggregate(points, F.lit(0).cast("long"), lambda h, c: wrapped(h * 31 + c))).cast("int")
+
+
 def own_or_inner(name: Column, cls: str) -> Column:
     """The class itself or one of its inner classes."""
     return (name == cls) | name.startswith(f"{cls}$")
@@ -120,6 +127,6 @@ def query_type_scores(query: Column) -> dict[str, Column]:
 def query_type(query: Column) -> Column:
     """The kind with the best score, the earlier one if equal; below 4, null or blank: natural language."""
     scores = query_type_scores(query)
-    best = F.greatest(*scores.values())
-    kind = reduce(lambda rest, c: F.when(scores[c] == best, c).otherwise(rest), reversed(list(scores)), F.lit("NATURAL_LANGUAGE"))
-    return F.when(query.isNull() | (F.trim(query) == "") | (best < 4), "NATURAL_LANGUAGE").otherwise(kind)
+    best = lambda s: F.when(F.array_max(s) < 4, "NATURAL_LANGUAGE").otherwise(F.element_at(F.array(*map(F.lit, scores)), F.array_position(s, F.array_max(s)).cast("int")))
+    kind = F.get(F.transform(F.array(F.array(*scores.values())), best), F.lit(0))  # a lambda's variable: the scores are computed once
+    return F.when(query.isNull() | (F.trim(query) == ""), "NATURAL_LANGUAGE").otherwise(kind)

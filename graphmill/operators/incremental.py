@@ -24,7 +24,7 @@ def orphans(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges whose two ends exist in nodes (node)."""
     ids = nodes.select("node").distinct()
-    return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi").dropDuplicates(["src", "dst"])
+    return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi").dropDuplicates(["src", "dst"]).select(*edges.columns)
 
 
 def without_deleted(edges: DataFrame, files: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def write_edges(edges: DataFrame, nodes: DataFrame, path: str) -> None:
     except Exception as e:  # noqa: BLE001  no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    fresh.write.mode("append").parquet(path)
+    fresh.select(*edges.columns).write.mode("append").parquet(path)
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -130,7 +130,7 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     A commit is one record (the separator is a line's end and @), so a log is read by many tasks. A binary file counts 0 lines.
     """
     text = spark.read.text(path, lineSep="\n@").select(F.input_file_name().alias("repo"), F.split("value", "\n").alias("x"))
-    head = F.split(F.ltrim(F.lit("@"), F.col("x")[0]), r"\|")
+    head = F.split(F.regexp_replace(F.col("x")[0], "^@", ""), r"\|")
     rows = text.select("repo", head[0].alias("commit"), head[1].alias("author"), F.to_timestamp(head[2]).alias("at"), F.explode("x").alias("f"))
     cells = F.split("f", "\t")
     return rows.where(F.col("f").rlike(r"^(\d+|-)\t(\d+|-)\t")).select("repo", "commit", "author", "at", cells[2].alias("file"), (F.coalesce(cells[0].try_cast("long"), F.lit(0)) + F.coalesce(cells[1].try_cast("long"), F.lit(0))).alias("lines"))

@@ -193,3 +193,109 @@ def test_node_sink(spark, tmp_path):
     readers.write_nodes(a, str(tmp_path / "n"))
     readers.write_nodes(spark.createDataFrame([(1, "p", "z"), (3, "p", "w")], "id long, project string, v string"), str(tmp_path / "n"))
     assert sorted(tuple(r) for r in readers.label_scan(spark, str(tmp_path / "n")).select("id", "project", "v").collect()) == [(1, "p", "z"), (2, "q", "y"), (3, "p", "w")]
+
+
+def test_commits_of_a_very_large_import(spark, tmp_path):
+    from graphmill.sources import readers
+
+    log = ["@aaa|a@x|2024-01-02T00:00:00+00:00", ""] + [f"{k}\t1\tdir/f{k}.java" for k in range(20_000)] + ["-\t-\tlogo.png", "", "@bbb|b@x|2024-01-03T00:00:00+00:00", "", "2\t0\tREADME.md"]
+    (tmp_path / "repo.log").write_text("\n".join(log))
+    rows = readers.read_commits(spark, str(tmp_path)).groupBy("commit", "author").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).collect()
+    assert {(r["commit"], r["author"], r["n"], r["lines"]) for r in rows} == {("aaa", "a@x", 20_001, sum(range(20_000)) + 20_000), ("bbb", "b@x", 1, 2)}
+
+
+def test_diffs(spark, tmp_path):
+    from graphmill.sources import readers
+
+    diff = "diff --git a/src/A.java b/src/A.java\nindex 1..2 100644\n--- a/src/A.java\n+++ b/src/A.java\n@@ -1,2 +1,3 @@\n-old\n+new\n+more\n same\ndiff --git a/b.png b/b.png\nnew file mode 100644\nBinary files /dev/null and b/b.png differ\ndiff --git a/gone.py b/gone.py\ndeleted file mode 100644\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n"
+    (tmp_path / "one.diff").write_text(diff)
+    rows = readers.read_diff(spark, str(tmp_path)).select("file", "status", "additions", "deletions").collect()
+    assert sorted(map(tuple, rows)) == [("b.png", "ADDED", 0, 0), ("gone.py", "DELETED", 0, 1), ("src/A.java", "MODIFIED", 2, 1)]
+
+
+def test_repeated_attributes_and_roots(spark):
+    from graphmill.operators import telemetry
+    from graphmill.streaming import spans
+
+    attr = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    span = {"traceId": "t", "spanId": "s", "name": "n", "kind": 2, "startTimeUnixNano": "x", "endTimeUnixNano": "5000000", "attributes": [attr("a", "1"), attr("b", "2"), attr("a", "3")]}
+    payload = spark.read.schema(spans.PAYLOAD).json(spark.sparkContext.parallelize([json.dumps({"resourceSpans": [{"resource": {"attributes": [attr("service.name", "old"), attr("service.name", "svc")]}, "scopeSpans": [{"spans": [span]}]}]})]))
+    row = telemetry.flatten_spans(payload).collect()[0]
+    assert row["service"] == "svc" and row["attributes"] == {"a": "3", "b": "2"}
+    rows = spark.createDataFrame([("t", 1, None, 10, 40.0), ("t", 2, 1, 20, 80.0), ("t", 3, 99, 5, 0.5)], "trace_id string, span_id long, parent_span_id long, start long, duration double")
+    assert [r["span_id"] for r in telemetry.root_spans(rows).collect()] == [3]
+    assert {r["span_id"]: r["percent"] for r in telemetry.trace_top_spans(rows).collect()} == {1: 4000.0, 2: 8000.0, 3: 50.0}
+
+
+def test_batch_sizes(spark):
+    from graphmill.operators import telemetry
+
+    rows = [("k", i, 0.05 if i == 0 else 0.0, 100.0) for i in range(12)] + [("slow", 0, 0.0, 500.0), ("slow", 1, 0.0, 500.0), ("slow", 2, None, None)]
+    out = telemetry.replayed_batch_sizes(spark.createDataFrame(rows, "k string, i int, error_rate double, millis_per_item double"), "k", "i")
+    got = {k: [r["batch_size"] for r in out.where(f"k = '{k}'").orderBy("i").collect()] for k in ("k", "slow")}
+    assert got == {"k": [10, 10, 10, 10, 10, 10, 15, 15, 22, 22, 33, 33], "slow": [10, 5, 5]}
+
+
+def test_hybrid_search(spark):
+    from graphmill.operators import search
+
+    methods = spark.createDataFrame([(1, "p", "x.a.b.Shop", "buy", "@Cacheable", ["java.io.IOException"], "s", None, [1.0, 0.0]), (2, "p", "x.a.b.Shop", "sell", None, [], "s", "python", [0.9, 0.1]), (3, "q", "x.a.c.Bank", "pay", None, [], "s", "java", [0.0, 1.0])], "node int, project string, class_name string, method_name string, comment string, thrown array<string>, service string, language string, embedding array<double>")
+    entries = spark.createDataFrame([(3, "/Pay/{id}")], "node int, path string")
+    edges = spark.createDataFrame([(1, 3), (2, 1)], "src int, dst int")
+    ask = lambda q, **how: [r["id"] for r in search.hybrid_search(methods, entries, edges, q, **how).collect()]
+    assert ask("x.a.b.Shop.buy", depth=2) == [1]  # exact: not expanded
+    assert ask("x.a.b.Shop") == ask("Shop") == [1, 2]
+    assert ask("GET /pay/:x") == [3] and ask("@Cacheable") == [1] and ask("IOException") == [1]
+    assert ask("sell", depth=1) == [1, 2] or ask("sell", depth=1) == [2, 1]
+    assert ask("where can I buy things", vector=[1.0, 0.0]) == [1, 2]
+    assert ask("where can I buy things", vector=[1.0, 0.0], language="java") == [1]
+    assert ask("where can I buy things", vector=[1.0, 0.0], projects=["q"]) == []
+    with pytest.raises(ValueError):
+        ask("where can I buy things")
+
+
+def test_louvain_ties_whatever_the_size(spark):
+    """Rings of one weight: the same communities by name, however many nodes there are."""
+    from graphmill.operators.graph import louvain
+
+    def communities(n):
+        rows = [("p", f"r{k:03d}_{i}", f"r{k:03d}_{(i + 1) % 6}", 1.0) for k in range(n) for i in range(6)]
+        out = louvain(spark.createDataFrame(rows, "project string, src string, dst string, weight double"), most=10_000, least=1)
+        return {r["node"]: r["community"] for r in out.collect()}
+
+    few, many = communities(3), communities(120)
+    same = lambda c, ring: tuple(c[f"r{ring:03d}_{i}"] - c[f"r{ring:03d}_0"] for i in range(6))
+    assert {same(many, k) for k in range(120)} == {same(few, 0)}
+
+
+def test_long_paths_and_many_rounds(spark):
+    from graphmill.operators import graph
+
+    edges = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.shortest_path(edges, 0, 30).collect()[0]["length"] == 30
+    assert graph.shortest_path(edges, 0, 30, max_depth=20).count() == 0
+    got = {r["node"]: r["depth"] for r in graph.reach_once(edges, spark.range(1).select(F.col("id").alias("seed"))).collect()}
+    assert got == {k: k for k in range(61)}
+
+
+def test_sinks(spark, tmp_path):
+    from graphmill.sources import readers
+
+    nodes = spark.createDataFrame([(1, "p", 5), (1, "p", 7), (2, "q", 1)], "id int, project string, v int")
+    readers.write_nodes(nodes, f"{tmp_path}/nodes")
+    readers.write_nodes(spark.createDataFrame([(1, "p", 9)], "id int, project string, v int"), f"{tmp_path}/nodes")
+    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/nodes").collect()) == [(1, 9), (2, 1)]
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "src int, dst int")
+    ends = spark.createDataFrame([(1,), (2,)], "node int")
+    for _ in range(2):
+        readers.write_edges(edges, ends, f"{tmp_path}/edges")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/edges").collect()] == [(1, 2)]
+    readers.export_reports(spark.createDataFrame([(1, "T", "body")], "report_id int, title string, body string"), f"{tmp_path}/md")
+    assert "".join(r["value"] + "|" for r in spark.read.text(f"{tmp_path}/md").collect()).startswith("# T")
+
+
+def test_files_of_classes(spark):
+    from graphmill.operators import impact
+
+    rows = spark.createDataFrame([("x\\src\\main\\java\\a\\B.java",), ("app/views.py",), ("README.md",), (None,), ("a/B.java",)], "f string")
+    assert [r[0] for r in rows.select(impact.class_of_file(F.col("f"))).collect()] == ["a.B", "app.views", None, None, None]
