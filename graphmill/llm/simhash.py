@@ -121,15 +121,18 @@ def _walk(fps: np.ndarray, bits: int, out: Forest) -> None:
         out.join(fps[group].tolist())
 
 
-def variants(classes: DataFrame, length: int, *carried: str) -> DataFrame:
-    """variant long and carried: the one-wildcard variants of classes.segments (an array of numbers of length bits)."""
+def variants(classes: DataFrame, length: int, *carried: str, covered: bool = False) -> DataFrame:
+    """variant long and carried: the one-wildcard variants of classes.segments (an array of numbers of length bits). With covered, the
+    bit under the wildcard is added as the lowest one."""
     parts = classes.select(*carried, F.posexplode("segments").alias("s", "part"))
     blanked = parts.select(*carried, "s", "part", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("w"))
     kept = F.col("part").bitwiseAND(F.expr("~shiftleft(1L, w)"))
-    return blanked.select(F.shiftleft((F.col("s") * length + F.col("w")).cast("long"), length).bitwiseOR(kept).alias("variant"), *carried)
+    number = F.shiftleft((F.col("s") * length + F.col("w")).cast("long"), length).bitwiseOR(kept)
+    number = F.shiftleft(number, 1).bitwiseOR(F.expr("shiftright(part, w) & 1")) if covered else number
+    return blanked.select(number.alias("variant"), *carried)
 
 
-def _dealt(rows: DataFrame, n: int, key: str, *order: str) -> DataFrame:
+def _dealt(rows: DataFrame, n: int, key: str | Column, *order: str) -> DataFrame:
     """rows dealt by key to tasks that sort about TASK_ROWS each (and spill what they can't hold)."""
     return rows.repartition(max(shuffle_width(rows.sparkSession), math.ceil(n / TASK_ROWS)), key).sortWithinPartitions(key, *order)
 
@@ -269,13 +272,15 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumn("mark", F.coalesce(F.md5("text"), F.lit("")))
 
 
-def window_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def window_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """u, v, differing bits: pairs of equal variant whose 128 bits differ in at most most. All pairs among the first WINDOW + 1 rows of a
-    variant, and each later row with the NEIGHBOURS before it."""
+    variant, and each later row with the NEIGHBOURS before it. Rows have their variant's number and, as its lowest bit, what the wildcard
+    covers: two equal segments share all variants of length, so that pair is given by the first of them alone."""
     names = ("variant", "cls", "a", "b")
-    held = [np.zeros(0, np.int64)] * 5
+    held = [np.zeros(0, np.int64)] * 6
     for batch in batches:
         new = [batch[c].to_numpy() for c in names]
+        covered, new[0] = new[0] & 1, new[0] >> 1
         n, old = len(new[0]), len(held[0])
         if not n:
             continue
@@ -283,19 +288,19 @@ def window_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple
         place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
         if old and held[0][-1] == new[0][0]:
             place[np.cumsum(begins) == 1] += held[4][-1] + 1
-        key, cls, a, b, place = (np.concatenate([h, x]) for h, x in zip(held, (*new, place), strict=True))
-        at = np.arange(len(key))
+        key, cls, a, b, place, covered = (np.concatenate([h, x]) for h, x in zip(held, (*new, place, covered), strict=True))
+        at, first = np.arange(len(key)), (key >> length) % length == 0
         for d in range(1, WINDOW + 1):
             at = at[at + d < len(key)]
             at = at[key[at + d] == key[at]]  # keys are sorted: what fails here fails farther on
             if not len(at):
                 break
-            x = at[(at + d >= old) & ((d <= NEIGHBOURS) | (place[at + d] <= WINDOW))]
+            x = at[(at + d >= old) & ((d <= NEIGHBOURS) | (place[at + d] <= WINDOW)) & (first[at] | (covered[at] != covered[at + d]))]
             apart = np.bitwise_count((a[x] ^ a[x + d]).view(np.uint64)).astype(np.int32) + np.bitwise_count((b[x] ^ b[x + d]).view(np.uint64))
             x, apart = x[apart <= most], apart[apart <= most]
             if len(x):
                 yield cls[x], cls[x + d], apart
-        held = [h[-WINDOW:] for h in (key, cls, a, b, place)]
+        held = [h[-WINDOW:] for h in (key, cls, a, b, place, covered)]
 
 
 def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> DataFrame:
@@ -307,7 +312,7 @@ def _candidates(classes: DataFrame, length: int, segments: int, similarity: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], int] = {}
-        for u, v, apart in window_pairs(batches, most):
+        for u, v, apart in window_pairs(batches, most, length):
             found.update(zip(zip(u.tolist(), v.tolist(), strict=True), apart.tolist(), strict=True))
             if len(found) > 200_000:
                 yield batch_of(found)
@@ -323,7 +328,7 @@ def _candidates(classes: DataFrame, length: int, segments: int, similarity: floa
     for first in range(0, segments, each):  # a few segments at a time bound what is shuffled at once
         small_batches(spark, 20_000)
         part = classes.where("segments is not null").select("cls", "a", "b", F.slice("segments", first + 1, each).alias("segments"))
-        rows = _dealt(variants(part, length, "cls", "a", "b"), n * length * min(each, segments - first), "variant", "cls")
+        rows = _dealt(variants(part, length, "cls", "a", "b", covered=True), n * length * min(each, segments - first), F.shiftright("variant", 1), "cls")
         rounds.append(saved(rows.mapInArrow(run, "u long, v long, apart int")))
         del rows, part
         gc.collect()
