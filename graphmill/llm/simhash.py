@@ -35,7 +35,7 @@ _U = np.uint64
 #: Above so many fingerprints a shared variant is dealt again.
 WIDE_RUN = 4096
 #: So many texts that share a variant, and one, are compared with each other; a later one with this many neighbours before it.
-WINDOW, NEIGHBOURS = 16, 2
+WINDOW, NEIGHBOURS = 16, 1
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -274,7 +274,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def window_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """u, v, differing bits: pairs of equal variant whose 128 bits differ in at most most. All pairs among the first WINDOW + 1 rows of a
-    variant, and each later row with the NEIGHBOURS before it. Rows have their variant's number and, as its lowest bit, what the wildcard
+    variant, and each later row with NEIGHBOURS before it. Rows have their variant's number and, as its lowest bit, what the wildcard
     covers: two equal segments share all variants of length, so that pair is given by the first of them alone."""
     names = ("variant", "cls", "a", "b")
     held = [np.zeros(0, np.int64)] * 6

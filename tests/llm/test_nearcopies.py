@@ -83,7 +83,7 @@ def test_window_pairs_across_batches(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(x[s : s + 7].astype(np.int64)) for x in (key * 2 + np.arange(400) % 2, cls, a, b)], names=["variant", "cls", "a", "b"]) for s in range(0, 400, 7)]
     got = sorted((u, v, d) for us, vs, ds in simhash.window_pairs(iter(batches), 2, 16) for u, v, d in zip(us.tolist(), vs.tolist(), ds.tolist()))
     bits = lambda i, j: sum(((int(x[i]) ^ int(x[j])) % 2**64).bit_count() for x in (a, b))
-    want = sorted((i, j, bits(i, j)) for i in range(400) for j in range(i + 1, min(400, i + 6)) if key[i] == key[j] and bits(i, j) <= 2 and (j - i <= 2 or j - int(np.searchsorted(key, key[j])) <= 5))
+    want = sorted((i, j, bits(i, j)) for i in range(400) for j in range(i + 1, min(400, i + 6)) if key[i] == key[j] and bits(i, j) <= 2 and (j - i <= 1 or j - int(np.searchsorted(key, key[j])) <= 5))
     assert got == want
     # under a wildcard that isn't the first, only rows that differ below it
     other = [pa.RecordBatch.from_arrays([pa.array(np.array([(5 << 16 | 9) * 2 + x for x in (0, 0, 1)])), *[pa.array(np.arange(3))] * 3], names=["variant", "cls", "a", "b"])]
