@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import carried, prefix_hash, span_hash
+from .common import carried, prefix_hash, ranges, span_hash
 from .passages import Segments, Window, repeated_units
 
 BLOCK = 32
@@ -123,31 +123,51 @@ def repeated_windows(texts: list[bytes], places: list[int], windows: list[int],
     base = np.cumsum(reach) - reach
     text = np.repeat(np.arange(len(texts)), reach)
     offset = np.arange(reach.sum()) - np.repeat(base, reach)
-    ahead = (head[text] - offset) % BLOCK
-    start = begin[text] + offset
+    ahead = ((head[text] - offset) % BLOCK).astype(np.uint8)
+    start, window = begin[text] + offset, offset < n[text]
+    last = np.zeros(len(text), bool)
+    last[base + reach - 1] = True
+    by_distance = np.argsort(ahead, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(ahead, minlength=BLOCK))])
     rank, order = np.zeros(len(text), np.int64), []
     for distance in range(BLOCK):
-        at = np.flatnonzero(ahead == distance)
+        at = by_distance[cuts[distance] : cuts[distance + 1]]
         if distance:
-            at = at[at + 1 < base[text[at]] + reach[text[at]]]  # the others are no windows
-            rank[at] = rank[at + 1] | (data[start[at]].astype(np.int64) << 40)
-            sort = np.argsort(rank[at], kind="stable")
-            rank[at[sort]] = np.arange(len(at))
+            at = at[~last[at]]  # the others are no windows
+            key = rank[at + 1] | (data[start[at]].astype(np.int64) << 40)
         else:
-            rank[at] = position[first[text[at]] + text[at] + (offset[at] - head[text[at]]) // BLOCK]
-            sort = np.argsort(rank[at], kind="stable")
-        order.append(at[sort][offset[at[sort]] < n[text[at[sort]]]])
+            key = position[first[text[at]] + text[at] + (offset[at] - head[text[at]]) // BLOCK]
+        at = at[np.argsort(key, kind="stable")]
+        rank[at] = np.arange(len(at))
+        order.append(at[window[at]])
     by = np.concatenate(order)
     prefix = prefix_hash(data)
-    window = span_hash(prefix, start[by], start[by] + size)  # equal windows have equal hashes, so only such neighbours are compared
-    near = np.flatnonzero(window[1:] == window[:-1])
-    hit = np.zeros(len(text), bool)
-    for k in range(0, len(near), 4096):
-        x, y = by[near[k : k + 4096]], by[near[k : k + 4096] + 1]
-        same = (data[start[x][:, None] + np.arange(size)] == data[start[y][:, None] + np.arange(size)]).all(axis=1)
-        hit[x[same]] = True
-        hit[y[same]] = True
-    return [hit[s : s + k] for s, k in zip(base.tolist(), n.tolist(), strict=True)]
+    value = span_hash(prefix, start[by], start[by] + size)  # equal windows have equal hashes, so only such neighbours are compared
+    near = np.flatnonzero(value[1:] == value[:-1])
+    return [x[:k] for x, k in zip(np.split(_equal_neighbours(data, start, by[near], by[near + 1], size), base[1:]), n.tolist(), strict=True)]
+
+
+def _equal_neighbours(data: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Of all places (windows at data[start]) those that belong to a pair a[k], b[k] of equal windows.
+
+    Pairs of consecutive places at one distance are compared together, each byte once.
+    """
+    hit = np.zeros(len(start), bool)
+    x, y = start[a], start[b]
+    sort = np.argsort((y - x << 32) + x, kind="stable")
+    a, b, x, apart = a[sort], b[sort], x[sort], (y - x)[sort]
+    heads = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1] + 1) | (apart[1:] != apart[:-1])])) if len(x) else np.zeros(0, np.int64)
+    long = np.diff(np.append(heads, len(x)))
+    for k in range(0, len(heads), 20_000):
+        own, n = heads[k : k + 20_000], long[k : k + 20_000]
+        at = ranges(x[own], n + size - 1)
+        unlike = np.concatenate([[0], np.cumsum(data[at] != data[at + np.repeat(apart[own], n + size - 1)])])
+        begin = np.repeat(np.cumsum(n + size - 1) - (n + size - 1), n) + ranges(np.zeros(len(n), np.int64), n)
+        same = unlike[begin + size] == unlike[begin]
+        pairs = slice(own[0], own[0] + n.sum())
+        hit[a[pairs][same]] = True
+        hit[b[pairs][same]] = True
+    return hit
 
 
 def _kernel(size: int):
