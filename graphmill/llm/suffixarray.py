@@ -6,7 +6,7 @@ falling count, to new groups just above their own. Phase 2 emits the order: each
 previous-smaller pointers, at the front of their groups.
 
 For dedup a task gets segments of text that share an anchor (see `passages`), lined up at it. Equal windows lie at equal distances from
-their anchor, so the suffixes that begin at every BLOCK-th byte from the anchor are sorted, on an alphabet of whole blocks. That order
+their anchor, so the suffixes that begin at every 64th byte from the anchor (a power of two, a third of a window at most) are sorted, on an alphabet of whole blocks. That order
 induces all others, one byte at a time: suffixes a byte farther from their block are ordered by (that byte, the order of what follows).
 Equal windows are then neighbours, as in a suffix array; neighbours are compared byte by byte.
 """
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from .common import carried, prefix_hash, ranges, span_hash
 from .passages import Segments, Window, repeated_units
 
-BLOCK = 32
 #: Bytes whose suffixes are sorted together.
 SHARD_BYTES = 1 << 20
 
@@ -97,18 +96,19 @@ def grouping_suffix_array(symbols: list[int]) -> list[int]:
 
 def repeated_windows(texts: list[bytes], places: list[int], windows: list[int], size: int) -> list[np.ndarray]:
     """For each text which of its windows also start in another of the texts; equal windows lie at equal distances from their places."""
+    block = 1 << (size // 3).bit_length() - 1
     lengths = np.array([len(x) for x in texts])
-    data = np.frombuffer(b"".join(texts) + bytes(BLOCK), np.uint8)
+    data = np.frombuffer(b"".join(texts) + bytes(block), np.uint8)
     begin = np.cumsum(lengths) - lengths
     # blocks lie on a grid through the anchor
-    head = np.array(places) % BLOCK
-    blocks = np.maximum(0, -(-(lengths - head) // BLOCK))
+    head = np.array(places) % block
+    blocks = np.maximum(0, -(-(lengths - head) // block))
     first = np.cumsum(blocks) - blocks
-    at = np.repeat(begin + head, blocks) + BLOCK * (np.arange(blocks.sum()) - np.repeat(first, blocks))
-    over = np.maximum(0, at + BLOCK - np.repeat(begin + lengths, blocks))
-    grid = data[at[:, None] + np.arange(BLOCK)]
-    grid = np.where(np.arange(BLOCK)[None, :] >= BLOCK - over[:, None], 0, grid).astype(np.uint8)
-    _, rank = np.unique(np.ascontiguousarray(grid).view(f"S{BLOCK}").ravel(), return_inverse=True)
+    at = np.repeat(begin + head, blocks) + block * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    over = np.maximum(0, at + block - np.repeat(begin + lengths, blocks))
+    grid = data[at[:, None] + np.arange(block)]
+    grid = np.where(np.arange(block)[None, :] >= block - over[:, None], 0, grid).astype(np.uint8)
+    _, rank = np.unique(np.ascontiguousarray(grid).view(f"S{block}").ravel(), return_inverse=True)
     # one separator, 1, after each text and 0 at the end
     symbol = np.ones(len(rank) + len(texts) + 1, np.int64)
     symbol[np.arange(len(rank)) + np.repeat(np.arange(len(texts)), blocks)] = rank + 2
@@ -119,24 +119,24 @@ def repeated_windows(texts: list[bytes], places: list[int], windows: list[int],
 
     # offsets up to the last window, and on to the next block's start
     n = np.array(windows)
-    reach = np.minimum(n + BLOCK, lengths)
+    reach = np.minimum(n + block, lengths)
     base = np.cumsum(reach) - reach
     text = np.repeat(np.arange(len(texts)), reach)
     offset = np.arange(reach.sum()) - np.repeat(base, reach)
-    ahead = ((head[text] - offset) % BLOCK).astype(np.uint8)
+    ahead = ((head[text] - offset) % block).astype(np.uint8)
     start, window = begin[text] + offset, offset < n[text]
     last = np.zeros(len(text), bool)
     last[base + reach - 1] = True
     by_distance = np.argsort(ahead, kind="stable")
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(ahead, minlength=BLOCK))])
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(ahead, minlength=block))])
     rank, order = np.zeros(len(text), np.int64), []
-    for distance in range(BLOCK):
+    for distance in range(block):
         at = by_distance[cuts[distance] : cuts[distance + 1]]
         if distance:
             at = at[~last[at]]  # the others are no windows
             key = rank[at + 1] | (data[start[at]].astype(np.int64) << 40)
         else:
-            key = position[first[text[at]] + text[at] + (offset[at] - head[text[at]]) // BLOCK]
+            key = position[first[text[at]] + text[at] + (offset[at] - head[text[at]]) // block]
         at = at[np.argsort(key, kind="stable")]
         rank[at] = np.arange(len(at))
         order.append(at[window[at]])
