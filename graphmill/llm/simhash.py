@@ -11,7 +11,8 @@ WIDE_RUN fingerprints share is dealt again over all tasks, by the other segment'
 `near_copies` links texts by the exact Jaccard similarity of their shingle sets. Similarity 0.8 moves 15 % of a fingerprint's bits, so its
 fingerprints are longer: segments of about log2 n bits, as many as make a pair at the threshold meet with the stated recall. A variant's
 texts are compared by 128 bits in a sliding window, so that a large group never gives all its pairs, and candidates by their whole
-shingle sets.
+shingle sets. Where more texts share a variant than the window holds, `_rest` then compares, in blocks, all of them that are still in
+different components, until none of these pairs is left undecided.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _U = np.uint64
 WIDE_RUN = 4096
 #: So many texts that share a variant, and one, are compared with each other; a later one with this many neighbours before it.
 WINDOW, NEIGHBOURS = 16, 1
+#: Members of a larger variant that are compared at once, and the partners of a text in another component that a first round decides.
+BLOCK, NEAREST = 4096, 2
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -303,42 +306,195 @@ def window_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> I
         held = [h[-WINDOW:] for h in (key, cls, a, b, place, covered)]
 
 
-def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> DataFrame:
-    """u, v, apart: distinct pairs of classes that share a variant and whose 128 bits are as near as similarity makes them but once in a thousand."""
+class WideVariants:
+    """The variants that more rows share than the window holds, as blocks of at most BLOCK members: (variant, block, cls, covered)."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.blocks = length, []
+        self.held, self.number = [np.zeros(0, np.int64)] * 3, 0
+
+    def watch(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """batches as they are, sorted by variant; their wide variants are noted."""
+        for batch in batches:
+            numbers = batch["variant"].to_numpy()
+            rows = [np.concatenate([h, x]) for h, x in zip(self.held, (numbers >> 1, batch["cls"].to_numpy(), numbers & 1), strict=True)]
+            key = rows[0]
+            if len(key):
+                cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+                for k in np.flatnonzero((np.diff(cuts) > WINDOW + 1) | ((cuts[:-1] == 0) & (self.number > 0)))[: len(cuts) - 1].tolist():
+                    if k < len(cuts) - 2:
+                        self._note(*[x[cuts[k] : cuts[k + 1]] for x in rows])
+                if len(cuts) > 2:
+                    self.number = 0
+                at = int(cuts[-2])
+                while len(key) - at > BLOCK:
+                    self._block(*[x[at : at + BLOCK] for x in rows])
+                    at += BLOCK
+                self.held = [x[at:] for x in rows]
+            yield batch
+        if len(self.held[0]) > WINDOW + 1 or self.number:
+            self._note(*self.held)
+
+    def _note(self, key: np.ndarray, cls: np.ndarray, covered: np.ndarray) -> None:
+        """The rest of a variant, which ends here."""
+        for x in range(0, len(cls), BLOCK):
+            self._block(key[x : x + BLOCK], cls[x : x + BLOCK], covered[x : x + BLOCK])
+        self.number = 0
+
+    def _block(self, key: np.ndarray, cls: np.ndarray, covered: np.ndarray) -> None:
+        variant = int(key[0])
+        if self.number or len(cls) == BLOCK or (variant >> self.length) % self.length == 0 or covered.min() != covered.max():
+            self.blocks.append((variant, self.number, cls, covered))  # others are pairs of equal segments, which the first wildcard gives
+        self.number += 1
+
+    def taken(self) -> list[tuple]:
+        out, self.blocks = self.blocks, []
+        return out
+
+
+def _most_apart(similarity: float) -> int:
+    """Bits of 128 in which a pair at the similarity differs at most, but once in a thousand."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(128 * share + 3.1 * math.sqrt(128 * share * (1 - share)))
+    return math.ceil(128 * share + 3.1 * math.sqrt(128 * share * (1 - share)))
+
+
+def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """u, v, apart: distinct pairs of classes that share a variant and whose 128 bits are as near as similarity makes them; and
+    variant, block, members: the wide variants."""
+    most = _most_apart(similarity)
     spark, n = classes.sparkSession, classes.count()
     each = max(1, ROUND_VARIANTS // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], int] = {}
-        for u, v, apart in window_pairs(batches, most, length):
+        wide = WideVariants(length)
+        for u, v, apart in window_pairs(wide.watch(batches), most, length):
             found.update(zip(zip(u.tolist(), v.tolist(), strict=True), apart.tolist(), strict=True))
-            if len(found) > 200_000:
-                yield batch_of(found)
+            if len(found) > 200_000 or len(wide.blocks) > 500:
+                yield batch_of(found, wide.taken())
                 found = {}
-        yield batch_of(found)
+        yield batch_of(found, wide.taken())
         release()
 
-    def batch_of(found: dict[tuple[int, int], int]) -> pa.RecordBatch:
+    def batch_of(found: dict[tuple[int, int], int], wide: list[tuple]) -> pa.RecordBatch:
         pairs = np.array(list(found), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(found.values()), pa.int32())], names=["u", "v", "apart"])
+        no, none = [None] * len(wide), [None] * len(found)
+        ends = np.concatenate([np.zeros(len(found) + 1, np.int32), np.cumsum([len(w[2]) for w in wide], dtype=np.int32)])
+        flat = lambda k: np.concatenate([np.zeros(0, np.int64), *[w[k] for w in wide]])
+        members = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat(2)), pa.array(flat(3))], names=["cls", "covered"]))
+        columns = [pa.array([*x, *no], t) for x, t in ((pairs[:, 0].tolist(), pa.int64()), (pairs[:, 1].tolist(), pa.int64()), (found.values(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([*none, *[w[0] for w in wide]], pa.int64()), pa.array([*none, *[w[1] for w in wide]], pa.int32()), members], names=["u", "v", "apart", "variant", "block", "members"])
 
     rounds = []
     for first in range(0, segments, each):  # a few segments at a time bound what is shuffled at once
         small_batches(spark, 20_000)
         part = classes.where("segments is not null").select("cls", "a", "b", F.slice("segments", first + 1, each).alias("segments"))
         rows = _dealt(variants(part, length, "cls", "a", "b", covered=True), n * length * min(each, segments - first), F.shiftright("variant", 1), "cls")
-        rounds.append(saved(rows.mapInArrow(run, "u long, v long, apart int")))
+        made = rows.mapInArrow(run, "u long, v long, apart int, variant long, block int, members array<struct<cls:long,covered:long>>")
+        rounds.append(saved(made.withColumn("variant", F.col("variant") + (first * length << length))))
         del rows, part
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # the round's shuffle files may go
     out = rounds[0]
     for r in rounds[1:]:
         out = out.union(r)
-    out = saved(out.groupBy("u", "v").agg(F.min("apart").alias("apart")))
+    wide = saved(out.where("variant is not null").select("variant", "block", "members"))
+    out = saved(out.where("variant is null").groupBy("u", "v").agg(F.min("apart").alias("apart")))
     dropped(*rounds)
-    return out
+    return out, wide
+
+
+def _home(roots: DataFrame, name: str, root: str) -> DataFrame:
+    return roots.select(F.col("u").alias(name), F.col("root").alias(root))
+
+
+def block_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int, nearest: int) -> Iterator[pa.RecordBatch]:
+    """u, v, more: for each probe of a (variant, block) the nearest members of every other root whose 128 bits differ in at most most, up to
+    nearest a root; more says that others were left. A block's members come first (probe false), then its probes, which are streamed."""
+    names = ("variant", "block", "probe", "root", "cls", "covered", "a", "b")
+    at, held, full = None, [], None
+    out: list[tuple[int, int, bool]] = []
+
+    def batch_of(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["u", "v", "more"])
+
+    for batch in batches:
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+        if not len(rows[0]):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])])).tolist()
+        for x, y in zip(starts, [*starts[1:], len(rows[0])], strict=True):
+            here, part = (int(rows[0][x]), int(rows[1][x])), [r[x:y] for r in rows[3:]]
+            if here != at:
+                at, held, full = here, [], None
+            if not rows[2][x]:
+                held.append(part)
+                continue
+            full = full or [np.concatenate(z) for z in zip(*held, strict=True)]
+            root, cls, covered, a, b = full
+            every = (here[0] >> length) % length == 0
+            for r, me, bit, c, d in zip(*part, strict=True):
+                apart = np.bitwise_count((a ^ c).view(np.uint64)).astype(np.int32) + np.bitwise_count((b ^ d).view(np.uint64))
+                hit = np.flatnonzero((apart <= most) & (root != r) & (every | (covered != bit)))
+                if not len(hit):
+                    continue
+                hit = hit[np.lexsort((cls[hit], apart[hit], root[hit]))]
+                begins = np.concatenate([[True], root[hit][1:] != root[hit][:-1]])
+                place = np.arange(len(hit)) - np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
+                more = bool((place >= nearest).any())
+                out += [(min(int(me), o), max(int(me), o), more) for o in cls[hit[place < nearest]].tolist()]
+                if len(out) > 100_000:
+                    yield batch_of(out)
+                    out = []
+    yield batch_of(out)
+    release()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with new links: only the components that these connect are looked at again."""
+    ends = links.join(_home(roots, "u", "root_u"), "u", "left").join(_home(roots, "v", "root_v"), "v", "left")
+    moved = saved(components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))))
+    now = roots.join(_home(moved, "_old", "_new"), F.col("root") == F.col("_old"), "left")
+    return saved(now.select("u", F.coalesce("_new", "root").alias("root")).union(moved.select("u", "root")))
+
+
+def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFrame, texts_of, length: int, shingle: int, similarity: float) -> DataFrame:
+    """roots, after the pairs of wide variants' members that lie in different components are decided too, but for those that tried has.
+
+    A variant whose members are one component needs nothing. In others, the members outside the variant's largest component are compared
+    with all its members, in blocks. Each round decides the nearest of every other component, then eight times as many; the last round
+    is the one that left none out. So pairs inside a component are never made, and none between components stays undecided.
+    """
+    most, spark, nearest = _most_apart(similarity), wide.sparkSession, NEAREST
+    texts = None
+    while True:
+        flat = wide.select("variant", "block", F.explode("members").alias("m")).select("variant", "block", "m.cls", "m.covered")
+        flat = flat.join(_home(roots, "_cls", "root"), F.col("cls") == F.col("_cls"), "left").withColumn("root", F.coalesce("root", "cls")).drop("_cls")
+        shares = flat.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k"))
+        mixed = saved(shares.where("k > 1").select(F.col("variant").alias("_variant"), "largest"))
+        if mixed.isEmpty():
+            return roots
+        sides = classes.select(F.col("cls").alias("_cls"), "a", "b")
+        members = saved(flat.join(mixed, F.col("variant") == F.col("_variant")).join(sides, F.col("cls") == F.col("_cls")).drop("_variant", "_cls"))
+        if texts is None:  # later rounds look at no others
+            texts = texts_of(members.select("cls").distinct())
+        blocks = members.select("variant", "block").distinct()
+        probes = members.where("root <> largest").drop("block").join(blocks, "variant")
+        columns = ["variant", "block", "probe", "root", "cls", "covered", "a", "b"]
+        rows = members.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
+        small_batches(spark, 20_000)
+        dealt = rows.repartition(shuffle_width(spark), "variant", "block").sortWithinPartitions("variant", "block", "probe")
+        now = nearest
+        found = saved(dealt.mapInArrow(lambda batches: block_pairs(batches, most, length, now), "u long, v long, more boolean"))  # noqa: B023
+        pairs = saved(found.select("u", "v").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
+        left = not found.where("more").isEmpty()
+        new = _verified(pairs, texts, shingle, similarity)
+        dropped(mixed, members, found)
+        if not new.isEmpty():
+            roots = _merged(roots, new)
+        if not left:
+            return roots
+        tried, nearest = tried.select("u", "v").union(pairs), nearest * 8
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -370,31 +526,34 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
     are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
     candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
-    in different components. Where more than WINDOW texts share a variant, later ones are compared with NEIGHBOURS before them in the
-    order of their hashes, in every variant that they share: a large group is connected by many such links. Rows that share a doc_id are decided by their texts. Empty table: no rows.
+    in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
+    Rows that share a doc_id are decided by their texts. Empty table: no rows.
     """
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("segments", "a", "b")]))
-    pairs = _candidates(classes, length, segments, similarity)
-    nodes = pairs.select(F.col("u").alias("_cls")).union(pairs.select("v")).distinct()
-    wanted = classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")).join(nodes, F.col("cls") == F.col("_cls"), "left_semi")
-    texts = saved(_marked(docs).select("doc_id", "mark", "text").join(wanted, _same("_id", "_mark")).groupBy("cls").agg(F.first("text").alias("text")))
+    pairs, wide = _candidates(classes, length, segments, similarity)
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")).join(nodes, "cls", "left_semi")
+        return saved(_marked(docs).select("doc_id", "mark", "text").join(wanted, _same("_id", "_mark")).groupBy("cls").agg(F.first("text").alias("text")))
+
+    texts = texts_of(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct())
     nearest = SqlWindow.partitionBy("v").orderBy("apart", "u")
     ranked = saved(pairs.withColumn("k", F.row_number().over(nearest)))
     links = _verified(ranked.where("k <= 2"), texts, shingle, similarity)
     roots = saved(components(links))
-    home = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = ranked.where("k > 2").join(home("u"), "u", "left").join(home("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)")
+    apart = ranked.where("k > 2").join(_home(roots, "u", "root_u"), "u", "left").join(_home(roots, "v", "root_v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)")
     more = _verified(apart, texts, shingle, similarity)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = _merged(roots, more)
+    roots = _rest(wide, classes, roots, pairs, texts_of, length, shingle, similarity)
     named = classes.select("cls", "first").join(roots, F.col("cls") == F.col("u"), "left")
     best = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
     best = saved(best.join(counts, _same("_id", "_mark")).select("_id", "_mark", "_n"))
-    dropped(pairs, ranked, texts, links, more)
+    dropped(pairs, ranked, texts, wide, links, more)
     one = _marked(docs).join(best.where("_n = 1"), _same("_id", "_mark"), "left_semi")
     several = _marked(docs).join(best.where("_n > 1"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
     return one.unionByName(several).select(*docs.columns)

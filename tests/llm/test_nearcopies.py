@@ -3,6 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import SCHEMA
 from graphmill.llm import simhash
 from test_llm_operators import closure
@@ -75,6 +76,48 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == [0, 1]
 
 
+@pytest.mark.parametrize(("window", "block"), [(2, 20), (16, 4096)])
+def test_wide_variants_lose_no_link(spark, monkeypatch, window, block):
+    """Overlapping families about the threshold in shared variants: the components of all candidates that are near, not of a window's."""
+    monkeypatch.setattr(simhash, "WINDOW", window)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{k}" for k in range(260)], []
+    for k in range(60):
+        w = list(base)
+        for at in rng.choice(260, int(rng.integers(1, 9)), replace=False):
+            w[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    length, segments = simhash.segment_shape(len(rows), 0.8, 0.95)
+    sketches = simhash._sketches(frame, 5, length, segments).orderBy("doc_id").collect()
+    sets, most = [shingles(t) for _, t in rows], simhash._most_apart(0.8)
+
+    def linked(i, j):
+        x, y = sketches[i], sketches[j]
+        meet = any((p ^ q).bit_count() <= 1 for p, q in zip(x.segments, y.segments))
+        return meet and sum(((p ^ q) % 2**64).bit_count() for p, q in ((x.a, y.a), (x.b, y.b))) <= most and near(sets[i], sets[j])
+
+    want = sorted(set(closure([i for i, _ in rows], linked)))
+    assert 1 < len(want) < 60
+    assert sorted(r["doc_id"] for r in simhash.near_copies(frame).collect()) == want
+
+
+def test_wide_variants_across_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "WINDOW", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.choice([1, 2, 3, 4, 5, 1 << 16 | 7, 1 << 16 | 8], 60, p=[0.5, 0.05, 0.2, 0.05, 0.1, 0.05, 0.05]))
+    cls = np.arange(60)
+    for size in (1, 4, 7, 60):
+        wide = simhash.WideVariants(16)
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[s : s + size] * 2 + cls[s : s + size] % 2), pa.array(cls[s : s + size])], names=["variant", "cls"]) for s in range(0, 60, size)]
+        assert len(list(wide.watch(iter(batches)))) == len(batches)
+        got = wide.taken()
+        assert len({g[:2] for g in got}) == len(got) and all(len(g[2]) <= 6 for g in got)
+        assert {k: sorted(c for g in got if g[0] == k for c in g[2].tolist()) for k in {g[0] for g in got}} == {int(k): cls[key == k].tolist() for k in np.unique(key) if (key == k).sum() > 4}
+
+
 def test_window_pairs_across_batches(monkeypatch):
     monkeypatch.setattr(simhash, "WINDOW", 5)
     rng = np.random.default_rng(0)
