@@ -49,6 +49,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the plans, broadcasts and shuffle files of steps that are over, on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of saved frames that nothing will read again."""
     for df in frames:

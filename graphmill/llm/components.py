@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import dropped, saved, tidy
 
 BROADCAST_NODES, SALTS = 50_000, 64
 
@@ -64,6 +64,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         hot_from = max(100, state[0] // 1000)
         now = _small_star(_large_star(now, hot_from), hot_from)
+        tidy(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return now.select("u", F.col("v").alias("root"))

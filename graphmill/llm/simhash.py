@@ -17,7 +17,6 @@ different components, until none of these pairs is left undecided.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, word_bounds
+from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
 from .components import components
 
 _U = np.uint64
@@ -38,7 +37,7 @@ WIDE_RUN = 4096
 #: So many texts that share a variant, and one, are compared with each other; a later one with this many neighbours before it.
 WINDOW, NEIGHBOURS = 16, 1
 #: Members of a larger variant that are compared at once, and the partners of a text in another component that a first round decides.
-BLOCK, NEAREST = 4096, 2
+BLOCK, NEAREST = 4096, 16
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -393,8 +392,7 @@ def _candidates(classes: DataFrame, length: int, segments: int, similarity: floa
         made = rows.mapInArrow(run, "u long, v long, apart int, variant long, block int, members array<struct<cls:long,covered:long>>")
         rounds.append(saved(made.withColumn("variant", F.col("variant") + (first * length << length))))
         del rows, part
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # the round's shuffle files may go
+        tidy(spark)
     out = rounds[0]
     for r in rounds[1:]:
         out = out.union(r)
@@ -462,7 +460,7 @@ def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFram
     """roots, after the pairs of wide variants' members that lie in different components are decided too, but for those that tried has.
 
     A variant whose members are one component needs nothing. In others, the members outside the variant's largest component are compared
-    with all its members, in blocks. Each round decides the nearest of every other component, then eight times as many; the last round
+    with all its members, in blocks. Each round decides the nearest of every other component, then sixteen times as many; the last round
     is the one that left none out. So pairs inside a component are never made, and none between components stays undecided.
     """
     most, spark, nearest = _most_apart(similarity), wide.sparkSession, NEAREST
@@ -490,11 +488,12 @@ def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFram
         left = not found.where("more").isEmpty()
         new = _verified(pairs, texts, shingle, similarity)
         dropped(mixed, members, found)
+        tidy(spark)
         if not new.isEmpty():
             roots = _merged(roots, new)
         if not left:
             return roots
-        tried, nearest = tried.select("u", "v").union(pairs), nearest * 8
+        tried, nearest = tried.select("u", "v").union(pairs), nearest * 16
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -544,6 +543,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     ranked = saved(pairs.withColumn("k", F.row_number().over(nearest)))
     links = _verified(ranked.where("k <= 2"), texts, shingle, similarity)
     roots = saved(components(links))
+    tidy(docs.sparkSession)
     apart = ranked.where("k > 2").join(_home(roots, "u", "root_u"), "u", "left").join(_home(roots, "v", "root_v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)")
     more = _verified(apart, texts, shingle, similarity)
     if not more.isEmpty():
