@@ -484,7 +484,7 @@ def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFram
         dealt = rows.repartition(shuffle_width(spark), "variant", "block").sortWithinPartitions("variant", "block", "probe")
         now = nearest
         found = saved(dealt.mapInArrow(lambda batches: block_pairs(batches, most, length, now), "u long, v long, more boolean"))  # noqa: B023
-        pairs = saved(found.select("u", "v").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
+        pairs = saved(found.select("u", "v").distinct().join(tried.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
         left = not found.where("more").isEmpty()
         new = _verified(pairs, texts, shingle, similarity)
         dropped(mixed, members, found)
@@ -526,7 +526,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
     candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
     in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
-    Rows that share a doc_id are decided by their texts. Empty table: no rows.
+    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins of two keys are merge joins: a broadcast of such
+    keys, which adaptive execution may choose, takes a page of 64 MB on the driver each time.
     """
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))
@@ -536,7 +537,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")).join(nodes, "cls", "left_semi")
-        return saved(_marked(docs).select("doc_id", "mark", "text").join(wanted, _same("_id", "_mark")).groupBy("cls").agg(F.first("text").alias("text")))
+        return saved(_marked(docs).select("doc_id", "mark", "text").join(wanted.hint("merge"), _same("_id", "_mark")).groupBy("cls").agg(F.first("text").alias("text")))
 
     texts = texts_of(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct())
     nearest = SqlWindow.partitionBy("v").orderBy("apart", "u")
@@ -552,8 +553,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     named = classes.select("cls", "first").join(roots, F.col("cls") == F.col("u"), "left")
     best = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
-    best = saved(best.join(counts, _same("_id", "_mark")).select("_id", "_mark", "_n"))
+    best = saved(best.join(counts.hint("merge"), _same("_id", "_mark")).select("_id", "_mark", "_n"))
     dropped(pairs, ranked, texts, wide, links, more)
-    one = _marked(docs).join(best.where("_n = 1"), _same("_id", "_mark"), "left_semi")
-    several = _marked(docs).join(best.where("_n > 1"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
+    one = _marked(docs).join(best.where("_n = 1").hint("merge"), _same("_id", "_mark"), "left_semi")
+    several = _marked(docs).join(best.where("_n > 1").hint("merge"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
     return one.unionByName(several).select(*docs.columns)
