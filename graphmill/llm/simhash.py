@@ -526,8 +526,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
     candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
     in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
-    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins of two keys are merge joins: a broadcast of such
-    keys, which adaptive execution may choose, takes a page of 64 MB on the driver each time.
+    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins on two keys are merge joins, so that none
+    of their sides is broadcast.
     """
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))
