@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, quality, sharding, simhash, substring, suffixarray, toxicity, urlfilter
+from . import alignment, bytebpe, embeddings, mixing, packing, quality, sharding, simhash, substring, suffixarray, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,20 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_automata, op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op5_suffix_array_grouping, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing)}
+def op12_bpe_tree_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.coding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = ((kind, bytebpe.file_bytes(spark, public_tokenizers.path(name))) for kind, name in ((alignment.BytePairs, "byte_bpe_50k.json"), (alignment.SentencePieces, "piece_bpe_32k.model")))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), a, b)[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_automata, op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op5_suffix_array_grouping, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing, op12_bpe_tree_reduction, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_automaton": r"""
