@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bytebpe, embeddings, mixing, packing, quality, sharding, simhash, substring, suffixarray, toxicity, urlfilter
+from . import alignment, bytebpe, embeddings, mixing, packing, quality, sharding, simhash, substring, suffixarray, toxicity, upsert, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,26 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_copy_on_write_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def crc(c: Column) -> Column:
+        return F.crc32(c.cast("string").cast("binary"))
+
+    clients, key = table(spark, sf_dir, "clients"), "client_id"
+    rows_per_file = 1 + clients.count() // 1000
+    folder = upsert.new_folder(spark, "clients")
+    files = upsert.write_table(clients.where(crc(F.col(key)) % 7 > 3), folder, key, rows_per_file)
+    changes = upsert.latest(table(spark, sf_dir, "client_changes"), key, ["seq", "change_id"])
+    stay = upsert.upsert(
+        spark, folder, files, changes, key, ["source", "segment", "city", "balance"], rows_per_file,
+        ignored=lambda first: crc(first) % 16 > 7,
+        deleted=lambda first: (F.col("op") == "D") | (crc(F.col("change_id")) % 8 < crc(first) % 16),
+    )
+    text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("source", "segment", "city")])
+    numbers = {"cents": F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)), "rows_crc": F.crc32(text.cast("binary"))}
+    found = upsert.file_digests(spark, folder, key, numbers, clients.columns, dict(clients.dtypes))
+    return found.withColumn("rewritten", ~F.element_at(F.split("path", "/"), -1).isin(stay)).select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", "rewritten")
+
+
 def op12_bpe_tree_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,7 +105,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), a, b)[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_automata, op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op5_suffix_array_grouping, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing, op12_bpe_tree_reduction, op13_token_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_automata, op2_hypergeometric_sharding, op3_url_automaton, op4_quality_list, op5_suffix_array_grouping, op6_simhash_deletion_variants, op7_toxicity_ftrl, op8_embedding_near_dedup, op9_curriculum_mix, op10_local_search_packing, op11_copy_on_write_upsert, op12_bpe_tree_reduction, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_automaton": r"""
