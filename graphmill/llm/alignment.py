@@ -27,8 +27,9 @@ from .common import checkpoint_dir, column_bytes, release, small_batches
 
 #: A block ends with the document that brings it to so many bytes of text; texts are encoded in parts of about PART bytes.
 BLOCK, PART = 4 << 20, 1 << 18
-#: A part may end before a space that follows none: neither side has a token across it.
-_CUT = re.compile(rb"(?<=[^ ]) ")
+#: A part may end before a space that follows none: neither side has a token across it. It may not be the text's last character, as the
+#: pieces' model adds no space to an empty part.
+_CUT = re.compile(rb"(?<=[^ ]) (?=.)", re.DOTALL)
 _NONE = np.zeros(0, np.int64)
 
 
