@@ -16,6 +16,8 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, column_bytes, release, small_batches
 
-#: A block ends with the document that brings it to so many bytes of text; texts are encoded in parts of about PART bytes.
-BLOCK, PART = 4 << 20, 1 << 18
-#: A part may end before a space that follows none: neither side has a token across it. It may not be the text's last character, as the
-#: pieces' model adds no space to an empty part.
-_CUT = re.compile(rb"(?<=[^ ]) (?=.)", re.DOTALL)
+#: A block ends with the document that brings it to so many bytes of text.
+BLOCK = 4 << 20
+#: A text may be cut before a space that follows none or is followed by none: neither side has a token across it. The text's last
+#: character is no part of its own, as the pieces' model adds no space to an empty part.
+_CUT = re.compile(r"(?<=[^ ])(?= .)", re.DOTALL)
+_SPACE_AND_SPACE = re.compile(r" \s")
+#: So many parts, of up to LONG characters, are remembered by a worker; then it starts anew.
+REMEMBERED, LONG = 1 << 17, 64
 _NONE = np.zeros(0, np.int64)
 
 
@@ -88,23 +93,14 @@ class SentencePieces(Side):
         return self.model.encode([p[1:] for p in parts], num_threads=1)
 
 
-_sides: dict[tuple[type, bytes], Side] = {}
-
-
-def side(kind: type, file: bytes) -> Side:
-    """A worker keeps a tokenizer from task to task."""
-    if (kind, file) not in _sides:
-        _sides[kind, file] = kind(file)
-    return _sides[kind, file]
-
-
-def parts_of(data: bytes, size: int = PART) -> list[str]:
-    """data, which begins with a space, cut before spaces that follow none, into parts of about size bytes (longer only where there is no such space)."""
-    out, at = [], 0
-    while len(data) - at > size and (cut := _CUT.search(data, at + size)):
-        out.append(data[at : cut.start()].decode())
-        at = cut.start()
-    return [*out, data[at:].decode()]
+def parts_of(text: str) -> list[str]:
+    """text, which begins with a space, cut at places that neither side has a token across."""
+    if "\0" in text or _SPACE_AND_SPACE.search(text):
+        return _CUT.split(text)
+    parts = text.replace(" ", "\0 ").split("\0")[1:]
+    if parts[-1] == " " and len(parts) > 1:
+        parts[-2:] = [parts[-2] + " "]
+    return parts
 
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,56 +110,105 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return of_a, of_b, (ends_a[of_a] == ends) & (ends_b[of_b] == ends)
 
 
-class Aligner:
+class Part(NamedTuple):
+    """What is known of a part of a text: the ids of either side (bytes of 32-bit numbers), its groups as text (each after a semicolon), how
+    many these are, and its links (bytes of 64-bit numbers, the first side's id in the upper half)."""
+
+    a: bytes
+    b: bytes
+    text: str
+    groups: int
+    links: bytes
+
+
+class Aligner(dict):
+    """As a mapping, what is known of a part of a text, None where a side doesn't give the part's bytes back. Places where texts are cut end tokens
+    of both sides, so parts are aligned apart, all that are new at once."""
+
     def __init__(self, a: Side, b: Side):
+        super().__init__()
         self.a, self.b = a, b
 
-    def tokens(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both sides for each text; none where a side's bytes aren't the space and the text."""
-        spaced = []
+    def parts(self, texts: list[bytes]) -> list[list[Part]]:
+        """The parts of each text; none where a side's bytes aren't the space and the text."""
+        cut = []
         for t in texts:
             try:
-                t.decode()
-                spaced.append(b" " + t if t else b"")
+                text = t.decode()
             except UnicodeDecodeError:
-                spaced.append(b"")
-        cut = [(parts_of(t) if not self.b.whole else [t.decode()]) if t else [] for t in spaced]
-        flat = [p for parts in cut for p in parts]
-        ids, out, at = (self.a.encode(flat), self.b.encode(flat)), [], 0
-        for text, parts in zip(spaced, cut, strict=True):
-            found = [[k for part in side_ids[at : at + len(parts)] for k in part] for side_ids in ids]
-            at += len(parts)
-            same = all(b"".join(map(s.bytes_of.__getitem__, f)) == text for s, f in zip((self.a, self.b), found, strict=True))
-            out.append(tuple(np.array(f if same else [], np.int64) for f in found))
+                text = ""
+            cut.append(([" " + text] if self.b.whole else parts_of(" " + text)) if text else [])
+        found = self._learn({p for parts in cut for p in parts})
+        out = []
+        for parts in cut:
+            known = [found[p] if p in found else self[p] for p in parts]
+            out.append([] if None in known else known)
         return out
 
-    def groups(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens of either side that each interval lies in, and the group (from 0) of each token of either side."""
-        of_a, of_b, closes = aligned(np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b]))
+    def _learn(self, parts: set[str]) -> dict[str, Part | None]:
+        """The parts that weren't known; short ones are remembered."""
+        new = sorted(p for p in parts if p not in self)
+        ids_a, ids_b = self.a.encode(new), self.b.encode(new)
+        token_a, token_b = self.a.bytes_of.__getitem__, self.b.bytes_of.__getitem__
+        same = [b"".join(map(token_a, x)) == b"".join(map(token_b, y)) == p.encode() for p, x, y in zip(new, ids_a, ids_b, strict=True)]
+        found = dict.fromkeys(new)
+        good = [k for k, ok in enumerate(same) if ok]
+        found.update(zip([new[k] for k in good], self._aligned([ids_a[k] for k in good], [ids_b[k] for k in good]), strict=True))
+        if len(self) > REMEMBERED:
+            found |= {p: self[p] for p in parts if p in self}
+            self.clear()
+        self.update((p, x) for p, x in found.items() if len(p) <= LONG)
+        return found
+
+    def _aligned(self, lists_a: list[list[int]], lists_b: list[list[int]]) -> list[Part]:
+        """Parts laid end to end, so that their places are one axis."""
+        lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (lists_a, lists_b)]
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int32, int(n.sum())) for x, n in zip((lists_a, lists_b), lengths, strict=True))
+        ends_a, ends_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
+        of_a, of_b, closes = aligned(ends_a, ends_b)
         group = np.cumsum(closes) - closes
         last = lambda of: np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else _NONE
-        return of_a, of_b, group[last(of_a)], group[last(of_b)]
-
-    def written(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        """a1,a2|b1;a3|b2,b3: the ids of each group."""
+        text = self._written(ids_a, ids_b, group[last(of_a)], group[last(of_b)])
+        links = ids_a[of_a].astype(np.int64) << 32 | ids_b[of_b]
+        at = [[0, *np.cumsum(n).tolist()] for n in (*lengths, lengths[0] + lengths[1])]
+        stops = np.searchsorted(of_a, np.array(at[0]))  # the first interval of each part
+        groups, stops = np.concatenate([[0], np.cumsum(closes)])[stops].tolist(), stops.tolist()
+        return [
+            Part(ids_a[at[0][k] : at[0][k + 1]].tobytes(), ids_b[at[1][k] : at[1][k + 1]].tobytes(), "".join(text[at[2][k] : at[2][k + 1]]), groups[k + 1] - groups[k], links[stops[k] : stops[k + 1]].tobytes())
+            for k in range(len(lists_a))
+        ]
+
+    def _written(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
+        """The tokens group by group, each with its mark: ;a1 ,a2 |b1 ;a3 |b2 ,b3."""
         out = np.empty(len(ids_a) + len(ids_b), object)
         for s, ids, group, mark, before in ((self.a, ids_a, group_a, ";", np.searchsorted(group_b, group_a)), (self.b, ids_b, group_b, "|", np.searchsorted(group_a, group_b, "right"))):
             text, first = s.written[","][ids], np.append(True, group[1:] != group[:-1])[: len(ids)]
             text[first] = s.written[mark][ids[first]]
             out[np.arange(len(ids)) + before] = text
-        return "".join(out)[1:]
+        return out.tolist()
+
+
+_aligners: dict[tuple, Aligner] = {}
+
+
+def aligner(a: tuple[type, bytes], b: tuple[type, bytes]) -> Aligner:
+    """A worker keeps an aligner, and what it remembers, from task to task."""
+    if (a, b) not in _aligners:
+        _aligners.clear()
+        _aligners[a, b] = Aligner(*[kind(file) for kind, file in (a, b)])
+    return _aligners[a, b]
 
 
-def _block(aligner: Aligner, texts: list[bytes]) -> dict:
+def _block(known: Aligner, texts: list[bytes]) -> dict:
     """What a block keeps of its documents: numbers and digests of each, and their links as places in the block's distinct pairs."""
     n_a, n_b, n_groups, digests, keys, places = [], [], [], [], [], []
-    for k, (ids_a, ids_b) in enumerate(aligner.tokens(texts)):
-        of_a, of_b, group_a, group_b = aligner.groups(ids_a, ids_b)
-        n_a.append(len(ids_a))
-        n_b.append(len(ids_b))
-        n_groups.append(int(group_a[-1]) + 1 if len(group_a) else 0)
-        digests.append(hashlib.sha256(aligner.written(ids_a, ids_b, group_a, group_b).encode()).hexdigest() if len(ids_a) else "")
-        pairs, times = np.unique(ids_a[of_a] << 32 | ids_b[of_b], return_counts=True)
+    for k, parts in enumerate(known.parts(texts)):
+        a, b, text, groups, links = zip(*parts, strict=True) if parts else ((), (), (), (), ())
+        n_a.append(len(b"".join(a)) // 4)
+        n_b.append(len(b"".join(b)) // 4)
+        n_groups.append(sum(groups))
+        digests.append(hashlib.sha256("".join(text)[1:].encode()).hexdigest() if parts else "")
+        pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
         keys.append(pairs)
         places.append((np.full(len(pairs), k), times))
     flat = np.concatenate(keys) if keys else _NONE
@@ -183,13 +228,12 @@ def _blocks(docs: DataFrame, a: tuple[type, bytes], b: tuple[type, bytes]) -> Da
     schema = f"block long, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, n_a binary, n_b binary, n_groups binary, digests array<string>, pairs array<long>, docs array<int>, doc binary, at binary, times binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (kind_a, file_a), (kind_b, file_b) = files.value
-        aligner, count = Aligner(side(kind_a, file_a), side(kind_b, file_b)), 0
+        known, count = aligner(*files.value), 0
         names = [f.split(" ", 1)[0] for f in schema.split(", ")]
 
         def row(doc_ids: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
             nonlocal count
-            x = _block(aligner, texts)
+            x = _block(known, texts)
             ids = pa.concat_arrays(doc_ids)
             own = TaskContext.get().partitionId() << 32 | count
             count += 1
@@ -280,18 +324,14 @@ def token_groups(docs: DataFrame, a: tuple[type, bytes], b: tuple[type, bytes])
     files = spark.sparkContext.broadcast((a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (kind_a, file_a), (kind_b, file_b) = files.value
-        aligner = Aligner(side(kind_a, file_a), side(kind_b, file_b))
+        known = aligner(*files.value)
         for batch in batches:
             data, offsets = column_bytes(batch["text"])
             for k in range(batch.num_rows):
-                ids_a, ids_b = aligner.tokens([data[offsets[k] : offsets[k + 1]].tobytes()])[0]
-                if not len(ids_a):
-                    continue
-                _, _, group_a, group_b = aligner.groups(ids_a, ids_b)
-                n = int(group_a[-1]) + 1
-                lists = [pa.ListArray.from_arrays(np.searchsorted(g, np.arange(n + 1)).astype(np.int32), pa.array(ids, pa.int32())) for g, ids in ((group_a, ids_a), (group_b, ids_b))]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch["doc_id"].slice(k, 1)] * n), pa.array(np.arange(n), pa.int32()), *lists], ["doc_id", "group", "a_ids", "b_ids"])
+                parts = known.parts([data[offsets[k] : offsets[k + 1]].tobytes()])[0]
+                groups = [[[int(x) for x in tokens.split(",")] for tokens in g.split("|")] for g in "".join([p.text for p in parts])[1:].split(";")] if parts else []
+                ids = pa.concat_arrays([batch["doc_id"].slice(k, 1)] * len(groups)) if groups else batch["doc_id"].slice(0, 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(groups)), pa.int32()), *[pa.array([g[c] for g in groups], pa.list_(pa.int32())) for c in (0, 1)]], ["doc_id", "group", "a_ids", "b_ids"])
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, group int, a_ids array<int>, b_ids array<int>")

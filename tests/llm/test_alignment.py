@@ -94,16 +94,18 @@ def test_odd_texts_in_small_blocks_and_parts(spark, plain, monkeypatch):
     assert {(r["a"], r["b"]): r["count"] for r in pairs.collect()} == dict(counts)
 
 
-def test_parts():
-    """Cut before spaces that follow none, encoded apart: the same ids as at once. (Texts with a U+2581 have no tokens in any case.)"""
+def test_parts(monkeypatch):
+    """Encoded by parts, of which few are remembered: the same ids as at once. (Texts with a U+2581 have no tokens in any case.)"""
     rng, plain = random.Random(5), [t for t in ODD if "▁" not in t]
-    aligner = alignment.Aligner(*[alignment.side(*s) for s in sides()])
-    for _ in range(300):
-        data = (" " + "".join(rng.choices([*plain, " ", "word", " the", "ing"], k=30))).encode()
-        parts = alignment.parts_of(data, rng.choice([1, 3, 20]))
-        assert "".join(parts).encode() == data
-        for s in (aligner.a, aligner.b):
-            assert [k for p in s.encode(parts) for k in p] == s.encode([data.decode()])[0]
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    aligner = alignment.Aligner(*[kind(file) for kind, file in sides()])
+    for _ in range(400):
+        texts = ["".join(rng.choices([*plain, " ", "word", " the", "ing"], k=30)) for _ in range(3)]
+        for text, parts in zip(texts, aligner.parts([t.encode() for t in texts]), strict=True):
+            assert "".join(alignment.parts_of(" " + text)) == " " + text
+            whole = [s.encode([" " + text])[0] for s in (aligner.a, aligner.b)]
+            same = all(b"".join(s.bytes_of[k] for k in w) == (" " + text).encode() for s, w in zip((aligner.a, aligner.b), whole, strict=True))
+            assert [np.frombuffer(b"".join(p[k] for p in parts), np.int32).tolist() for k in (0, 1)] == (whole if same else [[], []])
 
 
 def test_groups_and_their_products(spark, plain):
