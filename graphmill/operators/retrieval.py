@@ -28,9 +28,15 @@ def relaxed(scored: DataFrame, threshold: float = 0.5, lower: float = 0.3) -> Da
     return scored.join(F.broadcast(best), F.col("score") >= F.when(F.col("_best") >= threshold, threshold).otherwise(lower)).drop("_best")  # one row
 
 
-def fuse(lists: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(id, score): reciprocal-rank fusion of (list, id, raw[, weight columns]) rows: sum of weight / (60 + rank), rank from 1 by raw, id."""
-    ranked = lists.withColumn("_rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("raw"), "id")))
+def best_rows(ranked: DataFrame, most: int | None) -> DataFrame:
+    """Rows whose _rank is at most most. Up to 1000, Spark cuts each task's rows of a list before they are shuffled, so no task ranks a whole list."""
+    return ranked if most is None else ranked.where(F.col("_rank") <= most)
+
+
+def fuse(lists: DataFrame, weight: Column | None = None, most: int | None = None) -> DataFrame:
+    """(id, score): reciprocal-rank fusion of (list, id, raw[, weight columns]) rows: sum of weight / (60 + rank), rank from 1 by raw, id; of each
+    list the most best rows, or all (for lists that are short already)."""
+    ranked = best_rows(lists.withColumn("_rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("raw"), "id"))), most)
     one = (F.lit(1.0) if weight is None else weight) / (RRF_K + F.col("_rank"))
     return ranked.groupBy("id").agg(F.round(F.sum(one), 6).alias("score"))
 

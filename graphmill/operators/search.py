@@ -5,6 +5,8 @@ Queries come as rows (query_id, query), so that a batch of them is one plan; `hy
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,36 +160,106 @@ def similar_logs(chunks: DataFrame, query: list[float], threshold: float = 0.85,
     return retrieval.top_k(retrieval.vector_scores(chunks, query), k, after=F.col("score") >= threshold)
 
 
-def batched_search(lists: DataFrame, weight: Column, most_ratio: float = 2.0, k: int = 20) -> DataFrame:
+def batched_search(lists: DataFrame, weight: Column, most_ratio: float = 2.0, k: int = 20, most: int | None = None) -> DataFrame:
     """(query_id, id, score): the lists (query_id, list, id, raw, ...) of many queries fused at once, scores capped at most_ratio times
-    the query's largest weight, the k best of each."""
+    the query's largest weight, the k best of each. With most, only a list's so many best rows count, and each task cuts its own first."""
     w = Window.partitionBy("query_id", "list").orderBy(F.desc("raw"), "id")
-    ranked = lists.withColumn("_w", weight).withColumn("_one", F.col("_w") / (retrieval.RRF_K + F.row_number().over(w)))
+    ranked = retrieval.best_rows(lists.withColumn("_w", weight).withColumn("_rank", F.row_number().over(w)), most).withColumn("_one", F.col("_w") / (retrieval.RRF_K + F.col("_rank")))
     most = ranked.groupBy("query_id").agg((F.max("_w") * most_ratio).alias("_most"))
     fused = ranked.groupBy("query_id", "id").agg(F.sum("_one").alias("score")).join(most, "query_id").select("query_id", "id", F.round(F.least("score", "_most"), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return fused.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
 
 
-def hybrid_search(methods: DataFrame, entries: DataFrame, edges: DataFrame, query: str, vector: list[float] | None = None, projects: list[str] | None = None, language: str | None = None, depth: int = 0, k: int = 20) -> DataFrame:
-    """(id, score) of one query: an exact or name search by its kind, or the nearest methods by cosine (0.5, relaxed to 0.3); hits of an
-    exact kind end it, others are expanded over edges and both lists fused by rank. methods also has embedding if a vector is given."""
+# What separates a query's keywords, and words that are none.
+KEYWORD_BREAKS = r"[\s，,。.；;、！!？?（）()\[\]【】{}\"'<>《》]+"
+STOP_WORDS = (
+    "的", "了", "在", "是", "和", "与", "及", "或", "不", "有", "无", "从", "到", "向", "上", "下", "中", "后", "前", "时", "当",
+    "the", "a", "an", "is", "are", "was", "and", "or", "not", "in", "on", "at", "to", "for",
+)
+#: An index gives so many times k hits of a token; hits of the description weigh 1.0, of the code 0.7; a method found by a keyword alone scores this.
+INDEX_FACTOR, SUPPLEMENT_SCORE = 20, 0.1
+
+
+def search_keywords(query: str, most: int = 5) -> list[str]:
+    """The first words of 2 to 30 characters that aren't stop words; words of two characters only if they have a Chinese one."""
+    words = [w for w in re.split(KEYWORD_BREAKS, query or "") if 2 <= len(w) <= 30 and w.lower() not in STOP_WORDS]
+    return [w for w in words if len(w) >= 3 or re.search(r"[\u4e00-\u9fa5]", w)][:most]
+
+
+def token_hits(pool: DataFrame, tokens: list[tuple[str, str]], embed: Callable[[str], list[float]], k: int, threshold: float = 0.5) -> DataFrame:
+    """(token, kind, id, raw): for each token (token, route) the k * INDEX_FACTOR methods nearest by description or by code, cut before they are joined."""
+    parts = []
+    for token, route in dict.fromkeys(tokens):
+        by, kind = ("description_vector", "description") if route == "DESCRIPTION" else ("code_vector", "code")
+        near = retrieval.vector_scores(pool.select("id", by), embed(token), by).where(F.col("score") >= threshold)
+        parts.append(retrieval.top_k(near, k * INDEX_FACTOR).select(F.lit(token).alias("token"), F.lit(kind).alias("kind"), "id", F.col("score").alias("raw")))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def natural_hits(pool: DataFrame, query: str, embed: Callable[[str], list[float]], k: int) -> DataFrame:
+    """(id, score) of a question: its tokens' hits fused; if there are none, the methods nearest to the whole question (0.5, relaxed to 0.3); then
+    up to k more whose name has one of its keywords."""
+    spark = pool.sparkSession
+    tokens = [(r["token"], r["route"]) for r in routed_tokens(spark.createDataFrame([(0, query)], "query_id int, query string")).orderBy("place").collect()]  # a query's words
+    found = saved(retrieval.top_k(retrieval.fuse_tokens(token_hits(pool, tokens, embed, k)), k).select("id", "score")) if tokens else None
+    if found is None or found.isEmpty():
+        found = saved(retrieval.top_k(retrieval.relaxed(retrieval.vector_scores(pool, embed(query), "description_vector")), k).select("id", "score"))
+    more = retrieval.keyword_supplement(pool, found, search_keywords(query), "method_name", score=SUPPLEMENT_SCORE)
+    return found.union(more.select("id", "score").orderBy("id").limit(k))
+
+
+def statement_hits(pool: DataFrame, statements: DataFrame, vector: list[float], k: int, lower: float = 0.3) -> DataFrame:
+    """(id, score) of the methods (node) of the statements (node, sql_id, embedding) nearest to vector, a method's best statement."""
+    near = retrieval.relaxed(retrieval.vector_scores(statements, vector).select("sql_id", "score").distinct(), lower=lower)
+    best = retrieval.top_k(near, k, key="sql_id")
+    return statements.select(F.col("node").alias("id"), "sql_id").join(F.broadcast(best), "sql_id").join(pool.select("id"), "id", "left_semi").groupBy("id").agg(F.max("score").alias("score"))  # at most k rows
+
+
+def hybrid_search(
+    methods: DataFrame, entries: DataFrame, edges: DataFrame, query: str, vector: list[float] | None = None, projects: list[str] | None = None, language: str | None = None, depth: int = 0, k: int = 20,
+    embed: Callable[[str], list[float]] | None = None, statements: DataFrame | None = None,
+) -> DataFrame:
+    """(id, score) of one query, by its kind.
+
+    Exact kinds and names: an exact search. A question: token routing, vectors by token, fusion, keywords (`natural_hits`). Code: the nearest code
+    (0.5, relaxed to 0.3). SQL: the methods of the nearest statements. Hits of an exact kind end the search; others are expanded over edges
+    and both lists fused by rank. A query without any result is retried: methods whose name has it, else the nearest descriptions at 0.3.
+
+    embed gives the vector of a text (vector: the same for any). methods then also has embedding, or description_vector and code_vector.
+    """
     spark = methods.sparkSession
     pool = of_language(methods if not projects else methods.where(F.col("project").isin(projects)), language)
+    embed = embed or (None if vector is None else lambda _: vector)
+    for name in ("description_vector", "code_vector"):
+        if name not in pool.columns and "embedding" in pool.columns:
+            pool = pool.withColumn(name, F.col("embedding"))
     asked = saved(dispatched(spark.createDataFrame([(0, query)], "query_id int, query string")))
     kind, channel = asked.select("kind", "channel").first()
-    if channel == "VECTOR" or vector is not None and kind == "METHOD_NAME":
-        if vector is None:
+    items = pool.withColumnRenamed("node", "id")
+    if channel == "VECTOR":
+        if embed is None:
             raise ValueError(f"a query of kind {kind} needs its vector")
-        near = retrieval.relaxed(retrieval.vector_scores(pool.withColumnRenamed("node", "id"), vector).select("id", "score"))
-        found = near if channel == "VECTOR" else first_of([exact_hits(asked, pool, entries).select(F.col("node").alias("id"), F.lit(1.0).alias("score")), near])
+        if kind == "SQL_SNIPPET" and statements is not None:
+            found = statement_hits(items, statements, embed(query), k)
+        elif kind == "NATURAL_LANGUAGE" and vector is None:
+            found = natural_hits(items, query, embed, k)
+        else:
+            by = "description_vector" if kind == "NATURAL_LANGUAGE" else "code_vector"
+            found = retrieval.relaxed(retrieval.vector_scores(items, embed(query), by).select("id", "score"))
     else:
         found = exact_hits(asked, pool, entries).select(F.col("node").alias("id"), F.lit(1.0).alias("score"))
-        if kind in EXACT_KINDS:
-            return retrieval.top_k(found, k)
-    first = retrieval.top_k(found, k).select("id", "score")
-    if depth <= 0:
+        if kind == "METHOD_NAME" and embed is not None:
+            found = first_of([found, retrieval.relaxed(retrieval.vector_scores(items, embed(query), "description_vector").select("id", "score"))])
+    most = 2 * k if kind == "NATURAL_LANGUAGE" and vector is None else k  # keywords add up to k
+    first = saved(retrieval.top_k(found, most).select("id", "score"))
+    if first.isEmpty():
+        first = saved(retrieval.top_k(items.where(F.contains("method_name", F.lit(query.strip()))).select("id", F.lit(0.0).alias("score")), k))
+        if first.isEmpty() and embed is not None:
+            first = retrieval.top_k(retrieval.vector_scores(items, embed(query), "description_vector").where("score >= 0.3").select("id", "score"), k)
+        return first
+    if depth <= 0 or kind in EXACT_KINDS:
         return first
     around = expanded(edges, first.select(F.col("id").alias("seed")), depth).where("seed <> node").groupBy(F.col("node").alias("id")).agg(F.count("*").cast("double").alias("raw"))
     lists = first.select(F.lit("vector").alias("list"), "id", F.col("score").alias("raw")).union(around.select(F.lit("graph"), "id", "raw"))
-    return retrieval.top_k(retrieval.fuse(lists), k)
+    return retrieval.top_k(retrieval.fuse(lists, most=k * INDEX_FACTOR), k)

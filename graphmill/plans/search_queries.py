@@ -132,7 +132,44 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hybrid_search(P.part_methods(spark, sf_dir), _entries(spark, sf_dir), P.part_edges(spark, sf_dir), "RedWidget.findAll", projects=["promo"], language="java", depth=1, k=50)
 
 
-QUERIES = {f.__name__: f for f in (token_route, language_filter, keyword_filter, required_words, exception_filter, annotation_filter, point_lookup, inner_classes, path_prefix, file_substring, search_dispatch, exact_search, graph_expand, exact_short_circuit, union_keep_first, intersection, class_search, similar_logs, batched_search, hybrid_search)}
+def _vectors(spark: SparkSession, sf_dir: str):
+    """Methods with two vectors each, and a stand-in for the embedding model: a text's vector is that of the row numbered by its length."""
+    e = P.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = P.part_methods(spark, sf_dir).join(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("description_vector")), "node")
+    m = m.join(e.select((F.col("vec_id") - 1).alias("node"), F.col("embedding").alias("code_vector")), "node")
+    return m, lambda text: e.where(F.col("vec_id") == len(text)).head()["embedding"]
+
+
+#: A question whose tokens are of both routes.
+QUESTION = "show how findAll and Stock work for the RedWidget"
+
+
+def hybrid_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, embed = _vectors(spark, sf_dir)
+    return S.hybrid_search(m, _entries(spark, sf_dir), P.part_edges(spark, sf_dir), QUESTION, k=40, embed=embed)
+
+
+def hybrid_exact_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full name that no method has: the nearest descriptions at the relaxed threshold."""
+    m, embed = _vectors(spark, sf_dir)
+    return S.hybrid_search(m, _entries(spark, sf_dir), P.part_edges(spark, sf_dir), "com.shop.promo.Nope.findAll", depth=1, k=60, embed=embed)
+
+
+def hybrid_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code: the nearest by code, expanded over the part graph."""
+    m, embed = _vectors(spark, sf_dir)
+    return S.hybrid_search(m, _entries(spark, sf_dir), P.part_edges(spark, sf_dir), "public void run() { return x; }", depth=1, k=30, embed=embed)
+
+
+def hybrid_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL: the methods of the nearest statements; every third part has the statement of its size, whose vector has that number."""
+    m, embed = _vectors(spark, sf_dir)
+    e = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sql_id"), "embedding")
+    statements = P.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("sql_id")).join(e, "sql_id")
+    return S.hybrid_search(m, _entries(spark, sf_dir), P.part_edges(spark, sf_dir), "SELECT a FROM b WHERE c = 1", k=10, embed=embed, statements=statements)
+
+
+QUERIES = {f.__name__: f for f in (hybrid_natural, hybrid_exact_miss, hybrid_code, hybrid_sql, token_route, language_filter, keyword_filter, required_words, exception_filter, annotation_filter, point_lookup, inner_classes, path_prefix, file_substring, search_dispatch, exact_search, graph_expand, exact_short_circuit, union_keep_first, intersection, class_search, similar_logs, batched_search, hybrid_search)}
 
 _PM = P.SQL_PART_METHODS
 _CODE = r"(NOT regexp_matches(t, '[一-鿿]') AND (regexp_matches(t, '^(@\w+|\w+Exception|[A-Z][a-z]+[A-Z][a-zA-Z]*|\w+\.\w+|sql|query|insert|update|delete|select|from|where)$') OR list_contains(" + str(list(S.CODE_WORDS)) + ", lower(t))))"
@@ -170,3 +207,34 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 a AS (SELECT DISTINCT seed, node FROM (SELECT id AS seed, dst AS node FROM first JOIN edges ON src = id UNION SELECT id, src FROM first JOIN edges ON dst = id) WHERE seed <> node), l AS (SELECT 'vector' AS list, id, 1.0::DOUBLE AS raw FROM first UNION ALL SELECT 'graph', node, count(*) FROM a GROUP BY node),
 r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY raw DESC, id) AS k FROM l) SELECT id, round(sum(1.0::DOUBLE / (60 + k)), 6) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 50""",
 }
+
+# The methods' two vectors, and the cosines to the vector of row n.
+_HV = f"WITH {_PM}, d AS (SELECT pm.*, e.embedding::DOUBLE[] AS dv, c.embedding::DOUBLE[] AS cv FROM pm JOIN embeddings e ON e.vec_id = node JOIN embeddings c ON c.vec_id - 1 = node)"
+
+
+def _cos(v: str, n: int) -> str:
+    return f"round(list_cosine_similarity({v}, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {n})), 6)"
+
+
+def _token(token: str, kind: str, k: int) -> str:
+    v, w = ("dv", "1.0") if kind == "description" else ("cv", "0.7")
+    return f"SELECT * FROM (SELECT '{token}' AS token, node AS id, {_cos(v, len(token))} AS raw, {w}::DOUBLE AS w FROM d) WHERE raw >= 0.5 ORDER BY raw DESC, id LIMIT {k * 20})"
+
+
+_TOKENS = [(t, "code" if t == "RedWidget" else "description") for t in QUESTION.split(" ")]
+_DISTINCT = list(dict.fromkeys(_TOKENS))
+ORACLE_SQL |= {
+    "hybrid_natural": f"""{_HV}, hits AS ({' UNION ALL '.join('(' + _token(t, kind, 40) for t, kind in _DISTINCT)}),
+r AS (SELECT *, row_number() OVER (ORDER BY raw * w DESC, id, token) AS k, count(*) OVER (PARTITION BY id) AS n FROM hits), f AS (SELECT id, round(sum(sqrt(n) / (60 + k)), 6) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 40),
+s AS (SELECT node AS id, 0.1::DOUBLE AS score FROM d WHERE node NOT IN (SELECT id FROM f) AND (contains(method_name, 'show') OR contains(method_name, 'how') OR contains(method_name, 'findAll') OR contains(method_name, 'Stock') OR contains(method_name, 'work')) ORDER BY id LIMIT 40)
+SELECT * FROM f UNION ALL SELECT * FROM s""",
+    "hybrid_exact_miss": f"{_HV} SELECT node AS id, {_cos('dv', 27)} AS score FROM d WHERE {_cos('dv', 27)} >= 0.3 ORDER BY score DESC, id LIMIT 60",
+    "hybrid_code": f"""{_HV}, {P.SQL_PART_EDGES}, a AS (SELECT node AS id, {_cos('cv', 31)} AS score FROM d), t AS (SELECT CASE WHEN max(score) >= 0.5 THEN 0.5 ELSE 0.3 END AS t FROM a),
+first AS (SELECT id, score FROM a, t WHERE score >= t ORDER BY score DESC, id LIMIT 30),
+x AS (SELECT DISTINCT seed, node FROM (SELECT id AS seed, dst AS node FROM first JOIN edges ON src = id UNION SELECT id, src FROM first JOIN edges ON dst = id) WHERE seed <> node),
+l AS (SELECT 'vector' AS list, id, score AS raw FROM first UNION ALL SELECT 'graph', node, count(*) FROM x GROUP BY node),
+r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY raw DESC, id) AS k FROM l) SELECT id, round(sum(1.0::DOUBLE / (60 + k)), 6) AS score FROM r WHERE k <= 600 GROUP BY id ORDER BY score DESC, id LIMIT 30""",
+    "hybrid_sql": f"""{_HV}, q AS (SELECT DISTINCT p_size AS sql_id FROM part WHERE p_partkey % 3 = 0), a AS (SELECT sql_id, {_cos('e.embedding::DOUBLE[]', 27)} AS score FROM q JOIN embeddings e ON vec_id = sql_id),
+t AS (SELECT CASE WHEN max(score) >= 0.5 THEN 0.5 ELSE 0.3 END AS t FROM a), b AS (SELECT sql_id, score FROM a, t WHERE score >= t ORDER BY score DESC, sql_id LIMIT 10)
+SELECT p_partkey AS id, max(score) AS score FROM part JOIN b ON p_size = sql_id JOIN d ON node = p_partkey WHERE p_partkey % 3 = 0 GROUP BY 1 ORDER BY score DESC, id LIMIT 10""",
+}

@@ -299,3 +299,28 @@ def test_files_of_classes(spark):
 
     rows = spark.createDataFrame([("x\\src\\main\\java\\a\\B.java",), ("app/views.py",), ("README.md",), (None,), ("a/B.java",)], "f string")
     assert [r[0] for r in rows.select(impact.class_of_file(F.col("f"))).collect()] == ["a.B", "app.views", None, None, None]
+
+
+def test_hybrid_search_falls_through(spark):
+    """An exact kind without a hit is retried by name, then by the nearest descriptions; questions take tokens, then the whole, then keywords."""
+    from graphmill.operators import search
+
+    methods = spark.createDataFrame(
+        [(1, "x.a.b.Shop", "buyAll", [1.0, 0.0], [0.0, 1.0]), (2, "x.a.b.Shop", "sell", [0.9, 0.1], [1.0, 0.0]), (3, "x.a.c.Bank", "payTicket", [-1.0, 0.0], [0.0, 1.0])], "node int, class_name string, method_name string, description_vector array<double>, code_vector array<double>"
+    ).selectExpr("*", "'p' project", "null comment", "cast(array() as array<string>) thrown", "'s' service", "cast(null as string) language")
+    entries, edges = spark.createDataFrame([(3, "/pay")], "node int, path string"), spark.createDataFrame([(1, 3), (2, 1)], "src int, dst int")
+    east, north = (lambda _: [1.0, 0.0]), (lambda _: [0.0, 1.0])
+    ask = lambda q, **how: [(r["id"], r["score"]) for r in search.hybrid_search(methods, entries, edges, q, **how).collect()]
+    assert ask("com.a.b.Nope.run") == [] and ask("GET /none") == []
+    assert [i for i, _ in ask("com.a.b.Nope.run", embed=east, depth=2)] == [1, 2]  # relaxed, not expanded
+    assert [i for i, _ in ask("x.a.b.Shop.sell", embed=north, depth=2)] == [2]  # a hit ends it
+    assert [i for i, _ in ask("All", embed=north)] == [1]  # no class All: methods with it in their names
+    assert [i for i, _ in ask("SELECT a FROM b", embed=east, k=5, statements=spark.createDataFrame([(3, 7, [1.0, 0.0]), (1, 8, [0.0, 1.0])], "node int, sql_id int, embedding array<double>"))] == [3]
+    assert [i for i, _ in ask("public void run() { return x; }", embed=north)] == [1, 3]  # the nearest code
+    found = dict(ask("how does one buy a Ticket", embed=east, k=5))
+    assert list(found) == [1, 2, 3] and found[3] == 0.1 and found[1] > found[2] > 0.05  # keyword last
+    far = dict(ask("where is it", embed=lambda _: [0.45, -0.9], k=5))
+    assert list(far) == [1, 2] and 0.3 <= far[2] < far[1] < 0.5  # no token near enough: relaxed
+    assert ask("where is it", embed=north, k=5) == []
+    assert search.search_keywords("how does the ab, Ticket。支付 x for one two three four") == ["how", "does", "Ticket", "支付", "one"]
+    assert search.search_keywords("") == search.search_keywords(None) == []
