@@ -1,9 +1,9 @@
 """Connected components of a distributed edge list: alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is a minimum per node (partial aggregation, so a hub combines before the shuffle) and an equality join with these minima. Up
-to BROADCAST_NODES of them, counted first, are broadcast, so that edges stay where they are. Beyond, a node with more than a thousandth
-of the edges is hot; there are 2000 such nodes at most, so their names are broadcast and their rows dealt over SALTS keys. The number of
-rounds is logarithmic in the longest chain. Every step ends in a checkpoint, so that plans stay small, and the one before it is deleted.
+Each step is a minimum per node (partial aggregation, so a hub combines before the shuffle) and a merge join with these minima, which never
+reach the driver. A node with more than a thousandth of the edges is hot; there are 2000 such nodes at most, so their names are broadcast
+and their rows dealt over SALTS keys. The number of rounds is logarithmic in the longest chain. Every step ends in a checkpoint, so that
+plans stay small, and the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved, tidy
 
-BROADCAST_NODES, SALTS = 50_000, 64
+SALTS = 64
 
 
 def _met(rows: DataFrame, least: DataFrame, hot_from: int) -> DataFrame:
     """rows (u, v) with m, the least v of u, from least (u, m, n)."""
-    if least._jdf.queryExecution().toRdd().count() <= BROADCAST_NODES:
-        return rows.join(F.broadcast(least.select("u", "m")), "u")
+    most = least.agg(F.max("n")).first()[0]
+    if most is None or most < hot_from:
+        return rows.join(least.select("u", "m").hint("merge"), "u")
     hot = least.where(F.col("n") >= hot_from).select(F.col("u").alias("hot"))
     salted = rows.join(F.broadcast(hot), F.col("u") == F.col("hot"), "left")  # at most 2 * edges / hot_from rows
     salted = salted.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int")).drop("hot")
     many = F.when(F.col("n") >= hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(least.withColumn("salt", F.explode(many)).drop("n"), ["u", "salt"]).drop("salt")
+    return salted.join(least.withColumn("salt", F.explode(many)).drop("n").hint("merge"), ["u", "salt"]).drop("salt")
 
 
 def _least(edges: DataFrame) -> DataFrame:
