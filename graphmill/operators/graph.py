@@ -194,20 +194,46 @@ def depth_histogram(reached: DataFrame) -> DataFrame:
     return reached.groupBy("depth").agg(F.count("*").alias("n"))
 
 
+def _cycle_roots(linked: DataFrame) -> DataFrame:
+    """(trace_id, span_id): the least span of each cycle of parents. linked: (trace_id, span_id, parent), each span in a cycle or below one.
+
+    By doubling: after k rounds each span knows the span 2^k steps above it and the least one on the way there. Once 2^k is the number of
+    spans or more, the span above lies on the cycle, and for spans on it the way is the whole cycle.
+    """
+    now, steps, n = saved(linked.select("trace_id", "span_id", F.col("parent").alias("up"), F.least("span_id", "parent").alias("least"))), 1, linked.count()
+    while steps < n:
+        above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
+        now = saved(now.join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), F.least("least", "_least").alias("least")))
+        steps *= 2
+    on_cycle = now.select("trace_id", F.col("up").alias("span_id")).distinct()
+    return now.join(on_cycle, ["trace_id", "span_id"], "left_semi").where("least = span_id").select("trace_id", "span_id")
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id, parent, depth): parents inside the trace; a span whose parent is missing is a root, at depth 0."""
-    s = saved(spans.select("trace_id", "span_id", "parent_span_id"))
-    own = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("parent"))
-    linked = saved(s.join(own, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", "parent"))
-    now, depth = linked.where("parent is null").withColumn("depth", F.lit(0)), 0
-    out = now
-    while True:
-        depth += 1
-        above = now.select("trace_id", F.col("span_id").alias("parent"))
-        now = saved(linked.join(above, ["trace_id", "parent"]).select("trace_id", "span_id", "parent").withColumn("depth", F.lit(depth)))
-        if now.isEmpty():
-            return out
-        out = out.union(now)
+    """(trace_id, span_id, parent, depth): parents inside the trace; a span whose parent is missing is a root, at depth 0.
+
+    A span is there once however many rows it has (the least parent of its trace counts, a missing one last). Where parents form a cycle, its least
+    span is a root too, without a parent. Rows without a trace or span id are left out.
+    """
+    s = saved(spans.where("trace_id is not null and span_id is not null").select("trace_id", "span_id", "parent_span_id").distinct())
+    own = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("parent")).distinct()
+    linked = saved(s.join(own, ["trace_id", "parent_span_id"], "left").groupBy("trace_id", "span_id").agg(F.min("parent").alias("parent")))
+
+    def below(roots: DataFrame) -> DataFrame:
+        now, depth = roots.select("trace_id", "span_id", F.lit(None).cast(linked.schema["parent"].dataType).alias("parent")).withColumn("depth", F.lit(0)), 0
+        out = now
+        while True:
+            depth += 1
+            above = now.select("trace_id", F.col("span_id").alias("parent"))
+            step = linked.join(above, ["trace_id", "parent"]).join(roots.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti")
+            now = saved(step.select("trace_id", "span_id", "parent").withColumn("depth", F.lit(depth)))
+            if now.isEmpty():
+                return out
+            out = out.union(now)
+
+    tree = below(linked.where("parent is null"))
+    looped = saved(linked.join(tree, ["trace_id", "span_id"], "left_anti"))
+    return tree if looped.isEmpty() else tree.union(below(saved(_cycle_roots(looped))))
 
 
 def _louvain(pdf: pd.DataFrame, resolution: float, most: int, least: int) -> pd.DataFrame:

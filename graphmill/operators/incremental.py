@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import saved
+
 
 def hash_split(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, action) of (id, hash): REUSE if equal, OVERWRITE if not, INSERT if only new, DELETE if only old."""
@@ -44,9 +46,17 @@ def dirty_packages(ids: DataFrame) -> DataFrame:
 
 
 def inherited_methods(extends: DataFrame, methods: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(child, method, owner): methods that a class has from its nearest ancestor. extends: (child, parent); methods: (owner, method)."""
-    from .graph import reach
-
-    up = reach(extends.select(F.col("child").alias("src"), F.col("parent").alias("dst")), extends.select(F.col("child").alias("seed")), max_depth).where("depth > 0")
-    found = up.join(methods, F.col("node") == F.col("owner")).groupBy(F.col("seed").alias("child"), "method").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"))
-    return found.join(methods.select(F.col("owner").alias("child"), "method"), ["child", "method"], "left_anti")
+    """(child, method, owner): methods that a class has from its nearest ancestor (the least of several as near). extends: (child, parent);
+    methods: (owner, method). A level a round: what a class gets goes on to its children, so no row is made that isn't in the result."""
+    up = saved(extends.select("child", "parent").where("child <> parent").distinct())
+    own = methods.select("owner", "method").distinct()
+    has = own.select(F.col("owner").alias("child"), "method")
+    now, found = own.select(F.col("owner").alias("parent"), "method", "owner"), None
+    for _ in range(max_depth):
+        step = up.join(now, "parent").groupBy("child", "method").agg(F.min("owner").alias("owner")).join(has, ["child", "method"], "left_anti")
+        step = saved(step if found is None else step.join(found.select("child", "method"), ["child", "method"], "left_anti"))
+        if found is not None and step.isEmpty():
+            break
+        found = step if found is None else found.union(step)
+        now = step.withColumnRenamed("child", "parent")
+    return found

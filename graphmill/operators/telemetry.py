@@ -79,10 +79,12 @@ def silent_catch(status: Column, attributes: Column, operation: Column, kind: Co
 
 
 def root_spans(spans: DataFrame) -> DataFrame:
-    """The root of each trace: of spans (trace_id, span_id, parent_span_id, start, ...) without a parent in their trace the first by start, span_id."""
-    own = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
-    free = spans.join(own, ["trace_id", "parent_span_id"], "left_anti")
-    return free.groupBy("trace_id").agg(F.min_by(F.struct(*free.columns), F.struct("start", "span_id")).alias("r")).select("r.*").select(*spans.columns)
+    """The root of each trace: of spans (trace_id, span_id, parent_span_id, start, ...) without a parent in their trace the first by start, span_id;
+    where all have one (a cycle), of all spans."""
+    own = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has")).distinct()
+    rows = spans.join(own, ["trace_id", "parent_span_id"], "left")
+    first = F.min_by(F.struct(*spans.columns), F.struct(F.coalesce("_has", F.lit(False)), "start", "span_id"))
+    return rows.groupBy("trace_id").agg(first.alias("r")).select("r.*")
 
 
 def trace_top_spans(spans: DataFrame, most: int = 5) -> DataFrame:
@@ -156,7 +158,9 @@ def capped_per_key(rows: DataFrame, key: str, order: list[Column], most: int = 5
 
 
 def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_k = 1").drop("_k")
+    """The row of each key with the highest order (null lowest); combined before the shuffle, so no key's rows meet in one task."""
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
 
 
 def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:

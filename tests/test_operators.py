@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill.functions import logs, scores, strings
-from graphmill.operators import architecture, graph, incremental, linking, retrieval, telemetry
+from graphmill.operators import architecture, graph, impact, incremental, linking, retrieval, telemetry
 from graphmill.sources import readers
 from graphmill.streaming import spans
 
@@ -319,8 +319,48 @@ def test_hybrid_search_falls_through(spark):
     assert [i for i, _ in ask("public void run() { return x; }", embed=north)] == [1, 3]  # the nearest code
     found = dict(ask("how does one buy a Ticket", embed=east, k=5))
     assert list(found) == [1, 2, 3] and found[3] == 0.1 and found[1] > found[2] > 0.05  # keyword last
-    far = dict(ask("where is it", embed=lambda _: [0.45, -0.9], k=5))
+    far = dict(ask("who did it", embed=lambda _: [0.45, -0.9], k=5))
     assert list(far) == [1, 2] and 0.3 <= far[2] < far[1] < 0.5  # no token near enough: relaxed
-    assert ask("where is it", embed=north, k=5) == []
+    assert ask("who did it", embed=north, k=5) == []
     assert search.search_keywords("how does the ab, Ticket。支付 x for one two three four") == ["how", "does", "Ticket", "支付", "one"]
     assert search.search_keywords("") == search.search_keywords(None) == []
+
+
+def test_span_tree_with_repeats_and_cycles(spark):
+    """Repeated rows count once; the least span of a parent cycle is its root, and what hangs below it keeps its place."""
+    schema = "trace_id string, span_id string, parent_span_id string"
+    chain = [("t", f"s{k}", f"s{k - 1}" if k else None) for k in range(6)]
+    loop = [("u", "b", "c"), ("u", "c", "d"), ("u", "d", "b"), ("u", "x", "c"), ("u", "y", "x"), ("v", "own", "own"), ("v", "z", "own"), ("w", None, "q"), (None, "q", None)]
+    two = [("z", "k1", "k2"), ("z", "k2", "k1"), ("z", "m1", "m2"), ("z", "m2", "m1"), ("z", "r", None), ("z", "below", "r")]
+    tree = graph.span_tree(spark.createDataFrame([*chain, *chain, *loop, *two], schema))
+    assert {tuple(r) for r in tree.collect()} == {
+        *(("t", f"s{k}", f"s{k - 1}" if k else None, k) for k in range(6)), ("u", "b", None, 0), ("u", "d", "b", 1), ("u", "c", "d", 2), ("u", "x", "c", 3), ("u", "y", "x", 4), ("v", "own", None, 0), ("v", "z", "own", 1),
+        ("z", "k1", None, 0), ("z", "k2", "k1", 1), ("z", "m1", None, 0), ("z", "m2", "m1", 1), ("z", "r", None, 0), ("z", "below", "r", 1),
+    }
+    assert tree.count() == 19
+    assert graph.span_tree(spark.createDataFrame([], schema)).count() == 0
+    spans = spark.createDataFrame([("a", 1, 2, 5.0), ("a", 2, 1, 4.0), ("b", 3, None, 9.0), ("b", 4, 3, 1.0)], "trace_id string, span_id int, parent_span_id int, start double")
+    assert {(r["trace_id"], r["span_id"]) for r in telemetry.root_spans(spans).collect()} == {("a", 2), ("b", 3)}
+
+
+def test_entries_with_a_hot_method_name(spark):
+    """Many classes have a method get: the third step meets in the rarest three characters."""
+    rows = [(k, f"com.shop.part{k:04d}.Store", "get") for k in range(600)] + [(9000, "com.rare.Zq", "get"), (9001, "com.rare.Zq", "put"), (9002, None, "get")]
+    methods = spark.createDataFrame(rows, "node int, class_name string, method_name string")
+    asked = spark.createDataFrame([(1, "part0599", "get"), (2, "re.Z", "get"), (3, "nowhere", "get"), (4, "Zq", "get"), (5, "0.", "get"), (6, "Store$X", "get"), (7, None, "get"), (8, "rt00", "none")], "ask_id int, class_name string, method_name string")
+    got = {r["ask_id"]: (r["node"], r["step"]) for r in impact.resolved_entries(asked, methods).collect()}
+    assert got == {1: (599, 3), 2: (9000, 3), 4: (9000, 2), 5: (0, 3)}
+
+
+def test_inherited_levels(spark):
+    """Diamonds, cycles and repeats: the nearest ancestor's, the least of several."""
+    extends = spark.createDataFrame([("D", "B"), ("D", "C"), ("B", "A"), ("C", "A"), ("C", "A"), ("X", "Y"), ("Y", "X"), ("E", "D"), ("S", "S")], "child string, parent string")
+    methods = spark.createDataFrame([("A", "f"), ("C", "g"), ("B", "g"), ("B", "g"), ("X", "h"), ("D", "k"), ("S", "s")], "owner string, method string")
+    got = {tuple(r) for r in incremental.inherited_methods(extends, methods, 10).collect()}
+    assert got == {("B", "f", "A"), ("C", "f", "A"), ("D", "f", "A"), ("D", "g", "B"), ("E", "f", "A"), ("E", "g", "B"), ("E", "k", "D"), ("Y", "h", "X")}
+    assert {tuple(r) for r in incremental.inherited_methods(extends, methods, 1).collect()} == {("B", "f", "A"), ("C", "f", "A"), ("D", "g", "B"), ("E", "k", "D"), ("Y", "h", "X")}
+
+
+def test_latest_per_key(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, None, "c"), (None, 1, "d"), (2, None, "e")], "k int, at int, v string")
+    assert {tuple(r) for r in telemetry.latest_per_key(rows, "k", "at").collect()} == {(1, 7, "b"), (None, 1, "d"), (2, None, "e")}
