@@ -5,6 +5,7 @@ Text enters Python as the UTF-8 buffer of an Arrow column, so that no row become
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -49,6 +50,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def plain_planning(spark: SparkSession) -> Iterator[None]:
+    """Plans of loops over checkpoints, without what the optimizer infers from filters and joins: a checkpoint hands on what was inferred for it, so
+    that grows from round to round until planning takes most of the driver's memory. The setting is put back at the end."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets go of the plans, broadcasts and shuffle files of steps that are over, on the driver."""
     gc.collect()

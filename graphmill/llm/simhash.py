@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
+from .common import column_bytes, dropped, gram_hash, mix, plain_planning, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
 from .components import components
 
 _U = np.uint64
@@ -518,17 +518,8 @@ def _same(a: str, b: str) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("mark") == F.col(b))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """The rows of docs (doc_id, text and others) less all but one of each component of near copies: that of the least doc_id (null
-    last), then of the least md5 of the text.
-
-    Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
-    are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
-    candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
-    in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
-    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins on two keys are merge joins, so that none
-    of their sides is broadcast.
-    """
+def _kept_rows(docs: DataFrame, shingle: int, similarity: float, recall: float) -> DataFrame:
+    """_id, _mark (doc_id and md5 of the text) and _n (rows that have them) of the rows that near_copies keeps."""
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
@@ -555,6 +546,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
     best = saved(best.join(counts.hint("merge"), _same("_id", "_mark")).select("_id", "_mark", "_n"))
     dropped(pairs, ranked, texts, wide, links, more)
+    return best
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """The rows of docs (doc_id, text and others) less all but one of each component of near copies: that of the least doc_id (null
+    last), then of the least md5 of the text.
+
+    Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
+    are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
+    candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
+    in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
+    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins on two keys are merge joins, so that none
+    of their sides is broadcast.
+    """
+    with plain_planning(docs.sparkSession):
+        best = _kept_rows(docs, shingle, similarity, recall)
     one = _marked(docs).join(best.where("_n = 1").hint("merge"), _same("_id", "_mark"), "left_semi")
     several = _marked(docs).join(best.where("_n > 1").hint("merge"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
     return one.unionByName(several).select(*docs.columns)
