@@ -5,7 +5,6 @@ Text enters Python as the UTF-8 buffer of an Arrow column, so that no row become
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
 import os
@@ -45,22 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder: lineage ends there, so a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """df computed once and kept in the shared checkpoint folder: lineage ends there, so a lost executor loses nothing.
 
-@contextlib.contextmanager
-def plain_planning(spark: SparkSession) -> Iterator[None]:
-    """Plans of loops over checkpoints, without what the optimizer infers from filters and joins: a checkpoint hands on what was inferred for it, so
-    that grows from round to round until planning takes most of the driver's memory. The setting is put back at the end."""
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    The estimated size of a checkpoint's plan, a product over its joins, would be handed on to what is built on it: over the rounds of a loop it grows
+    to a number of millions of digits that fills the driver. So the kept rows are a new frame, without an estimate.
+    """
+    checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(kept.queryExecution().logical().rdd(), kept.schema(), False), df.sparkSession)
 
 
 def tidy(spark: SparkSession) -> None:

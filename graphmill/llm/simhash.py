@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import column_bytes, dropped, gram_hash, mix, plain_planning, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
+from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
 from .components import components
 
 _U = np.uint64
@@ -249,7 +249,7 @@ def segment_shape(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame, shingle: int, length: int, segments: int) -> DataFrame:
-    """doc_id, mark (of the text as it is), cls long (of its words), segments array<long> (null without words), a and b long: 128 bits."""
+    """doc_id, mark (of the text as it is), cls and more long (128 bits of its words), segments array<long> (null without words), a and b long: 128 bits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,17 +257,18 @@ def _sketches(docs: DataFrame, shingle: int, length: int, segments: int) -> Data
         for batch in batches:
             data, off = column_bytes(batch["text"])
             raw, at = data.tobytes(), off.tolist()
-            cls = np.array([xxhash.xxh64_intdigest(b" ".join(raw[x:y].lower().split())) for x, y in zip(at, at[1:], strict=False)], np.uint64)
+            words_of = b"".join([xxhash.xxh3_128_digest(b" ".join(raw[x:y].lower().split())) for x, y in zip(at, at[1:], strict=False)])
+            cls = np.frombuffer(words_of, np.int64).reshape(-1, 2)
             sets = list(shingle_sets(batch["text"], shingle))
             bits = np.stack([long_fingerprint(s, words) for s in sets]) if sets else np.zeros((0, 64 * words), np.uint8)
             parts = bits[:, : length * segments].reshape(len(sets), segments, length) @ powers
             check = np.packbits(bits[:, :128], axis=1).view(np.int64)
             none = np.array([not len(s) for s in sets], bool)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * segments), pa.array(parts.ravel()), mask=pa.array(none))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(cls.view(np.int64)), lists, pa.array(check[:, 0]), pa.array(check[:, 1])], names=["doc_id", "mark", "cls", "segments", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(cls[:, 0]), pa.array(cls[:, 1]), lists, pa.array(check[:, 0]), pa.array(check[:, 1])], names=["doc_id", "mark", "cls", "more", "segments", "a", "b"])
         release()
 
-    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, segments array<long>, a long, b long")
+    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, more long, segments array<long>, a long, b long")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -522,6 +523,9 @@ def _kept_rows(docs: DataFrame, shingle: int, similarity: float, recall: float)
     """_id, _mark (doc_id and md5 of the text) and _n (rows that have them) of the rows that near_copies keeps."""
     length, segments = segment_shape(docs.count(), similarity, recall)
     rows = saved(_sketches(docs, shingle, length, segments))
+    clash = rows.groupBy("cls").agg(F.min("more").alias("_low"), F.max("more").alias("_high")).where("_low <> _high").select("cls", F.lit(True).alias("_clash"))
+    if not clash.isEmpty():  # unequal words whose first 64 bits are equal: another number from all 128
+        rows = saved(rows.join(clash, "cls", "left").withColumn("cls", F.when(F.col("_clash"), F.xxhash64("cls", "more")).otherwise(F.col("cls"))).drop("_clash"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("segments", "a", "b")]))
     pairs, wide = _candidates(classes, length, segments, similarity)
@@ -553,15 +557,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, reca
     """The rows of docs (doc_id, text and others) less all but one of each component of near copies: that of the least doc_id (null
     last), then of the least md5 of the text.
 
-    Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (a 64-bit hash)
+    Texts link if their sets of word shingles have a Jaccard similarity of at least `similarity`; texts of equal words (128 bits)
     are one class, those without words too. A pair at the threshold becomes a candidate with probability recall, one above it with more;
     candidates are decided by their whole shingle sets. Each text's two nearest candidates come first, then all candidates that these left
     in different components, then (`_rest`) all pairs of a variant that the window skipped and that are in different components still.
-    Rows that share a doc_id are decided by their texts. Empty table: no rows. Joins on two keys are merge joins, so that none
+    Null texts are as empty. Rows that share a doc_id are decided by their texts; of rows that share both the one whose hash is least stays.
+    Columns may have any names. Empty table: no rows. Joins on two keys are merge joins, so that none
     of their sides is broadcast.
     """
-    with plain_planning(docs.sparkSession):
-        best = _kept_rows(docs, shingle, similarity, recall)
-    one = _marked(docs).join(best.where("_n = 1").hint("merge"), _same("_id", "_mark"), "left_semi")
-    several = _marked(docs).join(best.where("_n > 1").hint("merge"), _same("_id", "_mark"), "left_semi").dropDuplicates(["doc_id", "mark"])
-    return one.unionByName(several).select(*docs.columns)
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select("doc_id", "text", F.struct(*fields).alias("row"))
+    best = _kept_rows(rows, shingle, similarity, recall)
+    one = _marked(rows).join(best.where("_n = 1").hint("merge"), _same("_id", "_mark"), "left_semi")
+    several = _marked(rows).join(best.where("_n > 1").hint("merge"), _same("_id", "_mark"), "left_semi")
+    several = several.groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row").union(several.select("row")).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

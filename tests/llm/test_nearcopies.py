@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from conftest import SCHEMA
 from graphmill.llm import simhash
+from pyspark.sql import functions as F
 from test_llm_operators import closure
 
 
@@ -131,3 +132,20 @@ def test_window_pairs_across_batches(monkeypatch):
     # under a wildcard that isn't the first, only rows that differ below it
     other = [pa.RecordBatch.from_arrays([pa.array(np.array([(5 << 16 | 9) * 2 + x for x in (0, 0, 1)])), *[pa.array(np.arange(3))] * 3], names=["variant", "cls", "a", "b"])]
     assert [(u.tolist(), v.tolist()) for u, v, _ in simhash.window_pairs(iter(other), 64, 16)] == [([1], [2]), ([0], [2])]
+
+
+def test_names_that_clash_and_equal_hashes(spark, monkeypatch):
+    """Columns called as the operator's own come back as they were; unequal words with equal first 64 bits stay apart."""
+    import xxhash
+
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abc"]
+    rows = [(1, texts[0], "m1", 5, "r"), (2, texts[0], "m2", 6, "r"), (3, texts[1], "m3", 7, "r"), (4, texts[2], None, 8, "r"), (4, texts[2], None, 8, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, cls int, row string")
+    got = sorted(map(tuple, simhash.near_copies(docs).collect()))
+    assert got == [rows[0], rows[2], rows[3]] and simhash.near_copies(docs).columns == docs.columns
+    plain = simhash._sketches(docs, 5, 16, 8).select("doc_id", "cls", "more").collect()
+    assert len({r["cls"] for r in plain}) == 3 and len({r["more"] for r in plain}) == 3
+    own = simhash._sketches
+    monkeypatch.setattr(simhash, "_sketches", lambda *a: own(*a).withColumn("cls", F.lit(7).cast("long")))
+    assert sorted(map(tuple, simhash.near_copies(docs).collect())) == got
+    assert xxhash.xxh3_128_digest(b"a") != xxhash.xxh3_128_digest(b"b")

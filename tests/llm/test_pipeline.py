@@ -42,3 +42,32 @@ def test_empty(spark, empty, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_null_ids_keep_their_texts(spark, docs, sf_dir, tmp_path):
+    """Every second row without a doc_id: the same texts go and stay as with one, up to the stages that rank by it."""
+    half = docs.dropDuplicates(["doc_id"]).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    stages = dict(corpus_pipeline.STAGES)
+    rules = quality.fit_quality_rules(half, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = stages["quality_rules"](spark, half, sf_dir)
+    texts = lambda df: sorted((r["text"] for r in df.select("text").collect()), key=str)
+    assert texts(kept) == texts(quality.judge_quality(half, rules, keep=("text",)).where("kept").withColumnRenamed("text_in", "text"))
+    assert kept.where("doc_id is null").count() > 20
+    kept.write.parquet(f"{tmp_path}/kept")
+    now = spark.read.parquet(f"{tmp_path}/kept")
+    before = [r["text"] for r in now.collect()]
+    sets = [shingles(t) for t in before]
+    groups = set(closure(range(len(before)), lambda i, j: near(sets[i], sets[j])))
+    for name in ("simhash_near_dedup", "substring_dedup", "mix_to_weights", "best_fit_packing"):
+        after = stages[name](spark, now, sf_dir)
+        after.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "best_fit_packing":
+            assert after.where("doc_id is null").count() > 0, name
+        if name == "simhash_near_dedup":
+            assert after.count() == len(groups)
+        if name == "substring_dedup":
+            assert after.count() == now.count()
+        if name == "best_fit_packing":
+            assert after.where("piece = 0").count() == now.count()
+        now = after
