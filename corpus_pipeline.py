@@ -29,15 +29,15 @@ def _restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the base rules or the learned list reject, and rows without a doc_id, which no later stage could name."""
+    """Drops the documents that the base rules or the learned list reject. Rows without a doc_id are judged by their texts like all others."""
     rules = quality.fit_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.judge_quality(_carried(docs).where("doc_id is not null"), rules, keep=("row",))
+    judged = quality.judge_quality(_carried(docs), rules, keep=("row",))
     return _restored(judged.where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash deletion variants find candidates, exact Jaccard >= 0.8 of five-word shingles decides; of each group the row of the least doc_id stays."""
-    return _restored(simhash.near_copies(_carried(docs)), docs)
+    return simhash.near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
