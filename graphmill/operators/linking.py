@@ -8,28 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
+from .pairs import distinct_pairs
 
 
 def http_links(calls: DataFrame, entries: DataFrame) -> DataFrame:
     """(src, dst, bridge_type) of calls (id, project, method, url) and entries (id, project, key) of other projects: same method and
-    normalised path; of several entries with one key and project the least id."""
+    normalised path; of several entries with one key and project the least id. A link comes once."""
     a = calls.select(F.col("id").alias("src"), F.col("project").alias("_a"), F.concat_ws(" ", F.upper("method"), strings.normalize_url(F.col("url"))).alias("_key"))
     b = entries.select(F.col("id").alias("dst"), F.col("project").alias("_b"), strings.normalize_entry_key(F.col("key")).alias("_key")).groupBy("_key", "_b").agg(F.min("dst").alias("dst"))
-    return a.join(b, "_key").where("_a <> _b").select("src", "dst", F.lit("HTTP").alias("bridge_type"))
+    return distinct_pairs(a, b, ["_key"], F.col("_a") != F.col("_b"), F.col("src"), F.col("dst"), F.lit("HTTP").alias("bridge_type"))
 
 
 def topic_links(producers: DataFrame, consumers: DataFrame) -> DataFrame:
-    """(src, dst, bridge_type) of (id, project, topic): equal text after the last colon, other projects."""
+    """(src, dst, bridge_type) of (id, project, topic): equal text after the last colon, other projects. A link comes once."""
     a = producers.select(F.col("id").alias("src"), F.col("project").alias("_a"), strings.topic_tail(F.col("topic")).alias("_key"))
     b = consumers.select(F.col("id").alias("dst"), F.col("project").alias("_b"), strings.topic_tail(F.col("topic")).alias("_key"))
-    return a.join(b, "_key").where("_a <> _b").select("src", "dst", F.lit("MQ").alias("bridge_type"))
+    return distinct_pairs(a, b, ["_key"], F.col("_a") != F.col("_b"), F.col("src"), F.col("dst"), F.lit("MQ").alias("bridge_type"))
 
 
 def sibling_links(implements: DataFrame) -> DataFrame:
     """(src, dst, bridge_type) of (id, interface, remote boolean): a remote proxy to each local class of the same interface."""
     a = implements.where("remote").select(F.col("id").alias("src"), "interface")
     b = implements.where("not remote").select(F.col("id").alias("dst"), "interface")
-    return a.join(b, "interface").where("src <> dst").select("src", "dst", F.lit("FEIGN").alias("bridge_type")).distinct()
+    return distinct_pairs(a, b, ["interface"], F.col("src") != F.col("dst"), F.col("src"), F.col("dst"), F.lit("FEIGN").alias("bridge_type"))
 
 
 def frontend_links(clients: DataFrame, entries: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def artifact_edges(modules: DataFrame) -> DataFrame:
 
 
 def all_links(*found: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), found).distinct()
+    """The links of strategies that have a bridge_type each and give a link once, so that none is compared with another."""
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def map_spans(spans: DataFrame, methods: DataFrame) -> DataFrame:
