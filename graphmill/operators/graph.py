@@ -44,9 +44,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(reversed_edges(edges)).distinct()
 
 
+def _hops(edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """Distinct edges between nodes, worked out once where several rounds read them."""
+    hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    return hops if max_depth is not None and max_depth < 2 else saved(hops)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth) of every node within max_depth steps of a seed, its own at depth 0; depth is the least. seeds: (seed)."""
-    hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    hops = _hops(edges, max_depth)
     frontier = saved(seeds.select("seed").where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     known, depth = Rounds(frontier), 0
     while max_depth is None or depth < max_depth:
@@ -61,7 +67,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 
 def reach_once(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): as reach from all seeds at once, so that a node counts once whatever the number of seeds."""
-    hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    hops = _hops(edges, max_depth)
     frontier = saved(seeds.select(F.col("seed").alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
     known, depth = Rounds(frontier), 0
     while max_depth is None or depth < max_depth:
