@@ -94,9 +94,10 @@ def enriched(ids: DataFrame, edges: DataFrame, most: int = 3, entries: DataFrame
     first entries and sql_ids. Neighbours are cut by rank before they are gathered."""
 
     def side(own: str, other: str, name: str, edges: DataFrame = edges) -> DataFrame:
-        e = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias(own)).distinct(), own, "left_semi")
-        first = e.withColumn("_k", F.row_number().over(Window.partitionBy(own).orderBy(other))).where(F.col("_k") <= most)
-        return first.groupBy(F.col(own).alias("id")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.col(other).cast("string")))).alias(name))
+        # Places count different neighbours, so each task cuts its own rows before any are shuffled, repeats and all.
+        first = edges.select("src", "dst").withColumn("_k", F.dense_rank().over(Window.partitionBy(own).orderBy(other))).where(F.col("_k") <= most)
+        first = first.groupBy(F.col(own).alias("id")).agg(F.concat_ws(",", F.array_sort(F.collect_set(F.col(other)).cast("array<string>"))).alias(name))
+        return first.join(ids.select("id").distinct(), "id", "left_semi")
 
     out = ids.join(side("dst", "src", "callers"), "id", "left").join(side("src", "dst", "callees"), "id", "left")
     for more, name in ((entries, "entries"), (statements, "sql_ids")):
