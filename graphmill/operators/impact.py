@@ -25,32 +25,38 @@ def _grams(c: Column, n: int = 3) -> Column:
 
 
 def _holding(asked: DataFrame, m: DataFrame) -> DataFrame:
-    """asked (ask_id, class_name, method_name) with each of m (node, _class, _method) of that method whose class name has the text asked for.
+    """asked (class_name, method_name) with each of m (node, _class, _method) of that method whose class name has the text asked for.
 
     They meet in the rarest three characters of the text among the classes of that method's name, so a name that many classes have (get, run)
     isn't joined as a whole. Texts of fewer than three characters meet in the name alone.
     """
-    wanted = saved(asked.select("ask_id", "class_name", "method_name", F.explode(F.when(F.length("class_name") < 3, F.array(F.lit(""))).otherwise(_grams(F.col("class_name")))).alias("gram")))
+    wanted = saved(asked.select("class_name", "method_name", F.explode(F.when(F.length("class_name") < 3, F.array(F.lit(""))).otherwise(_grams(F.col("class_name")))).alias("gram")))
     keys = wanted.select(F.col("method_name").alias("_method"), "gram").distinct()
     named = m.join(keys.select("_method").distinct(), "_method", "left_semi")
     placed = saved(named.select("node", "_class", "_method", F.explode(F.array_union(F.array(F.lit("")), _grams(F.col("_class")))).alias("gram")).join(keys, ["_method", "gram"], "left_semi"))
     counts = placed.groupBy(F.col("_method").alias("method_name"), "gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, ["method_name", "gram"], "left").groupBy("ask_id", "class_name", "method_name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    rarest = rarest.where("g.n > 0").select("ask_id", "class_name", F.col("method_name").alias("_method"), F.col("g.gram").alias("gram"))
+    rarest = wanted.join(counts, ["method_name", "gram"], "left").groupBy("class_name", "method_name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rarest = rarest.where("g.n > 0").select("class_name", "method_name", F.col("method_name").alias("_method"), F.col("g.gram").alias("gram"))
     return rarest.join(placed, ["_method", "gram"]).where(F.contains("_class", "class_name"))
 
 
 def resolved_entries(asked: DataFrame, methods: DataFrame) -> DataFrame:
     """(ask_id, node, step) of asked (ask_id, class_name, method_name): 1 the exact class, 2 its simple name or an inner class, 3 a class
-    whose name has the text asked for; the least node of the first step that finds one. Step 3 is only tried for what is left."""
-    m = methods.select("node", F.col("class_name").alias("_class"), F.col("method_name").alias("_method"))
+    whose name has the text asked for; the least node of the first step that finds one. Step 3 is only tried for what is left.
+
+    Only the least node counts, so a class and method (or simple name and method) has one row before it is joined, and a text and method is
+    looked for once for all that ask for it.
+    """
+    of = lambda *by: methods.groupBy(*by, F.col("method_name").alias("_method")).agg(F.min("node").alias("node"))
+    asked, m = asked.select("ask_id", "class_name", "method_name"), of(F.col("class_name").alias("_class"))
     same = F.col("method_name") == F.col("_method")
     exact = asked.join(m, same & (F.col("class_name") == F.col("_class"))).select("ask_id", "node", F.lit(1).alias("step"))
     left = asked.join(exact.select("ask_id"), "ask_id", "left_anti")
-    outer = F.regexp_replace(strings.simple_name(F.col("_class")), r"\$.*$", "")
-    simple = left.join(m.withColumn("_simple", outer), same & (strings.simple_name(F.col("class_name")) == F.col("_simple"))).select("ask_id", "node", F.lit(2).alias("step"))
-    left = left.join(simple.select("ask_id"), "ask_id", "left_anti")
-    part = _holding(saved(left.select("ask_id", "class_name", "method_name")), m).select("ask_id", "node", F.lit(3).alias("step"))
+    outer = of(F.regexp_replace(strings.simple_name(F.col("class_name")), r"\$.*$", "").alias("_simple"))
+    simple = left.join(outer, same & (strings.simple_name(F.col("class_name")) == F.col("_simple"))).select("ask_id", "node", F.lit(2).alias("step"))
+    left = saved(left.join(simple.select("ask_id"), "ask_id", "left_anti"))
+    held = _holding(left.select("class_name", "method_name").distinct(), m).groupBy("class_name", "method_name").agg(F.min("node").alias("node"))
+    part = left.join(held, ["class_name", "method_name"]).select("ask_id", "node", F.lit(3).alias("step"))
     return exact.union(simple).union(part).groupBy("ask_id").agg(F.min(F.struct("step", "node")).alias("x")).select("ask_id", "x.node", "x.step")
 
 
