@@ -66,6 +66,12 @@ def root_entries(edges: DataFrame, entries: DataFrame, seeds: DataFrame, depth:
     return up.join(entries.select("node").distinct(), "node", "left_semi").select("seed", F.col("node").alias("entry"))
 
 
+def entries_reaching(edges: DataFrame, entries: DataFrame, seeds: DataFrame, depth: int | None = UPSTREAM) -> DataFrame:
+    """(entry): entry points (node) that reach any of the seeds within depth steps; a node is walked once, whatever the number of seeds."""
+    up = graph.reach_once(graph.reversed_edges(edges), seeds, depth)
+    return up.join(entries.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("entry"))
+
+
 def ring_seeds(modified: DataFrame, roots: DataFrame, most: int = FULL_RING) -> DataFrame:
     """(seed): the modified nodes (node), or the roots alone if there are more than `most`."""
     n = modified.select("node").distinct().agg(F.count("*").alias("_n"))
@@ -102,7 +108,7 @@ def bridge_chains(bridges: DataFrame, starts: DataFrame, max_depth: int = 5) ->
 def ring_violations(edges: DataFrame, entries: DataFrame, claimed: DataFrame, implementations: DataFrame, modified: DataFrame, depth: int = 10) -> DataFrame:
     """(rule, node): claimed entries (node) that no entry point reaches within depth steps, and implementations that aren't modified."""
     seeds = claimed.select(F.col("node").alias("seed")).where("seed is not null").distinct()
-    entered = root_entries(edges, entries, seeds, depth).select("entry").distinct()
+    entered = entries_reaching(edges, entries, seeds, depth)
     lost = seeds.join(entered, F.col("seed") == F.col("entry"), "left_anti").select(F.lit("ENTRY_NOT_REACHABLE").alias("rule"), F.col("seed").alias("node"))
     missing = implementations.select("node").where("node is not null").distinct().join(modified.select("node"), "node", "left_anti")
     return lost.union(missing.select(F.lit("IMPLEMENTATION_NOT_MODIFIED"), "node"))

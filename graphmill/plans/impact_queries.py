@@ -40,7 +40,7 @@ def class_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries_affecting_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = P.part_methods(spark, sf_dir).where("class_name = 'com.shop.promo.RedWidget'").select(F.col("node").alias("seed"))
-    return I.root_entries(P.part_edges(spark, sf_dir), _entries(spark, sf_dir), seeds, 10).select("entry").distinct()
+    return I.entries_reaching(P.part_edges(spark, sf_dir), _entries(spark, sf_dir), seeds, 10)
 
 
 def cross_service_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
