@@ -18,14 +18,14 @@ from graphmill.llm.common import checkpoint_dir
 ORACLE_SQL = None
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row: a struct of all columns, by position."""
-    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+def _carried(docs: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and row: a struct of all columns but those that the stage makes anew, by position."""
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in but]
     return docs.select(F.col("doc_id"), F.col("text"), F.struct(*fields).alias("row"))
 
 
 def _restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
-    return rows.select(*[changed.get(c, F.col(f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+    return rows.select(*[(changed[c] if c in changed else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 13 words or more that a document with a smaller id has; n_chars follows the text. No row goes."""
-    cut = substring.remove_repeats(_carried(docs), keep=("row",))
+    cut = substring.remove_repeats(_carried(docs, but=("text",)), keep=("row",))  # the text would be shuffled twice
     changed = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return _restored(cut, docs, **changed)
 

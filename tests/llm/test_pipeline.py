@@ -71,3 +71,14 @@ def test_null_ids_keep_their_texts(spark, docs, sf_dir, tmp_path):
         if name == "best_fit_packing":
             assert after.where("piece = 0").count() == now.count()
         now = after
+
+
+def test_substring_stage_carries_a_text_once(spark, monkeypatch):
+    import corpus_pipeline
+    from graphmill.llm import substring
+
+    seen, whole = [], substring.remove_repeats
+    monkeypatch.setattr(substring, "remove_repeats", lambda docs, **how: seen.append(docs.schema["row"].dataType.names) or whole(docs, **how))
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, source string")
+    got = corpus_pipeline.substring_dedup(spark, docs, "")
+    assert seen == [["c0", "c2"]] and sorted(map(tuple, got.collect())) == [(1, "a b", "x"), (2, "", "y")]
