@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _grow, column_bytes, gram_hash, mix, prefix_hash, ranges, release, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
+from .common import _grow, checkpoint_dir, column_bytes, gram_hash, mix, prefix_hash, ranges, release, saved, shuffle_width, sliding_argmin, small_batches, span_hash, word_bounds
 
 _U = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -95,7 +95,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan's checkpoint forgets how its rows are dealt
     try:
-        kept = saved(packed)
+        checkpoint_dir(spark)
+        kept = packed.checkpoint(eager=True)  # not saved(), whose new frame forgets it too: each join would shuffle the chunks again
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     del packed

@@ -165,3 +165,11 @@ def test_grouping_suffix_array():
     for _ in range(500):
         s = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 50))] + [0]
         assert suffixarray.grouping_suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_chunks_stay_dealt_by_their_number(docs):
+    """A join on the chunk number shuffles the other side alone; a saved frame without its partitioning shuffled every text three times more."""
+    chunks = passages._chunks(docs.select("doc_id", "text"))
+    other = chunks.select("chunk_id").distinct()
+    plan = chunks.select("chunk_id", "chunk").join(other.hint("merge"), "chunk_id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line]
