@@ -10,8 +10,10 @@ length go to which bin and offset; every piece finds its place in it by its rank
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, release, saved, small_batches, without_clashes
+from .common import IS_SPACE, column_bytes, ranges, release, row_slices, saved, small_batches, without_clashes
 from .sharding import unit_range
 
 Bins = dict[tuple[int, ...], int]
@@ -225,8 +227,11 @@ def pack_pieces(pieces: DataFrame, limit: int = 2048, key: str = "doc_id") -> Da
     return rows.join(runs, inside).withColumn("sequence_id", F.col("_b") + F.col("_rank") - F.col("_f")).drop("_len", "_f", "_e", "_b", "_block", "_rank").select(*columns, "sequence_id", "offset")
 
 
-#: A full stop or comma between an ASCII letter and white space is a token of its own in any case.
-_LONE_MARK = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n])")
+#: Bytes of texts that are tokenised at once, or one text.
+TEXT_BYTES = 8 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_LONE_MARK, _LETTER, _BREAK = (np.isin(np.arange(256), list(c)) for c in (b".,", bytes(range(97, 123)), b" \n"))
 #: Lower-case letters of ASCII and Latin-1, then ASCII marks other than the apostrophe and the special tokens' bracket.
 _PLAIN = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:;=-@\\[-`{-~]*)")
 
@@ -240,14 +245,16 @@ class WordTokenizer(dict):
     when it has max_cached chunks.
     """
 
-    def __init__(self, path: str, max_cached: int = 300_000):
+    def __init__(self, path: str, max_cached: int = 600_000):
         super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_cached = Tokenizer.from_file(path), max_cached
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        letters = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        byte = {b: x for c, two in letters.items() for b, x in zip(c.encode(), two, strict=True)}
+        self.bytes_as_letters = "".join(byte.get(b, chr(b)) for b in range(256))
         probe = "ab,zß ÀÖÿ%& the... A.B# #x ab]] Éa"
         self.direct = False
         direct = [self._plainly(c) for c in probe.split()]
@@ -266,21 +273,53 @@ class WordTokenizer(dict):
             at = m.end()
             for part in m.groups():
                 if part:
-                    ids += [x.id for x in self.model.tokenize(part.translate(self.bytes_as_letters))]
-        return np.array(ids, "<u4").tobytes()
+                    ids += [x.id for x in self.model.tokenize(part if part.isascii() else charmap_decode(part.encode(), "strict", self.bytes_as_letters)[0])]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if self.direct and chunk.isalpha() and chunk.islower():  # ASCII letters alone
+            ids = [x.id for x in self.model.tokenize(text)]
+            out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            return out
         out = self._plainly(text) if self.direct else None
         out = self[chunk] = self._whole(text) if out is None else out
         return out
 
     def encode(self, text: bytes) -> bytes:
-        if self.direct and b"<" not in text:
-            text = _LONE_MARK.sub(rb" \g<0>", text.lower())
+        return self.encode_all(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text (row of data), as bytes. Arrow finds the distinct chunks, so that only these are looked up one by one."""
         if len(self) > self.max_cached:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        solid = ~IS_SPACE[data]
+        first = solid.copy()  # bytes that begin a chunk
+        first[1:] &= ~solid[:-1]
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        first &= solid
+        if self.direct:
+            low, mark = LOWER[data], _LONE_MARK[data]
+            # a full stop or comma between an ASCII letter and white space is a token of its own in any case
+            mark[1:] &= _LETTER[low[:-1]]
+            mark[:-1] &= _BREAK[data[1:]]
+            mark[:1] = mark[-1:] = False
+            for k in np.unique(np.searchsorted(offsets, np.flatnonzero(data == ord("<")), "right") - 1).tolist():
+                raw = slice(offsets[k], offsets[k + 1])
+                low[raw], mark[raw] = data[raw], False
+            data, first = low, first | mark
+        begins = np.flatnonzero(first)
+        upto = np.concatenate([[0], np.cumsum(solid)])
+        ends = np.append(upto[begins], upto[-1]).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
+        distinct, at = column_bytes(chunks.dictionary)
+        raw, at = distinct.tobytes(), at.tolist()
+        ids = [self[raw[a:b]] for a, b in zip(at, at[1:], strict=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        of = chunks.indices.to_numpy()
+        flat = np.frombuffer(b"".join(ids), "<u4")[ranges((np.cumsum(sizes) - sizes)[of], sizes[of])]
+        stops = np.concatenate([[0], np.cumsum(sizes[of])])[np.searchsorted(begins, offsets)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -301,9 +340,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 2048, en
         tok = _tokenizers[tokenizer_path]
         for b in batches:
             data, off = column_bytes(b["text"])
-            raw, out = data.tobytes(), ([], [], [], [], [])
-            at = off.tolist()
-            for k, ids in enumerate(tok.encode(raw[x:y]) + end for x, y in zip(at, at[1:], strict=False)):
+            out = ([], [], [], [], [])
+            texts = (ids for x, y in row_slices(off, TEXT_BYTES) for ids in tok.encode_all(data[off[x] : off[y]], off[x : y + 1] - off[x]))
+            for k, ids in enumerate(ids + end for ids in texts):
                 for piece, a in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[a : a + 4 * limit]
                     for column, x in zip(out, (k, piece, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 from graphmill.llm import packing
 
 
@@ -29,3 +30,22 @@ def test_search_never_loses_pieces_and_never_needs_more_bins():
             for x in contents:
                 held[x] += n
         assert held == lengths and sum(bins.values()) <= sum(first.values())
+
+
+def test_a_chunk_is_looked_up_once_for_all_texts():
+    """Texts are tokenised together: one lookup for each distinct chunk, not for each word; the same ids as the file's own."""
+
+    class Counting(packing.WordTokenizer):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            self.asked += 1
+            return super().__getitem__(chunk)
+
+    tok = Counting(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["the Été, of the end. " * 50, "", "<pad> The. <b> a,b\x0bc", "of.\nthe", " \t", "a."] * 20
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    tok.asked = 0
+    got = tok.encode_all(data, offsets)
+    assert tok.asked < 30
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
