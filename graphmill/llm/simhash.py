@@ -11,8 +11,8 @@ WIDE_RUN fingerprints share is dealt again over all tasks, by the other segment'
 `near_copies` links texts by the exact Jaccard similarity of their shingle sets. Similarity 0.8 moves 15 % of a fingerprint's bits, so its
 fingerprints are longer: segments of about log2 n bits, as many as make a pair at the threshold meet with the stated recall. A variant's
 texts are compared by 128 bits in a sliding window, so that a large group never gives all its pairs, and candidates by their whole
-shingle sets. Where more texts share a variant than the window holds, `_rest` then compares, in blocks, all of them that are still in
-different components, until none of these pairs is left undecided.
+shingle sets. Where more texts share a variant than the window holds, `_rest` then compares all of them that are still in different
+components, in tasks that hold two blocks of shingle sets and give back edges, never pairs.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
+from .common import column_bytes, dropped, gram_hash, mix, prefix_hash, ranges, release, row_slices, saved, shuffle_width, small_batches, span_hash, tidy, word_bounds
 from .components import components
 
 _U = np.uint64
@@ -36,8 +37,10 @@ _U = np.uint64
 WIDE_RUN = 4096
 #: So many texts that share a variant, and one, are compared with each other; a later one with this many neighbours before it.
 WINDOW, NEIGHBOURS = 16, 1
-#: Members of a larger variant that are compared at once, and the partners of a text in another component that a first round decides.
-BLOCK, NEAREST = 4096, 16
+#: Members of a larger variant that are compared at once.
+BLOCK = 4096
+#: Texts, and bytes of their shingle sets, that are decided at once with as many others.
+HOME, HOME_BYTES = 512, 16 << 20
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -407,15 +410,16 @@ def _home(roots: DataFrame, name: str, root: str) -> DataFrame:
     return roots.select(F.col("u").alias(name), F.col("root").alias(root))
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int, nearest: int) -> Iterator[pa.RecordBatch]:
-    """u, v, more: for each probe of a (variant, block) the nearest members of every other root whose 128 bits differ in at most most, up to
-    nearest a root; more says that others were left. A block's members come first (probe false), then its probes, which are streamed."""
-    names = ("variant", "block", "probe", "root", "cls", "covered", "a", "b")
+def block_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Iterator[pa.RecordBatch]:
+    """x, y: distinct pairs of homes (x <= y) that hold a probe of a (variant, block) and a member of it of another root whose 128 bits differ
+    in at most most. A block's members come first (probe false), then its probes, which are streamed."""
+    names = ("variant", "block", "probe", "root", "home", "covered", "a", "b")
     at, held, full = None, [], None
-    out: list[tuple[int, int, bool]] = []
+    found: set[tuple[int, int]] = set()
+    done: set[int] = set()  # homes that were found with all of the block's
 
-    def batch_of(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["u", "v", "more"])
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["x", "y"])
 
     for batch in batches:
         rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
@@ -426,29 +430,136 @@ def block_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int, neare
             here, part = (int(rows[0][x]), int(rows[1][x])), [r[x:y] for r in rows[3:]]
             if here != at:
                 at, held, full = here, [], None
+                done.clear()
             if not rows[2][x]:
                 held.append(part)
                 continue
             full = full or [np.concatenate(z) for z in zip(*held, strict=True)]
-            root, cls, covered, a, b = full
+            root, home, covered, a, b = full
+            homes = np.unique(home).tolist()
             every = (here[0] >> length) % length == 0
-            for r, me, bit, c, d in zip(*part, strict=True):
-                apart = np.bitwise_count((a ^ c).view(np.uint64)).astype(np.int32) + np.bitwise_count((b ^ d).view(np.uint64))
-                hit = np.flatnonzero((apart <= most) & (root != r) & (every | (covered != bit)))
-                if not len(hit):
+            for r, me, bit, c, d in zip(*[z.tolist() for z in part[:3]], *part[3:], strict=True):
+                if me in done:
                     continue
-                hit = hit[np.lexsort((cls[hit], apart[hit], root[hit]))]
-                begins = np.concatenate([[True], root[hit][1:] != root[hit][:-1]])
-                place = np.arange(len(hit)) - np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-                more = bool((place >= nearest).any())
-                out += [(min(int(me), o), max(int(me), o), more) for o in cls[hit[place < nearest]].tolist()]
-                if len(out) > 100_000:
-                    yield batch_of(out)
-                    out = []
-    yield batch_of(out)
+                apart = np.bitwise_count((a ^ c).view(np.uint64)).astype(np.int32) + np.bitwise_count((b ^ d).view(np.uint64))
+                hit = (apart <= most) & (root != r) & (every | (covered != bit))
+                found.update((min(me, o), max(me, o)) for o in np.unique(home[hit]).tolist())
+                if all((min(me, o), max(me, o)) in found for o in homes):
+                    done.add(me)
+                if len(found) > 100_000:
+                    yield batch_of()
+                    found.clear()
+                    done.clear()
+    yield batch_of()
     release()
 
 
+class Home:
+    """Texts that are compared with each other's and another home's: cls, root, 128 bits (a, b), segments and shingle set of each."""
+
+    FIELDS = ("cls", "root", "a", "b", "segments", "sizes", "grams")
+
+    def __init__(self, fields: dict[str, np.ndarray]):
+        self.root, self.a, self.b, self.sizes, self.grams = (fields[c] for c in ("root", "a", "b", "sizes", "grams"))
+        self.segments = fields["segments"].reshape(len(self.root), -1)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def set_of(self, k: int) -> np.ndarray:
+        return self.grams[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+    def shared(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of grams each text of at has."""
+        if len(at) < 8:
+            return np.array([len(np.intersect1d(grams, self.set_of(k), assume_unique=True)) for k in at.tolist()], np.int64)
+        if self._index is None:
+            order = np.argsort(self.grams, kind="stable")
+            values, first = np.unique(self.grams[order], return_index=True)
+            self._index = values, np.append(first, len(order)), np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
+        values, first, texts = self._index
+        k = np.searchsorted(values, grams)
+        k = k[(k < len(values)) & (values[np.minimum(k, len(values) - 1)] == grams)]
+        return np.bincount(texts[ranges(first[k], first[k + 1] - first[k])], minlength=len(self.sizes))[at]
+
+
+def links_between(x: Home, y: Home, most: int, least: Fraction) -> list[tuple[int, int]]:
+    """Edges between roots that connect all those with texts in x and y that share a variant, differ in at most most of 128 bits and have shingle
+    sets of similarity least: fewer edges than roots, whatever the pairs. Texts of roots that are connected already aren't decided."""
+    forest = Forest()
+    roots = y.root.tolist()
+    for k, own in enumerate(x.root.tolist()):
+        apart = np.bitwise_count((y.a ^ x.a[k]).view(np.uint64)).astype(np.int32) + np.bitwise_count((y.b ^ x.b[k]).view(np.uint64))
+        ok = (apart <= most) & (y.root != own)
+        if x is y:
+            ok[: k + 1] = False
+        at = np.flatnonzero(ok)
+        at = at[(np.bitwise_count((y.segments[at] ^ x.segments[k]).view(np.uint64)) <= 1).any(axis=1)]
+        if forest.edges:
+            top = forest.find(own)
+            at = np.array([o for o in at.tolist() if forest.find(roots[o]) != top], np.int64)
+        if len(at):
+            near = y.shared(x.set_of(k), at) * (least.numerator + least.denominator) >= least.numerator * (x.sizes[k] + y.sizes[at])
+            for o in at[near].tolist():
+                forest.link(own, roots[o])
+    return forest.edges
+
+
+def _homes(nodes: DataFrame, shingle: int) -> DataFrame:
+    """home long, members array<long> and Home.FIELDS as binary: the texts of nodes (near, cls, root, a, b, segments, text) by near, HOME at most
+    in a row and no more than fill HOME_BYTES (or one text)."""
+    small_batches(nodes.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, held, size = 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal count
+            own = TaskContext.get().partitionId() << 32 | count
+            count += 1
+            fields = [np.array(z, np.int64) for z in list(zip(*held, strict=True))[:4]]
+            fields += [np.concatenate([h[4] for h in held]), np.array([len(h[5]) for h in held]), np.concatenate([h[5] for h in held])]
+            members = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(fields[0]))
+            return pa.RecordBatch.from_arrays([pa.array([own]), members, *[pa.array([f.tobytes()], pa.binary()) for f in fields]], names=["home", "members", *Home.FIELDS])
+
+        for b in batches:
+            columns = [b[c].to_pylist() for c in ("cls", "root", "a", "b")]
+            segments = [np.array(z, np.int64) for z in b["segments"].to_pylist()]
+            for one in zip(*columns, segments, shingle_sets(b["text"], shingle), strict=True):
+                if held and (len(held) >= HOME or size + one[5].nbytes > HOME_BYTES):
+                    yield row()
+                    held, size = [], 0
+                held.append(one)
+                size += one[5].nbytes
+        if held:
+            yield row()
+        release()
+
+    fields = ", ".join(f"{c} binary" for c in Home.FIELDS)
+    return nodes.orderBy("near", "cls").select("cls", "root", "a", "b", "segments", "text").mapInArrow(run, f"home long, members array<long>, {fields}")
+
+
+def _linked_homes(pairs: DataFrame, homes: DataFrame, most: int, similarity: float) -> DataFrame:
+    """u, v: edges between roots, of all pairs (x, y) of homes."""
+    spark, least = pairs.sparkSession, Fraction(similarity).limit_denominator(1000)
+    small_batches(spark, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = None
+        for b in batches:
+            for k in range(b.num_rows):
+                fields = {c: np.frombuffer(b[c][k].as_buffer(), np.uint64 if c == "grams" else np.int64) for c in Home.FIELDS[1:]}
+                y = Home(fields)
+                x = x if b["second"][k].as_py() else y
+                if b["second"][k].as_py() or b["x"][k] == b["y"][k]:
+                    edges = np.array(links_between(x, y, most, least), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+        release()
+
+    ends = pairs.select("x", "y", F.lit(False).alias("second"), F.col("x").alias("home")).union(pairs.where("x <> y").select("x", "y", F.lit(True), "y"))
+    rows = ends.join(homes.drop("members", "cls").hint("merge"), "home").drop("home")
+    return rows.repartition(shuffle_width(spark), "x", "y").sortWithinPartitions("x", "y", "second").mapInArrow(run, "u long, v long")
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots with new links: only the components that these connect are looked at again."""
     ends = links.join(_home(roots, "u", "root_u"), "u", "left").join(_home(roots, "v", "root_v"), "v", "left")
@@ -457,44 +568,40 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(now.select("u", F.coalesce("_new", "root").alias("root")).union(moved.select("u", "root")))
 
 
-def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, tried: DataFrame, texts_of, length: int, shingle: int, similarity: float) -> DataFrame:
-    """roots, after the pairs of wide variants' members that lie in different components are decided too, but for those that tried has.
+def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, texts_of, length: int, shingle: int, similarity: float) -> DataFrame:
+    """roots, after the pairs of wide variants' members that lie in different components are decided too.
 
     A variant whose members are one component needs nothing. In others, the members outside the variant's largest component are compared
-    with all its members, in blocks. Each round decides the nearest of every other component, then sixteen times as many; the last round
-    is the one that left none out. So pairs inside a component are never made, and none between components stays undecided.
+    with all its members, in blocks. That gives no pairs of texts, which a group of texts just below the similarity has as the square of its
+    size, but pairs of homes (HOME texts each). A task has both homes' shingle sets, decides all pairs between two components and
+    gives back edges that connect them. So pairs inside a component are never made, and none between components stays undecided.
     """
-    most, spark, nearest = _most_apart(similarity), wide.sparkSession, NEAREST
-    texts = None
-    while True:
-        flat = wide.select("variant", "block", F.explode("members").alias("m")).select("variant", "block", "m.cls", "m.covered")
-        flat = flat.join(_home(roots, "_cls", "root"), F.col("cls") == F.col("_cls"), "left").withColumn("root", F.coalesce("root", "cls")).drop("_cls")
-        shares = flat.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k"))
-        mixed = saved(shares.where("k > 1").select(F.col("variant").alias("_variant"), "largest"))
-        if mixed.isEmpty():
-            return roots
-        sides = classes.select(F.col("cls").alias("_cls"), "a", "b")
-        members = saved(flat.join(mixed, F.col("variant") == F.col("_variant")).join(sides, F.col("cls") == F.col("_cls")).drop("_variant", "_cls"))
-        if texts is None:  # later rounds look at no others
-            texts = texts_of(members.select("cls").distinct())
-        blocks = members.select("variant", "block").distinct()
-        probes = members.where("root <> largest").drop("block").join(blocks, "variant")
-        columns = ["variant", "block", "probe", "root", "cls", "covered", "a", "b"]
-        rows = members.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
-        small_batches(spark, 20_000)
-        dealt = rows.repartition(shuffle_width(spark), "variant", "block").sortWithinPartitions("variant", "block", "probe")
-        now = nearest
-        found = saved(dealt.mapInArrow(lambda batches: block_pairs(batches, most, length, now), "u long, v long, more boolean"))  # noqa: B023
-        pairs = saved(found.select("u", "v").distinct().join(tried.select("u", "v").hint("merge"), ["u", "v"], "left_anti"))
-        left = not found.where("more").isEmpty()
-        new = _verified(pairs, texts, shingle, similarity)
-        dropped(mixed, members, found)
-        tidy(spark)
-        if not new.isEmpty():
-            roots = _merged(roots, new)
-        if not left:
-            return roots
-        tried, nearest = tried.select("u", "v").union(pairs), nearest * 16
+    most, spark = _most_apart(similarity), wide.sparkSession
+    flat = wide.select("variant", "block", F.explode("members").alias("m")).select("variant", "block", "m.cls", "m.covered")
+    flat = flat.join(_home(roots, "_cls", "root"), F.col("cls") == F.col("_cls"), "left").withColumn("root", F.coalesce("root", "cls")).drop("_cls")
+    shares = flat.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k"), F.sum("n").alias("size"))
+    mixed = saved(shares.where("k > 1").select(F.col("variant").alias("_variant"), "largest", "size"))
+    if mixed.isEmpty():
+        return roots
+    members = saved(flat.join(mixed, F.col("variant") == F.col("_variant")).drop("_variant"))
+    near = saved(members.groupBy("cls", "root").agg(F.max_by("variant", F.struct("size", "variant")).alias("near")))  # copies of one text share their largest variants
+    texts = texts_of(near.select("cls"))
+    nodes = near.join(classes.select("cls", "a", "b", "segments").hint("merge"), "cls").join(texts.hint("merge"), "cls")
+    homes = saved(_homes(nodes, shingle))
+    sides = classes.select("cls", "a", "b").join(homes.select("home", F.explode("members").alias("cls")).hint("merge"), "cls")
+    placed = saved(members.drop("size").join(sides.hint("merge"), "cls").drop("cls"))
+    blocks = placed.select("variant", "block").distinct()
+    probes = placed.where("root <> largest").drop("block").join(blocks, "variant")
+    columns = ["variant", "block", "probe", "root", "home", "covered", "a", "b"]
+    rows = placed.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
+    small_batches(spark, 20_000)
+    dealt = rows.repartition(shuffle_width(spark), "variant", "block").sortWithinPartitions("variant", "block", "probe")
+    pairs = saved(dealt.mapInArrow(lambda batches: block_pairs(batches, most, length), "x long, y long").distinct())
+    dropped(mixed, members, near, texts, placed)
+    tidy(spark)
+    links = saved(_linked_homes(pairs, homes, most, similarity))
+    dropped(pairs, homes)
+    return roots if links.isEmpty() else _merged(roots, links)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -544,7 +651,7 @@ def _kept_rows(docs: DataFrame, shingle: int, similarity: float, recall: float)
     more = _verified(apart, texts, shingle, similarity)
     if not more.isEmpty():
         roots = _merged(roots, more)
-    roots = _rest(wide, classes, roots, pairs, texts_of, length, shingle, similarity)
+    roots = _rest(wide, classes, roots, texts_of, length, shingle, similarity)
     named = classes.select("cls", "first").join(roots, F.col("cls") == F.col("u"), "left")
     best = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))

@@ -1,5 +1,7 @@
 """The pipeline's near-duplicate stage against all pairs."""
 
+from fractions import Fraction
+
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
@@ -149,3 +151,55 @@ def test_names_that_clash_and_equal_hashes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_sketches", lambda *a: own(*a).withColumn("cls", F.lit(7).cast("long")))
     assert sorted(map(tuple, simhash.near_copies(docs).collect())) == got
     assert xxhash.xxh3_128_digest(b"a") != xxhash.xxh3_128_digest(b"b")
+
+
+@pytest.mark.parametrize("home", [40, 512])
+def test_a_group_just_below_the_threshold_gives_no_pairs(spark, monkeypatch, home):
+    """160 texts that share most variants, few of which are near: all pairs are decided, but neither pairs nor edges are made as the square of them."""
+    monkeypatch.setattr(simhash, "HOME", home)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(160):
+        w = list(base)
+        for at in rng.choice(40, int(rng.integers(2, 5)), replace=False):
+            w[5 * at + 2] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, most = [shingles(t) for _, t in rows], simhash._most_apart(0.8)
+    length, segments = simhash.segment_shape(len(rows), 0.8, 0.95)
+    sketches = simhash._sketches(frame, 5, length, segments).orderBy("doc_id").collect()
+
+    def linked(i, j):
+        x, y = sketches[i], sketches[j]
+        meet = any((p ^ q).bit_count() <= 1 for p, q in zip(x.segments, y.segments))
+        return meet and sum(((p ^ q) % 2**64).bit_count() for p, q in ((x.a, y.a), (x.b, y.b))) <= most and near(sets[i], sets[j])
+
+    want = sorted(set(closure([i for i, _ in rows], linked)))
+    made = {"pairs": 0, "edges": 0}
+    own, merged = simhash._verified, simhash._merged
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: made.update(pairs=made["pairs"] + pairs.count()) or own(pairs, *a))
+    rest = simhash._rest
+    monkeypatch.setattr(simhash, "_rest", lambda *a: made.update(pairs=0) or rest(*a))  # the window's pairs are bounded a text
+    monkeypatch.setattr(simhash, "_merged", lambda roots, links: made.update(edges=made["edges"] + links.count()) or merged(roots, links))
+    got = sorted(r["doc_id"] for r in simhash.near_copies(frame).collect())
+    assert got == want and len(want) > 10
+    assert made["pairs"] < 160 and made["edges"] < 160 * 10
+
+
+def test_links_between_homes_are_all_near_pairs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(20, 60)))).astype(np.uint64) for _ in range(60)]
+    bits = rng.integers(0, 2, (60, 2), dtype=np.int64)
+    least = Fraction(1, 2)
+
+    def home(at):
+        return simhash.Home({"root": np.array(at), "a": bits[at, 0], "b": bits[at, 1], "segments": np.zeros(len(at) * 3, np.int64), "sizes": np.array([len(sets[k]) for k in at]), "grams": np.concatenate([sets[k] for k in at])})
+
+    x, y = home(list(range(25))), home(list(range(25, 60)))
+    for p, q in ((x, x), (y, y), (x, y)):
+        ok = lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 3 >= len(sets[i]) + len(sets[j]) and int((bits[i] != bits[j]).sum()) <= 1
+        here = sorted({*p.root.tolist(), *q.root.tolist()})
+        edges = simhash.links_between(p, q, 1, least)
+        assert len(edges) < len(here) and all(ok(i, j) for i, j in edges)
+        across = lambda i, j: p is q or (i < 25) != (j < 25)
+        assert closure(here, lambda i, j: (here[i], here[j]) in set(edges) or (here[j], here[i]) in set(edges)) == closure(here, lambda i, j: across(here[i], here[j]) and ok(here[i], here[j]))
