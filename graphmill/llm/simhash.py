@@ -12,7 +12,7 @@ WIDE_RUN fingerprints share is dealt again over all tasks, by the other segment'
 fingerprints are longer: segments of about log2 n bits, as many as make a pair at the threshold meet with the stated recall. A variant's
 texts are compared by 128 bits in a sliding window, so that a large group never gives all its pairs, and candidates by their whole
 shingle sets. Where more texts share a variant than the window holds, `_rest` then compares all of them that are still in different
-components, in tasks that hold two blocks of shingle sets and give back edges, never pairs.
+components, in tasks that hold a part of the shingle sets, stream others past them and give back edges, never pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
@@ -39,8 +38,12 @@ WIDE_RUN = 4096
 WINDOW, NEIGHBOURS = 16, 1
 #: Members of a larger variant that are compared at once.
 BLOCK = 4096
-#: Texts, and bytes of their shingle sets, that are decided at once with as many others.
-HOME, HOME_BYTES = 512, 16 << 20
+#: Texts that are compared at once with those a task holds.
+HOME = 512
+#: Of a cluster: texts and bytes of shingle sets that a task holds at most, about; fewer texts, but PART_LEAST, where that costs few copies.
+PART_MOST, PART_BYTES, PART_LEAST, PART_COPIES = 16_384, 32 << 20, 64, 16
+#: Bytes of shingle sets that are copied to the tasks at once, where the clusters have no more themselves.
+COPIED_BYTES = 256 << 20
 #: Variants of a text that are shuffled at once, and what one task sorts.
 ROUND_VARIANTS, TASK_ROWS = 128, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -252,7 +255,7 @@ def segment_shape(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame, shingle: int, length: int, segments: int) -> DataFrame:
-    """doc_id, mark (of the text as it is), cls and more long (128 bits of its words), segments array<long> (null without words), a and b long: 128 bits."""
+    """doc_id, mark (of the text as it is), cls and more long (128 bits of its words), segments array<long> (null without words), a and b long: 128 bits, size int: shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +271,10 @@ def _sketches(docs: DataFrame, shingle: int, length: int, segments: int) -> Data
             check = np.packbits(bits[:, :128], axis=1).view(np.int64)
             none = np.array([not len(s) for s in sets], bool)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * segments), pa.array(parts.ravel()), mask=pa.array(none))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(cls[:, 0]), pa.array(cls[:, 1]), lists, pa.array(check[:, 0]), pa.array(check[:, 1])], names=["doc_id", "mark", "cls", "more", "segments", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(cls[:, 0]), pa.array(cls[:, 1]), lists, pa.array(check[:, 0]), pa.array(check[:, 1]), pa.array([len(s) for s in sets], pa.int32())], names=["doc_id", "mark", "cls", "more", "segments", "a", "b", "size"])
         release()
 
-    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, more long, segments array<long>, a long, b long")
+    return _marked(docs).select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark string, cls long, more long, segments array<long>, a long, b long, size int")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -361,48 +364,45 @@ def _most_apart(similarity: float) -> int:
     return math.ceil(128 * share + 3.1 * math.sqrt(128 * share * (1 - share)))
 
 
-def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """u, v, apart: distinct pairs of classes that share a variant and whose 128 bits are as near as similarity makes them; and
-    variant, block, members: the wide variants."""
+def _rounds(classes: DataFrame, length: int, segments: int, *carried: str) -> Iterator[tuple[int, DataFrame]]:
+    """First segment and dealt variants (of covered kind), a few segments at a time, which bounds what is shuffled at once."""
+    n, each = classes.count(), max(1, ROUND_VARIANTS // length)
+    for first in range(0, segments, each):
+        small_batches(classes.sparkSession, 20_000)
+        part = classes.where("segments is not null").select(*carried, F.slice("segments", first + 1, each).alias("segments"))
+        yield first, _dealt(variants(part, length, *carried, covered=True), n * length * min(each, segments - first), F.shiftright("variant", 1), "cls")
+        tidy(classes.sparkSession)
+
+
+def _candidates(classes: DataFrame, length: int, segments: int, similarity: float) -> tuple[DataFrame, set[int]]:
+    """u, v, apart: distinct pairs of classes that share a variant and whose 128 bits are as near as similarity makes them; and the
+    rounds (their first segments) that have wide variants."""
     most = _most_apart(similarity)
-    spark, n = classes.sparkSession, classes.count()
-    each = max(1, ROUND_VARIANTS // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], int] = {}
-        wide = WideVariants(length)
+        wide, any_wide = WideVariants(length), False
         for u, v, apart in window_pairs(wide.watch(batches), most, length):
             found.update(zip(zip(u.tolist(), v.tolist(), strict=True), apart.tolist(), strict=True))
-            if len(found) > 200_000 or len(wide.blocks) > 500:
-                yield batch_of(found, wide.taken())
+            any_wide |= bool(wide.taken())
+            if len(found) > 200_000:
+                yield batch_of(found, False)
                 found = {}
-        yield batch_of(found, wide.taken())
+        yield batch_of(found, any_wide or bool(wide.taken()))
         release()
 
-    def batch_of(found: dict[tuple[int, int], int], wide: list[tuple]) -> pa.RecordBatch:
-        pairs = np.array(list(found), np.int64).reshape(-1, 2)
-        no, none = [None] * len(wide), [None] * len(found)
-        ends = np.concatenate([np.zeros(len(found) + 1, np.int32), np.cumsum([len(w[2]) for w in wide], dtype=np.int32)])
-        flat = lambda k: np.concatenate([np.zeros(0, np.int64), *[w[k] for w in wide]])
-        members = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat(2)), pa.array(flat(3))], names=["cls", "covered"]))
-        columns = [pa.array([*x, *no], t) for x, t in ((pairs[:, 0].tolist(), pa.int64()), (pairs[:, 1].tolist(), pa.int64()), (found.values(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([*none, *[w[0] for w in wide]], pa.int64()), pa.array([*none, *[w[1] for w in wide]], pa.int32()), members], names=["u", "v", "apart", "variant", "block", "members"])
-
-    rounds = []
-    for first in range(0, segments, each):  # a few segments at a time bound what is shuffled at once
-        small_batches(spark, 20_000)
-        part = classes.where("segments is not null").select("cls", "a", "b", F.slice("segments", first + 1, each).alias("segments"))
-        rows = _dealt(variants(part, length, "cls", "a", "b", covered=True), n * length * min(each, segments - first), F.shiftright("variant", 1), "cls")
-        made = rows.mapInArrow(run, "u long, v long, apart int, variant long, block int, members array<struct<cls:long,covered:long>>")
-        rounds.append(saved(made.withColumn("variant", F.col("variant") + (first * length << length))))
-        del rows, part
-        tidy(spark)
+    def batch_of(found: dict[tuple[int, int], int], any_wide: bool) -> pa.RecordBatch:
+        pairs, mark = np.array(list(found), np.int64).reshape(-1, 2), [None] * any_wide
+        columns = [pa.array([*x, *mark], t) for x, t in ((pairs[:, 0].tolist(), pa.int64()), (pairs[:, 1].tolist(), pa.int64()), (found.values(), pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v", "apart"])
+
+    rounds = {first: saved(rows.mapInArrow(run, "u long, v long, apart int")) for first, rows in _rounds(classes, length, segments, "cls", "a", "b")}
+    wide = {first for first, made in rounds.items() if not made.where("u is null").isEmpty()}
     out = rounds[0]
-    for r in rounds[1:]:
-        out = out.union(r)
-    wide = saved(out.where("variant is not null").select("variant", "block", "members"))
-    out = saved(out.where("variant is null").groupBy("u", "v").agg(F.min("apart").alias("apart")))
-    dropped(*rounds)
+    for first in [*rounds][1:]:
+        out = out.union(rounds[first])
+    out = saved(out.where("u is not null").groupBy("u", "v").agg(F.min("apart").alias("apart")))
+    dropped(*rounds.values())
     return out, wide
 
 
@@ -410,57 +410,13 @@ def _home(roots: DataFrame, name: str, root: str) -> DataFrame:
     return roots.select(F.col("u").alias(name), F.col("root").alias(root))
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Iterator[pa.RecordBatch]:
-    """x, y: distinct pairs of homes (x <= y) that hold a probe of a (variant, block) and a member of it of another root whose 128 bits differ
-    in at most most. A block's members come first (probe false), then its probes, which are streamed."""
-    names = ("variant", "block", "probe", "root", "home", "covered", "a", "b")
-    at, held, full = None, [], None
-    found: set[tuple[int, int]] = set()
-    done: set[int] = set()  # homes that were found with all of the block's
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["x", "y"])
-
-    for batch in batches:
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
-        if not len(rows[0]):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])])).tolist()
-        for x, y in zip(starts, [*starts[1:], len(rows[0])], strict=True):
-            here, part = (int(rows[0][x]), int(rows[1][x])), [r[x:y] for r in rows[3:]]
-            if here != at:
-                at, held, full = here, [], None
-                done.clear()
-            if not rows[2][x]:
-                held.append(part)
-                continue
-            full = full or [np.concatenate(z) for z in zip(*held, strict=True)]
-            root, home, covered, a, b = full
-            homes = np.unique(home).tolist()
-            every = (here[0] >> length) % length == 0
-            for r, me, bit, c, d in zip(*[z.tolist() for z in part[:3]], *part[3:], strict=True):
-                if me in done:
-                    continue
-                apart = np.bitwise_count((a ^ c).view(np.uint64)).astype(np.int32) + np.bitwise_count((b ^ d).view(np.uint64))
-                hit = (apart <= most) & (root != r) & (every | (covered != bit))
-                found.update((min(me, o), max(me, o)) for o in np.unique(home[hit]).tolist())
-                if all((min(me, o), max(me, o)) in found for o in homes):
-                    done.add(me)
-                if len(found) > 100_000:
-                    yield batch_of()
-                    found.clear()
-                    done.clear()
-    yield batch_of()
-    release()
-
-
 class Home:
-    """Texts that are compared with each other's and another home's: cls, root, 128 bits (a, b), segments and shingle set of each."""
-
-    FIELDS = ("cls", "root", "a", "b", "segments", "sizes", "grams")
+    """Texts that are compared with each other's and another home's: root, 128 bits (a, b), segments and shingle set of each; where a text may come on
+    both sides, cls and probe."""
 
     def __init__(self, fields: dict[str, np.ndarray]):
         self.root, self.a, self.b, self.sizes, self.grams = (fields[c] for c in ("root", "a", "b", "sizes", "grams"))
+        self.cls, self.probe = fields.get("cls"), fields.get("probe")
         self.segments = fields["segments"].reshape(len(self.root), -1)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self._index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -482,16 +438,19 @@ class Home:
         return np.bincount(texts[ranges(first[k], first[k + 1] - first[k])], minlength=len(self.sizes))[at]
 
 
-def links_between(x: Home, y: Home, most: int, least: Fraction) -> list[tuple[int, int]]:
+def links_between(x: Home, y: Home, most: int, least: Fraction, forest: Forest | None = None) -> list[tuple[int, int]]:
     """Edges between roots that connect all those with texts in x and y that share a variant, differ in at most most of 128 bits and have shingle
-    sets of similarity least: fewer edges than roots, whatever the pairs. Texts of roots that are connected already aren't decided."""
-    forest = Forest()
+    sets of similarity least: fewer edges than roots, whatever the pairs. Texts of roots that are connected already (in forest, if it is given, which
+    takes the edges) aren't decided. Of two probes that come on both sides, x has the one of the lesser cls."""
+    forest = Forest() if forest is None else forest
     roots = y.root.tolist()
     for k, own in enumerate(x.root.tolist()):
         apart = np.bitwise_count((y.a ^ x.a[k]).view(np.uint64)).astype(np.int32) + np.bitwise_count((y.b ^ x.b[k]).view(np.uint64))
         ok = (apart <= most) & (y.root != own)
         if x is y:
             ok[: k + 1] = False
+        elif y.probe is not None:
+            ok &= ~y.probe | (y.cls > x.cls[k])
         at = np.flatnonzero(ok)
         at = at[(np.bitwise_count((y.segments[at] ^ x.segments[k]).view(np.uint64)) <= 1).any(axis=1)]
         if forest.edges:
@@ -504,60 +463,92 @@ def links_between(x: Home, y: Home, most: int, least: Fraction) -> list[tuple[in
     return forest.edges
 
 
-def _homes(nodes: DataFrame, shingle: int) -> DataFrame:
-    """home long, members array<long> and Home.FIELDS as binary: the texts of nodes (near, cls, root, a, b, segments, text) by near, HOME at most
-    in a row and no more than fill HOME_BYTES (or one text)."""
-    small_batches(nodes.sparkSession, 500)
+def _stars(named: DataFrame, length: int, segments: int, wide: set[int]) -> DataFrame:
+    """u, v: edges that connect the roots that meet in a wide variant; named has cls, root and segments. A root has an edge a variant and task, however
+    many texts it has there. No edge: wide variants lie in one component each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held, size = 0, [], 0
+        shared, found, at, first = WideVariants(length), set(), None, None
+        watched = shared.watch(batches)
+        while True:
+            more = next(watched, None)
+            for variant, _, roots, _ in shared.taken():
+                if variant != at:
+                    at, first = variant, int(roots[0])
+                found.update((r, first) for r in np.unique(roots).tolist() if r != first)
+            if more is None or len(found) > 100_000:
+                ends = np.array(list(found), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+                found.clear()
+            if more is None:
+                break
+        release()
 
-        def row() -> pa.RecordBatch:
-            nonlocal count
-            own = TaskContext.get().partitionId() << 32 | count
-            count += 1
-            fields = [np.array(z, np.int64) for z in list(zip(*held, strict=True))[:4]]
-            fields += [np.concatenate([h[4] for h in held]), np.array([len(h[5]) for h in held]), np.concatenate([h[5] for h in held])]
-            members = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(fields[0]))
-            return pa.RecordBatch.from_arrays([pa.array([own]), members, *[pa.array([f.tobytes()], pa.binary()) for f in fields]], names=["home", "members", *Home.FIELDS])
+    as_cls = named.select(F.col("root").alias("cls"), "segments")
+    rounds = [saved(rows.mapInArrow(run, "u long, v long")) for first, rows in _rounds(as_cls, length, segments, "cls") if first in wide]
+    out = rounds[0]
+    for made in rounds[1:]:
+        out = out.union(made)
+    out = saved(out.distinct())
+    dropped(*rounds)
+    return out
+
+
+def _with_sets(nodes: DataFrame, shingle: int) -> DataFrame:
+    """nodes with grams binary, the shingle set, for text."""
+    small_batches(nodes.sparkSession, 500)
+    kept = [c for c in nodes.columns if c != "text"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b[c].to_pylist() for c in ("cls", "root", "a", "b")]
-            segments = [np.array(z, np.int64) for z in b["segments"].to_pylist()]
-            for one in zip(*columns, segments, shingle_sets(b["text"], shingle), strict=True):
-                if held and (len(held) >= HOME or size + one[5].nbytes > HOME_BYTES):
-                    yield row()
-                    held, size = [], 0
-                held.append(one)
-                size += one[5].nbytes
-        if held:
-            yield row()
+            sets = pa.array([s.tobytes() for s in shingle_sets(b["text"], shingle)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], sets], names=[*kept, "grams"])
         release()
 
-    fields = ", ".join(f"{c} binary" for c in Home.FIELDS)
-    return nodes.orderBy("near", "cls").select("cls", "root", "a", "b", "segments", "text").mapInArrow(run, f"home long, members array<long>, {fields}")
+    return nodes.mapInArrow(run, ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in kept) + ", grams binary")
+
 
+def _linked_parts(rows: DataFrame, width: int, most: int, least: Fraction) -> DataFrame:
+    """u, v: edges between roots, of rows (cluster, part, second, and Home's): each part's texts are held, then those that come second are compared with them."""
+    small_batches(rows.sparkSession, HOME)
 
-def _linked_homes(pairs: DataFrame, homes: DataFrame, most: int, similarity: float) -> DataFrame:
-    """u, v: edges between roots, of all pairs (x, y) of homes."""
-    spark, least = pairs.sparkSession, Fraction(similarity).limit_denominator(1000)
-    small_batches(spark, 1)
+    def home_of(parts: list[pa.RecordBatch]) -> Home:
+        table = pa.Table.from_batches(parts)
+        fields = {c: table[c].to_numpy() for c in ("cls", "probe", "root", "a", "b")}
+        data, off = column_bytes(table["grams"])
+        flat = table["segments"].combine_chunks().flatten().to_numpy()
+        return Home(fields | {"segments": flat, "sizes": np.diff(off) // 8, "grams": np.frombuffer(data.tobytes(), np.uint64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = None
+        at, held, home, forest, edges = None, [], None, Forest(), []
+
+        def batch_of() -> pa.RecordBatch:
+            ends = np.array(edges, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
         for b in batches:
-            for k in range(b.num_rows):
-                fields = {c: np.frombuffer(b[c][k].as_buffer(), np.uint64 if c == "grams" else np.int64) for c in Home.FIELDS[1:]}
-                y = Home(fields)
-                x = x if b["second"][k].as_py() else y
-                if b["second"][k].as_py() or b["x"][k] == b["y"][k]:
-                    edges = np.array(links_between(x, y, most, least), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+            cluster, part, second = (b[c].to_numpy(zero_copy_only=False) for c in ("cluster", "part", "second"))
+            cuts = np.flatnonzero((cluster[1:] != cluster[:-1]) | (part[1:] != part[:-1]) | (second[1:] != second[:-1])) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if x == y:
+                    continue
+                here, rows = (int(cluster[x]), int(part[x])), b.slice(x, y - x)
+                if here != at:
+                    edges += forest.edges
+                    at, held, home, forest = here, [], None, Forest()
+                    if len(edges) > 50_000:
+                        yield batch_of()
+                        edges = []
+                if not second[x]:
+                    held.append(rows)
+                elif held or home:
+                    home, held = home or home_of(held), []
+                    links_between(home_of([rows]), home, most, least, forest)
+        edges += forest.edges
+        yield batch_of()
         release()
 
-    ends = pairs.select("x", "y", F.lit(False).alias("second"), F.col("x").alias("home")).union(pairs.where("x <> y").select("x", "y", F.lit(True), "y"))
-    rows = ends.join(homes.drop("members", "cls").hint("merge"), "home").drop("home")
-    return rows.repartition(shuffle_width(spark), "x", "y").sortWithinPartitions("x", "y", "second").mapInArrow(run, "u long, v long")
+    return rows.repartition(width, "cluster", "part").sortWithinPartitions("cluster", "part", "second").mapInArrow(run, "u long, v long")
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -568,40 +559,62 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(now.select("u", F.coalesce("_new", "root").alias("root")).union(moved.select("u", "root")))
 
 
-def _rest(wide: DataFrame, classes: DataFrame, roots: DataFrame, texts_of, length: int, shingle: int, similarity: float) -> DataFrame:
+def _clusters(named: DataFrame, stars: DataFrame) -> DataFrame:
+    """root, cluster, probe, parts, copied of the roots that stars connect. The cluster's largest component isn't a probe; parts is the number of tasks
+    that its texts are dealt to, copied the bytes that its probes have in all of these."""
+    met = saved(components(stars))
+    of = met.select(F.col("u").alias("_root"), F.col("root").alias("cluster")).union(met.select("root", "root").distinct())
+    sizes = named.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long") * 8).alias("bytes"))
+    roots = saved(sizes.join(of.hint("merge"), F.col("root") == F.col("_root")).drop("_root"))
+    whole = roots.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("bytes").alias("all_bytes"))
+    few = F.least(F.ceil(F.col("all") / PART_LEAST), F.greatest(F.lit(PART_COPIES), F.ceil(F.col("all") / (F.col("all") - F.col("most")))))
+    parts = F.greatest(F.ceil(F.col("all_bytes") / PART_BYTES), F.ceil(F.col("all") / PART_MOST), few).cast("int")
+    out = saved(roots.join(whole.select(F.col("cluster").alias("_cluster"), "largest", parts.alias("parts")), F.col("cluster") == F.col("_cluster")))
+    probe = F.col("root") != F.col("largest")
+    out = out.select("root", "cluster", probe.alias("probe"), "parts", "bytes", F.when(probe, F.col("bytes") * F.col("parts")).otherwise(0).alias("copied"))
+    dropped(met, roots)
+    return out
+
+
+def _rest(wide: set[int], classes: DataFrame, roots: DataFrame, texts_of, length: int, segments: int, shingle: int, similarity: float) -> DataFrame:
     """roots, after the pairs of wide variants' members that lie in different components are decided too.
 
-    A variant whose members are one component needs nothing. In others, the members outside the variant's largest component are compared
-    with all its members, in blocks. That gives no pairs of texts, which a group of texts just below the similarity has as the square of its
-    size, but pairs of homes (HOME texts each). A task has both homes' shingle sets, decides all pairs between two components and
-    gives back edges that connect them. So pairs inside a component are never made, and none between components stays undecided.
+    A variant whose members are one component needs nothing. The components that meet in others form clusters. A cluster's texts are dealt to parts,
+    each held by one task; the texts outside its largest component (the probes) go to all its parts. A task decides all pairs of its texts and the
+    probes that share a variant and lie in two components, and gives back edges that connect these. So neither pairs of texts nor rows by text and
+    variant are made, none between components stays undecided, and what is copied at once is bounded: the probes go in several rounds if need be.
     """
-    most, spark = _most_apart(similarity), wide.sparkSession
-    flat = wide.select("variant", "block", F.explode("members").alias("m")).select("variant", "block", "m.cls", "m.covered")
-    flat = flat.join(_home(roots, "_cls", "root"), F.col("cls") == F.col("_cls"), "left").withColumn("root", F.coalesce("root", "cls")).drop("_cls")
-    shares = flat.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("k"), F.sum("n").alias("size"))
-    mixed = saved(shares.where("k > 1").select(F.col("variant").alias("_variant"), "largest", "size"))
-    if mixed.isEmpty():
+    if not wide:
+        return roots
+    least, spark = Fraction(similarity).limit_denominator(1000), classes.sparkSession
+    named = saved(classes.where("segments is not null").select("cls", "segments", "size").join(_home(roots, "_cls", "root"), F.col("cls") == F.col("_cls"), "left").select("cls", "segments", "size", F.coalesce("root", "cls").alias("root")))
+    stars = _stars(named, length, segments, wide)
+    if stars.isEmpty():
         return roots
-    members = saved(flat.join(mixed, F.col("variant") == F.col("_variant")).drop("_variant"))
-    near = saved(members.groupBy("cls", "root").agg(F.max_by("variant", F.struct("size", "variant")).alias("near")))  # copies of one text share their largest variants
+    clusters = _clusters(named, stars)
+    dropped(stars)
+    held, copied = clusters.agg(F.sum("bytes"), F.sum("copied")).first()
+    inside = clusters.select(F.col("root").alias("_root"), "cluster", "probe", "parts")
+    near = saved(named.select("cls", "root").join(inside, F.col("root") == F.col("_root")).drop("_root"))
     texts = texts_of(near.select("cls"))
     nodes = near.join(classes.select("cls", "a", "b", "segments").hint("merge"), "cls").join(texts.hint("merge"), "cls")
-    homes = saved(_homes(nodes, shingle))
-    sides = classes.select("cls", "a", "b").join(homes.select("home", F.explode("members").alias("cls")).hint("merge"), "cls")
-    placed = saved(members.drop("size").join(sides.hint("merge"), "cls").drop("cls"))
-    blocks = placed.select("variant", "block").distinct()
-    probes = placed.where("root <> largest").drop("block").join(blocks, "variant")
-    columns = ["variant", "block", "probe", "root", "home", "covered", "a", "b"]
-    rows = placed.withColumn("probe", F.lit(False)).select(columns).union(probes.withColumn("probe", F.lit(True)).select(columns))
-    small_batches(spark, 20_000)
-    dealt = rows.repartition(shuffle_width(spark), "variant", "block").sortWithinPartitions("variant", "block", "probe")
-    pairs = saved(dealt.mapInArrow(lambda batches: block_pairs(batches, most, length), "x long, y long").distinct())
-    dropped(mixed, members, near, texts, placed)
-    tidy(spark)
-    links = saved(_linked_homes(pairs, homes, most, similarity))
-    dropped(pairs, homes)
-    return roots if links.isEmpty() else _merged(roots, links)
+    sets = saved(_with_sets(nodes, shingle))
+    dropped(named, near, texts)
+    kept = [c for c in sets.columns if c != "parts"]
+    members = sets.select(*kept, F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("second"))
+    rounds = max(1, math.ceil(copied / max(held, COPIED_BYTES)))
+    width = max(shuffle_width(spark), math.ceil(held / PART_BYTES))
+    links = []
+    for k in range(rounds):
+        probes = sets.where(F.col("probe") & (F.pmod(F.xxhash64("cls", F.lit(rounds)), F.lit(rounds)) == k))
+        probes = probes.select(*kept, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("second"))
+        links.append(saved(_linked_parts(members.union(probes), width, _most_apart(similarity), least)))
+        tidy(spark)
+    dropped(sets)
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    return roots if found.isEmpty() else _merged(roots, found)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -634,7 +647,7 @@ def _kept_rows(docs: DataFrame, shingle: int, similarity: float, recall: float)
     if not clash.isEmpty():  # unequal words whose first 64 bits are equal: another number from all 128
         rows = saved(rows.join(clash, "cls", "left").withColumn("cls", F.when(F.col("_clash"), F.xxhash64("cls", "more")).otherwise(F.col("cls"))).drop("_clash"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("segments", "a", "b")]))
+    classes = saved(rows.groupBy("cls").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("segments", "a", "b", "size")]))
     pairs, wide = _candidates(classes, length, segments, similarity)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -651,12 +664,12 @@ def _kept_rows(docs: DataFrame, shingle: int, similarity: float, recall: float)
     more = _verified(apart, texts, shingle, similarity)
     if not more.isEmpty():
         roots = _merged(roots, more)
-    roots = _rest(wide, classes, roots, texts_of, length, shingle, similarity)
+    roots = _rest(wide, classes, roots, texts_of, length, segments, shingle, similarity)
     named = classes.select("cls", "first").join(roots, F.col("cls") == F.col("u"), "left")
     best = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     counts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_n"))
     best = saved(best.join(counts.hint("merge"), _same("_id", "_mark")).select("_id", "_mark", "_n"))
-    dropped(pairs, ranked, texts, wide, links, more)
+    dropped(pairs, ranked, texts, links, more)
     return best
 
 

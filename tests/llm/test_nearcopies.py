@@ -203,3 +203,57 @@ def test_links_between_homes_are_all_near_pairs():
         assert len(edges) < len(here) and all(ok(i, j) for i, j in edges)
         across = lambda i, j: p is q or (i < 25) != (j < 25)
         assert closure(here, lambda i, j: (here[i], here[j]) in set(edges) or (here[j], here[i]) in set(edges)) == closure(here, lambda i, j: across(here[i], here[j]) and ok(here[i], here[j]))
+
+
+def test_wide_variants_give_no_row_a_text_and_variant(spark, monkeypatch):
+    """A large group of near copies and some texts beside it in the same variants: what the second pass keeps is a few rows a text, not one for each of its variants."""
+    monkeypatch.setattr(simhash, "WINDOW", 4)
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for k in range(240):
+        w = list(base)
+        for at in range(150, 150 + 60 * (k % 20 == 0), 6):  # every 20th shares less than 0.8 with the others
+            w[at] = f"y{k}.{at}"
+        w[int(rng.integers(0, 140))] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own, rest, counts = simhash.saved, simhash._rest, []
+
+    def counted(*a):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "saved", lambda df: counts.append((kept := own(df)).count()) or kept)
+            return rest(*a)
+
+    monkeypatch.setattr(simhash, "_rest", counted)
+    got = {r["doc_id"] for r in simhash.near_copies(frame).collect()}
+    assert got == {1, *range(0, 240, 20)}
+    assert counts and max(counts) <= 5 * len(rows)
+
+
+def test_probes_go_to_all_parts_in_several_rounds(spark, monkeypatch):
+    """Little is linked by the window: whatever the parts and rounds, it finds the components of all near pairs."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(80):
+        w = list(base)
+        for at in rng.choice(40, int(rng.integers(2, 5)), replace=False):
+            w[5 * at + 2] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    length, segments = simhash.segment_shape(len(rows), 0.8, 0.95)
+    sketches = simhash._sketches(frame, 5, length, segments).orderBy("doc_id").collect()
+
+    def linked(i, j):
+        x, y = sketches[i], sketches[j]
+        meet = any((p ^ q).bit_count() <= 1 for p, q in zip(x.segments, y.segments))
+        return meet and sum(((p ^ q) % 2**64).bit_count() for p, q in ((x.a, y.a), (x.b, y.b))) <= simhash._most_apart(0.8) and near(sets[i], sets[j])
+
+    want = sorted(set(closure([i for i, _ in rows], linked)))
+    assert 1 < len(want) < 80
+    for name, value in (("WINDOW", 1), ("PART_LEAST", 4), ("PART_BYTES", 9000), ("COPIED_BYTES", 1), ("HOME", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    rounds, parted = [], simhash._linked_parts
+    monkeypatch.setattr(simhash, "_linked_parts", lambda *a: rounds.append(1) or parted(*a))
+    assert sorted(r["doc_id"] for r in simhash.near_copies(frame).collect()) == want
+    assert len(rounds) > 1
