@@ -283,8 +283,9 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def window_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """u, v, differing bits: pairs of equal variant whose 128 bits differ in at most most. All pairs among the first WINDOW + 1 rows of a
-    variant, and each later row with NEIGHBOURS before it. Rows have their variant's number and, as its lowest bit, what the wildcard
-    covers: two equal segments share all variants of length, so that pair is given by the first of them alone."""
+    variant, and of a segment's first wildcard each later row with NEIGHBOURS before it (`_rest` decides the others). Rows have their variant's
+    number and, as its lowest bit, what the wildcard covers: two equal segments share all variants of length, so that pair is given by the first of
+    them alone."""
     names = ("variant", "cls", "a", "b")
     held = [np.zeros(0, np.int64)] * 6
     for batch in batches:
@@ -304,7 +305,7 @@ def window_pairs(batches: Iterator[pa.RecordBatch], most: int, length: int) -> I
             at = at[key[at + d] == key[at]]  # keys are sorted: what fails here fails farther on
             if not len(at):
                 break
-            x = at[(at + d >= old) & ((d <= NEIGHBOURS) | (place[at + d] <= WINDOW)) & (first[at] | (covered[at] != covered[at + d]))]
+            x = at[(at + d >= old) & ((d <= NEIGHBOURS) & first[at] | (place[at + d] <= WINDOW)) & (first[at] | (covered[at] != covered[at + d]))]
             apart = np.bitwise_count((a[x] ^ a[x + d]).view(np.uint64)).astype(np.int32) + np.bitwise_count((b[x] ^ b[x + d]).view(np.uint64))
             x, apart = x[apart <= most], apart[apart <= most]
             if len(x):

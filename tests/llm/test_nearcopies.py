@@ -257,3 +257,15 @@ def test_probes_go_to_all_parts_in_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_linked_parts", lambda *a: rounds.append(1) or parted(*a))
     assert sorted(r["doc_id"] for r in simhash.near_copies(frame).collect()) == want
     assert len(rounds) > 1
+
+
+def test_later_rows_of_other_wildcards_are_left_to_the_second_pass(monkeypatch):
+    monkeypatch.setattr(simhash, "WINDOW", 3)
+    n = 50
+    for wildcard, pairs in ((0, 6 + n - 4), (9, None)):
+        numbers = np.full(n, (wildcard << 16) * 2) + np.arange(n) % 2
+        wide = simhash.WideVariants(16)
+        batch = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.arange(n)), *[pa.array(np.zeros(n, np.int64))] * 2], names=["variant", "cls", "a", "b"])
+        got = [p for u, v, _ in simhash.window_pairs(wide.watch(iter([batch])), 2, 16) for p in zip(u.tolist(), v.tolist())]
+        assert len(got) == pairs if wildcard == 0 else max(v for _, v in got) == 3
+        assert sorted(c for g in wide.taken() for c in g[2].tolist()) == list(range(n))
